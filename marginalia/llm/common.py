@@ -53,7 +53,7 @@ def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
     """Runs ``make()`` once a task and what it returns once an Arrow batch; that returns columns by name."""
-    arrow = arrow_schema(df.sparkSession, schema)
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
@@ -68,8 +68,8 @@ def as_array(values, kind: pa.DataType) -> pa.Array:
     return values if isinstance(values, pa.Array) else pa.array(values, type=kind)
 
 
-def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(schema), timezone="UTC")
+    return to_arrow_schema(StructType.fromDDL(schema))

@@ -175,10 +175,9 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text. A single row is followed by itself. A null text is empty; rows without a doc_id have no place in the order
     and are left out.
     """
-    spark = docs.sparkSession
-    width = shuffle_width(spark)
+    width = shuffle_width(docs.sparkSession)
     placed, _ = with_next(keyed_text(docs, id_col, text_col), min(MAX_RANGES, 8 * width))
-    schema = arrow_schema(spark, PAIRED)
+    schema = arrow_schema(PAIRED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Fingerprinter(bins, bits)

@@ -153,8 +153,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, e
     A document is its ids and then ``end_id``, so a null or empty text is that one id. Only documents of more than
     ``capacity`` tokens are cut. Repeated rows are packed each by itself. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    schema = arrow_schema(spark, LEVEL)
+    schema = arrow_schema(LEVEL)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, level = encoder(tokenizer_path), _Level(schema, capacity, False, 0)
