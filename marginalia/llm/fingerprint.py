@@ -14,52 +14,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import arrow_schema, keyed_text, map_batches, shuffle_width
+from marginalia.llm.shingles import mixed, row_shingles, word_hashes
 
 BINS = 512
 BITS = 4
 SHINGLE_WORDS = 5
-WORDS_KEPT = 400_000
 EMPTY = np.uint64(2**64 - 1)
 #: Bounds of the ranges of doc_id that neighbours are looked up in; no more are collected, whatever the input.
 MAX_RANGES = 20_000
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every input bit reaches every output bit."""
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-class WordHashes(dict):
-    """Word -> 64-bit hash, remembering a bounded number of words."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > WORDS_KEPT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingle_hashes(words: np.ndarray, width: int = SHINGLE_WORDS) -> np.ndarray:
-    """Hashes of all shingles of a sequence of word hashes; a shorter sequence is one shingle, an empty one none."""
-    n = len(words)
-    if not n:
-        return words
-    width = min(width, n)
-    out = np.zeros(n - width + 1, dtype=np.uint64)
-    for i in range(width):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + words[i : n - width + 1 + i]
-    return mixed(out + np.uint64(width))
-
-
 def borrow_order(bins: int, attempts: int) -> np.ndarray:
     at = np.arange(bins, dtype=np.uint64)[None, :] + (np.arange(1, attempts + 1, dtype=np.uint64)[:, None] << np.uint64(32))
     return (mixed(at) % np.uint64(bins)).astype(np.int32)
@@ -68,7 +37,6 @@ def borrow_order(bins: int, attempts: int) -> np.ndarray:
 class Fingerprinter:
     def __init__(self, bins: int = BINS, bits: int = BITS):
         self.bins, self.bits = bins, bits
-        self.words = WordHashes()
         self.borrow = borrow_order(bins, 64)
 
     def bin_values(self, shingles: np.ndarray) -> np.ndarray:
@@ -80,28 +48,27 @@ class Fingerprinter:
         np.minimum.at(least, (shingles >> shift).astype(np.int64), shingles << np.uint64(int(self.bins).bit_length() - 1))
         filled = least != EMPTY
         empty = np.flatnonzero(~filled)
-        attempt = 0
         own = least.copy()
+        attempt, to = 0, 4
         while len(empty):
-            if attempt == len(self.borrow):
-                self.borrow = borrow_order(self.bins, 2 * attempt)
-            # all pending attempts of a block at once: the first that hits a filled bin counts
-            block = self.borrow[attempt : len(self.borrow), empty]
+            if to > len(self.borrow):
+                self.borrow = borrow_order(self.bins, to)
+            # some attempts of all empty bins at once: the first that names a filled bin counts
+            block = self.borrow[attempt:to, empty]
             hit = filled[block]
             first = hit.argmax(axis=0)
-            found = hit[first, np.arange(len(empty))]
-            least[empty[found]] = own[block[first[found], np.flatnonzero(found)]]
+            at = np.arange(len(empty))
+            found = hit[first, at]
+            least[empty[found]] = own[block[first, at][found]]
             empty = empty[~found]
-            attempt = len(self.borrow)
+            attempt, to = to, 2 * to
         return least
 
-    def low_bits(self, text: str) -> np.ndarray | None:
-        """The stored bits of each bin, or None of a text without words."""
-        words = text.split()
-        if not words:
-            return None
-        hashes = np.fromiter(map(self.words.__getitem__, words), dtype=np.uint64, count=len(words))
-        values = self.bin_values(shingle_hashes(hashes))
+    def low_bits(self, texts: pa.Array) -> list[np.ndarray | None]:
+        """For each text the stored bits of its bins, or None of one without words."""
+        return [self.kept(self.bin_values(s)) if len(s) else None for s in row_shingles(*word_hashes(texts), SHINGLE_WORDS)]
+
+    def kept(self, values: np.ndarray) -> np.ndarray:
         return (mixed(values) & np.uint64(2**self.bits - 1)).astype(np.uint8)
 
     def packed(self, bits: np.ndarray | None) -> str:
@@ -127,8 +94,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
         own = Fingerprinter(bins, bits)
 
         def step(batch: pa.RecordBatch) -> dict:
-            texts = batch.column("text").to_pylist()
-            return {"doc_id": batch.column("doc_id"), "n_chars": [len(t) for t in texts], "fingerprint": [own.packed(own.low_bits(t)) for t in texts]}
+            texts = batch.column("text")
+            return {"doc_id": batch.column("doc_id"), "n_chars": pc.utf8_length(texts).cast("int64"), "fingerprint": [own.packed(b) for b in own.low_bits(texts)]}
 
         return step
 
@@ -182,21 +149,21 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Fingerprinter(bins, bits)
         held, over = None, None  # the row before; the range whose following row is through
-        for batch in batches:
-            rows = []
-            for doc, text, range_, after in zip(*(batch.column(c) for c in ("doc_id", "text", "range", "after"))):
-                doc, text, range_, after = doc.as_py(), text.as_py(), range_.as_py(), after.as_py()
-                if range_ == over:
-                    continue  # a repeated first row: one following row is enough
-                mark = own.low_bits(text)
-                if held and held[0] == range_:
-                    _, doc0, text0, mark0 = held
-                    edited = edited_text(text0, text)
-                    mark1 = own.low_bits(edited)
-                    rows.append((doc0, len(text0), hashlib.sha256(edited.encode()).hexdigest(), own.packed(mark0), own.packed(mark1), own.likeness(mark0, mark1), own.likeness(mark0, mark)))
-                over = range_ if after else None
-                held = None if after else (range_, doc, text, mark)
-            columns = list(zip(*rows)) or [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                kept = [] if held is None else [held]
+                for row in zip(batch.column("range").to_pylist(), batch.column("after").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                    if row[0] != over:  # else a repeated first row: one following row is enough
+                        kept.append(row)
+                    over = row[0] if row[1] else None
+                marks = own.low_bits(pa.array([r[3] for r in kept], type=pa.string()))
+                pairs = [i for i in range(len(kept) - 1) if not kept[i][1]]
+                edited = [edited_text(kept[i][3], kept[i + 1][3]) for i in pairs]
+                changed = own.low_bits(pa.array(edited, type=pa.string()))
+                rows = [(kept[i][2], len(kept[i][3]), hashlib.sha256(e.encode()).hexdigest(), own.packed(marks[i]), own.packed(m), own.likeness(marks[i], m), own.likeness(marks[i], marks[i + 1])) for i, e, m in zip(pairs, edited, changed)]
+                held = None if not kept or kept[-1][1] else kept[-1]
+                columns = list(zip(*rows)) or [()] * len(schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return placed.repartition(width, "range").sortWithinPartitions("range", "after", "doc_id", "text").mapInArrow(run, PAIRED)
