@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe_trie, fingerprint, packing, secret_scan
+from marginalia.llm import bpe_trie, fingerprint, jaccard_join, packing, secret_scan
 from marginalia.llm.common import load
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +30,10 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_checked")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encoding, op3_best_fit_packing, op4_document_fingerprints, op7_secret_scans)}
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_components(load(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_encoding, op3_best_fit_packing, op4_document_fingerprints, op7_secret_scans, op8_ngram_jaccard_join)}
 
 ORACLE_SQL: dict[str, str] = {}
