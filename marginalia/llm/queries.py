@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe_trie, fingerprint, jaccard_join, packing, secret_scan
+from marginalia.llm import bpe_trie, fingerprint, jaccard_join, packing, secret_scan, warc
 from marginalia.llm.common import load
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,10 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edited(load(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.convert_pages(load(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_documents(load(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_checked")
@@ -34,6 +38,56 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(load(spark, sf_dir, "documents"), width=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encoding, op3_best_fit_packing, op4_document_fingerprints, op7_secret_scans, op8_ngram_jaccard_join)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_bpe_encoding, op3_best_fit_packing, op4_document_fingerprints, op6_warc, op7_secret_scans, op8_ngram_jaccard_join)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+WITH payload AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex
+  FROM pages WHERE page_id IS NOT NULL
+), numbered AS (
+  SELECT *, min(page_id) OVER (PARTITION BY hex) AS least,
+    list_transform(range(8), lambda g: ('0x' || substr(hex, 5 * g + 1, 5))::INT) AS twenty
+  FROM payload
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((twenty[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> least THEN least END AS refers_to
+FROM numbered
+""",
+    "op8_ngram_jaccard_join": """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), grams AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS g
+  FROM words
+), entries AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM grams
+), counted AS (
+  SELECT *, count(*) OVER (PARTITION BY gram) AS df FROM entries
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY df, gram) AS place FROM counted
+), prefix AS (
+  SELECT doc_id, n, gram FROM ranked WHERE df > 1 AND place <= n - ceil(n * 90 / 100.0) + 1
+), candidates AS (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS a_n, b.n AS b_n FROM prefix a JOIN prefix b USING (gram)
+  WHERE a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+), overlaps AS (
+  SELECT c.a, c.b, c.a_n, c.b_n, len(list_intersect(x.g, y.g)) AS shared
+  FROM candidates c JOIN grams x ON x.doc_id = c.a JOIN grams y ON y.doc_id = c.b
+), links AS (
+  SELECT a, b FROM overlaps WHERE 100 * shared >= 90 * (a_n + b_n - shared)
+  UNION SELECT b, a FROM overlaps WHERE 100 * shared >= 90 * (a_n + b_n - shared)
+), reach(node, root) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node
+)
+SELECT g.doc_id, len(g.g)::BIGINT AS n_shingles, min(r.root) AS component_id
+FROM grams g JOIN reach r ON r.node = g.doc_id GROUP BY ALL
+""",
+}
