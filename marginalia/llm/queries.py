@@ -77,12 +77,12 @@ WITH RECURSIVE words AS (
 ), candidates AS (
   SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS a_n, b.n AS b_n FROM prefix a JOIN prefix b USING (gram)
   WHERE a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
-), overlaps AS (
+), shared_counts AS (
   SELECT c.a, c.b, c.a_n, c.b_n, len(list_intersect(x.g, y.g)) AS shared
   FROM candidates c JOIN grams x ON x.doc_id = c.a JOIN grams y ON y.doc_id = c.b
 ), links AS (
-  SELECT a, b FROM overlaps WHERE 100 * shared >= 90 * (a_n + b_n - shared)
-  UNION SELECT b, a FROM overlaps WHERE 100 * shared >= 90 * (a_n + b_n - shared)
+  SELECT a, b FROM shared_counts WHERE 100 * shared >= 90 * (a_n + b_n - shared)
+  UNION SELECT b, a FROM shared_counts WHERE 100 * shared >= 90 * (a_n + b_n - shared)
 ), reach(node, root) AS (
   SELECT doc_id, doc_id FROM documents
   UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node
