@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe_trie, fingerprint, jaccard_join, packing, secret_scan, warc
+from marginalia.llm import bpe_trie, fingerprint, jaccard_join, packing, secret_scan, topk, warc
 from marginalia.llm.common import load
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,10 @@ def op1_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.digest_documents(load(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -38,9 +42,22 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(load(spark, sf_dir, "documents"), width=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encoding, op3_best_fit_packing, op4_document_fingerprints, op6_warc, op7_secret_scans, op8_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_bpe_encoding, op2_exact_topk, op3_best_fit_packing, op4_document_fingerprints, op6_warc, op7_secret_scans, op8_ngram_jaccard_join)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_exact_topk": """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), parts AS (
+  SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM whole
+), scored AS (
+  SELECT q.vec_id AS query_id, p.vec_id, sum(q.x * p.x)::BIGINT AS score
+  FROM parts q JOIN parts p ON q.i = p.i AND q.vec_id <> p.vec_id WHERE q.vec_id % 100 = 0 GROUP BY ALL
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+""",
     "op6_warc": """
 WITH payload AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex
