@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import arrow_schema, shuffle_width, stored
 
-LEAF = 96
+LEAF = 48
 CHILDREN = 24
 CANDIDATES_A_BLOCK = 8192
 QUERIES_A_GROUP = 4096
@@ -47,7 +47,7 @@ class CoverTree:
         # farthest first: each new centre is the point that those before cover worst
         nearest, home = np.full(len(own), np.inf), np.zeros(len(own), dtype=np.int64)
         pick = int(away.argmin())
-        for child in range(max(2, min(CHILDREN, 2 * (end - start) // LEAF))):
+        for child in range(max(2, min(CHILDREN, (end - start) // 8))):
             gap = np.linalg.norm(own - own[pick], axis=1)
             closer = gap < nearest
             nearest[closer], home[closer] = gap[closer], child
