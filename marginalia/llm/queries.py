@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe_trie, fingerprint, jaccard_join, packing, secret_scan, topk, warc
+from marginalia.llm import bpe_trie, fingerprint, jaccard_join, packing, quality, secret_scan, topk, warc
 from marginalia.llm.common import load
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +29,10 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edited(load(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.convert_pages(load(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -42,7 +46,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(load(spark, sf_dir, "documents"), width=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encoding, op2_exact_topk, op3_best_fit_packing, op4_document_fingerprints, op6_warc, op7_secret_scans, op8_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_bpe_encoding, op2_exact_topk, op3_best_fit_packing, op4_document_fingerprints, op5_quality_classifier, op6_warc, op7_secret_scans, op8_ngram_jaccard_join)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_topk": """

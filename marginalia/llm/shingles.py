@@ -32,6 +32,10 @@ def _table(lower: bool) -> np.ndarray:
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Kinds of bytes: 0 separates words; a word also ends where the kind changes.
+WORDS = (~SPACE).astype(np.uint8)
+WORDS_AND_SIGNS = WORDS * 2
+WORDS_AND_SIGNS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 TABLES = {True: _table(True), False: _table(False)}
 
 
@@ -62,7 +66,7 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, np.uint8)), borders
 
 
-def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, lower: bool = False, kinds: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and for each row where its words begin (one more entry than rows)."""
     data, borders = text_buffer(texts)
     at, end = int(borders[0]), int(borders[-1])
@@ -77,11 +81,13 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
                 if len(near):
                     break
         part = data[at:to]
-        inside = ~SPACE[part]
+        kind = kinds[part]
+        inside = kind > 0
+        turn = kind[1:] != kind[:-1]
         first = inside.copy()
-        first[1:] &= ~inside[:-1]
+        first[1:] &= turn
         last = inside.copy()
-        last[:-1] &= ~inside[1:]
+        last[:-1] &= turn
         cuts = borders[np.searchsorted(borders, at, "right") : np.searchsorted(borders, to, "left")] - at
         first[cuts] = inside[cuts]
         last[cuts - 1] = inside[cuts - 1]
