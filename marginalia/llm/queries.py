@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe_trie, fingerprint, jaccard_join, packing, quality, secret_scan, topk, warc
+from marginalia.llm import bpe_trie, chat_quotes, fingerprint, jaccard_join, packing, quality, secret_scan, topk, warc
 from marginalia.llm.common import load
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -46,7 +46,13 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(load(spark, sf_dir, "documents"), width=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encoding, op2_exact_topk, op3_best_fit_packing, op4_document_fingerprints, op5_quality_classifier, op6_warc, op7_secret_scans, op8_ngram_jaccard_join)}
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's messages quote nothing, so Spark first makes them quote what they answer."""
+    out = chat_quotes.reply_ordered(chat_quotes.quoted_messages(load(spark, sf_dir, "conversations")))
+    return out.select(F.col("thread").alias("conv_id"), "turn", "role", "parent", "depth", "reply_path", "text", "rendered")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_encoding, op2_exact_topk, op3_best_fit_packing, op4_document_fingerprints, op5_quality_classifier, op6_warc, op7_secret_scans, op8_ngram_jaccard_join, op9_chat_formatting)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_topk": """
@@ -110,5 +116,30 @@ WITH RECURSIVE words AS (
 )
 SELECT g.doc_id, len(g.g)::BIGINT AS n_shingles, min(r.root) AS component_id
 FROM grams g JOIN reach r ON r.node = g.doc_id GROUP BY ALL
+""",
+    "op9_chat_formatting": """
+WITH RECURSIVE own AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, trim(coalesce(text, '')) AS text,
+    lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS plain,
+    CASE WHEN turn >= 1 THEN (turn - 1) // 2 END AS answers
+  FROM conversations
+), origin AS (
+  SELECT conv_id, plain, min(turn) AS origin FROM own WHERE plain <> '' GROUP BY ALL
+), parents AS (
+  SELECT o.conv_id, o.turn, o.role, o.text,
+    coalesce(CASE WHEN f1.origin < o.turn THEN f1.origin END, CASE WHEN f2.origin < o.turn THEN f2.origin END) AS parent
+  FROM own o
+  LEFT JOIN own p1 ON p1.conv_id = o.conv_id AND p1.turn = o.answers
+  LEFT JOIN own p2 ON p2.conv_id = o.conv_id AND p2.turn = p1.answers
+  LEFT JOIN origin f1 ON f1.conv_id = o.conv_id AND f1.plain = p1.plain
+  LEFT JOIN origin f2 ON f2.conv_id = o.conv_id AND f2.plain = p2.plain
+), paths AS (
+  SELECT conv_id, turn, 1 AS depth, turn::VARCHAR AS reply_path FROM parents WHERE parent IS NULL
+  UNION ALL
+  SELECT p.conv_id, p.turn, q.depth + 1, q.reply_path || '.' || p.turn
+  FROM parents p JOIN paths q ON q.conv_id = p.conv_id AND q.turn = p.parent
+)
+SELECT p.conv_id, p.turn, p.role, p.parent, q.depth, q.reply_path, p.text, '### ' || p.role || chr(10) || p.text AS rendered
+FROM parents p JOIN paths q ON q.conv_id = p.conv_id AND q.turn = p.turn
 """,
 }
