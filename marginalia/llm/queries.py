@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe_trie, chat_quotes, fingerprint, jaccard_join, packing, quality, secret_scan, topk, warc
+from marginalia.llm import bpe_trie, chat_quotes, fingerprint, jaccard_join, packing, quality, secret_scan, token_counts, topk, warc
 from marginalia.llm.common import load
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,11 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("thread").alias("conv_id"), "turn", "role", "parent", "depth", "reply_path", "text", "rendered")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encoding, op2_exact_topk, op3_best_fit_packing, op4_document_fingerprints, op5_quality_classifier, op6_warc, op7_secret_scans, op8_ngram_jaccard_join, op9_chat_formatting)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(load(spark, sf_dir, "documents"), PIECES)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_encoding, op2_exact_topk, op3_best_fit_packing, op4_document_fingerprints, op5_quality_classifier, op6_warc, op7_secret_scans, op8_ngram_jaccard_join, op9_chat_formatting, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_topk": """
