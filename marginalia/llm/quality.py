@@ -169,28 +169,54 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def scored_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", labelled_rows: int = LABELLED_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row; a score depends on the text alone, so equal texts score alike.
+class Model:
+    """What scoring needs: word vectors and the network, both of a fixed size. Without any label all scores are 0.5."""
 
-    Only labels of documents that aren't held out are learned, of at most ``labelled_rows`` of them. Null labels and
-    labels without a document count for nothing; of several labels of a document the greatest holds. A null text is
-    empty; empty texts are scored as the network scores a document without words. Without any label every score is 0.5.
-    """
-    texts = keyed_text(docs, id_col, text_col)
+    def __init__(self, vectors: np.ndarray, network: Network | None):
+        self.vectors, self.network = vectors, network
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return self.network.scores(x) if self.network and len(x) else np.full(len(x), 0.5)
+
+
+def fitted(texts: DataFrame, labels: DataFrame, label_col: str, labelled_rows: int) -> tuple[Model, DataFrame]:
+    """The model, and the document vectors of all texts."""
     vectors = unit_vectors(context_table(texts.select("text")))
     known = stored(document_vectors(texts, vectors))
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna().filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     sample = known.dropDuplicates(["doc_id"]).join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows).select("vector", "y").toArrow()
     y = sample["y"].to_numpy().astype(float)
-    network = Network(np.array(sample["vector"].to_pylist()), y) if len(y) else None
+    return Model(vectors, Network(np.array(sample["vector"].to_pylist()), y) if len(y) else None), known
+
 
+def scored_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", labelled_rows: int = LABELLED_ROWS) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row; a score depends on the text alone, so equal texts score alike.
+
+    Only labels of documents that aren't held out are learned, of at most ``labelled_rows`` of them. Null labels and
+    labels without a document count for nothing; of several labels of a document the greatest holds. A null text is
+    empty; empty texts are scored as the network scores a document without words. Without any label every score is 0.5.
+    """
+    model, known = fitted(keyed_text(docs, id_col, text_col), labels, label_col, labelled_rows)
     schema = arrow_schema("doc_id long, score double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, FEATURES).astype(np.float64)
-            values = network.scores(x) if network and len(x) else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.float64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(x), pa.float64())], schema=schema)
 
     out = known.mapInArrow(score, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def accepted_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", labelled_rows: int = LABELLED_ROWS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score at least the threshold. Each task scores its own rows, so
+    no text is shuffled."""
+    model, _ = fitted(keyed_text(docs, id_col, text_col), labels, label_col, labelled_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text_col).fill_null("")
+            x = [pooled(words[a:b], model.vectors) for words, bounds in batch_words(texts) for a, b in zip(bounds[:-1], bounds[1:])]
+            yield batch.filter(pa.array(model.scores(np.array(x, dtype=np.float64).reshape(-1, FEATURES)) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
