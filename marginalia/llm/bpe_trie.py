@@ -36,6 +36,8 @@ SPLIT_SPACE = re.compile(f"[{SPACE}]+")
 UNSETTLED = re.compile("[\u0500-\U0010ffff]")
 #: Distinct space-free chunks a task remembers.
 WORDS_KEPT = 300_000
+#: Texts whose new words make one trie.
+TEXTS_AT_ONCE = 2048
 PAIRS_KEPT = 1_000_000
 UNBOUNDED = 1 << 30
 
@@ -147,32 +149,42 @@ class WordTrieBpe:
             raw = w.encode("utf-8").decode("latin-1")
             spelled[raw[:-1] + chr(256 + ord(raw[-1])) if self.suffix else raw] = w
         out: dict[str, tuple[int, ...]] = {}
-        step, ends, fits = self.step, self.ends, self.fits
-        states, tokens, lengths = [0], [-1], [0]
+        step, ends, fits_known = self.step, self.ends, self.fits_known
+        longest = max(map(len, spelled), default=0) + 1
+        states, tokens, lengths = [0] * longest, [-1] * longest, [0] * longest
         before = ""
         for text in sorted(spelled):
-            n = min(len(before), len(text))
-            shared = next((i for i in range(n) if before[i] != text[i]), n)
-            del states[shared + 1 :], tokens[shared + 1 :], lengths[shared + 1 :]
+            # how much of the path to the word before this one shares
+            n = len(text)
+            shared = 0
+            for x, y in zip(before, text):
+                if x != y:
+                    break
+                shared += 1
             state = states[shared]
-            for i in range(shared, len(text)):
-                c = ord(text[i])
-                to = step.get(state << 10 | c)
-                state = self._follow(state, c, step) if to is None else to
+            for i in range(shared, n):
+                key = state << 10 | ord(text[i])
+                to = step.get(key)
+                if to is None:  # kept from then on, as the automaton is finite
+                    to = step[key] = self._follow(state, key & 1023, step)
+                state = to
+                i += 1
                 for token, length in ends[state]:
-                    start = i + 1 - length
-                    if not start or fits(tokens[start], token):
+                    if length == i:
+                        break
+                    key = tokens[i - length] << 20 | token
+                    fit = fits_known.get(key)
+                    if fit if fit is not None else self.fits(tokens[i - length], token):
                         break
                 else:
                     raise ValueError(f"the vocabulary lacks a symbol of {text!r}")
-                states.append(state)
-                tokens.append(token)
-                lengths.append(length)
-            ids, at = [], len(text)
+                states[i], tokens[i], lengths[i] = state, token, length
+            ids, at = [], n
             while at:
                 ids.append(tokens[at])
                 at -= lengths[at]
-            out[spelled[text]] = tuple(reversed(ids))
+            ids.reverse()
+            out[spelled[text]] = tuple(ids)
             before = text
         return out
 
@@ -270,8 +282,8 @@ def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, parse_specia
         def step(batch: pa.RecordBatch) -> dict:
             n_tokens, left, right = [], [], []
             texts = batch.column("text")
-            for at in range(0, len(texts), 256):  # strings of a few hundred texts at a time
-                for ids, decoded in own.encode(texts.slice(at, 256).to_pylist()):
+            for at in range(0, len(texts), TEXTS_AT_ONCE):
+                for ids, decoded in own.encode(texts.slice(at, TEXTS_AT_ONCE).to_pylist()):
                     n_tokens.append(ids.count(" ") + 1 if ids else 0)
                     left.append(hashlib.sha256(ids.encode()).hexdigest() if digests else ids)
                     right.append(hashlib.sha256(decoded.encode()).hexdigest() if digests else decoded)
