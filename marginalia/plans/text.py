@@ -61,10 +61,10 @@ def locator_parse(spark, d):
 
 
 @query("""
-SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+'))::INT AS n, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+')[1:8], lambda x: lower(x)), ' ') AS head FROM documents""")
+SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+'))::INT AS n, sha256(array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)), ' ')) AS digest FROM documents""")
 def char_tokenize(spark, d):
     tokens = tx.char_tokens(F.col("text"))
-    return load(spark, d, "documents").select("doc_id", F.size(tokens).alias("n"), F.array_join(F.slice(tokens, 1, 8), " ").alias("head"))
+    return load(spark, d, "documents").select("doc_id", F.size(tokens).alias("n"), F.sha2(F.array_join(tokens, " "), 256).alias("digest"))
 
 
 @query("""
