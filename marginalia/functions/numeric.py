@@ -59,3 +59,11 @@ def week_number(day: Column, first: Column) -> Column:
 
 def usage_bucket(used_percent: Column) -> Column:
     return F.when(used_percent >= 90, "critical").when(used_percent >= 70, "warning").otherwise("normal")
+
+
+def week_spec(spec: Column) -> Column:
+    """``a-b`` or one week, with an odd or even mark: (first, last, parity); null for all else."""
+    form = r"(?i)^\s*([0-9]{1,2})\s*(?:-\s*([0-9]{1,2}))?\s*(odd|even)?\s*$"
+    first, last, mark = (F.regexp_extract(spec, form, i) for i in (1, 2, 3))
+    parsed = F.struct(first.cast("int").alias("first"), F.coalesce(F.when(last != "", last.cast("int")), first.cast("int")).alias("last"), F.coalesce(F.when(mark != "", F.lower(mark)), F.lit("all")).alias("parity"))
+    return F.when(first != "", parsed)

@@ -82,3 +82,38 @@ def planned_segments(spans: DataFrame, capacity: int, least_fill: float = 0.25)
         return {"seg": seg, "used": F.when(cut, span["tokens"]).otherwise(acc["used"] + span["tokens"])}, F.struct(span["ordinal"].alias("ordinal"), seg.alias("segment"))
 
     return _fold(ordered_arrays(spans, "tokens", "preferred", "boundary"), {"seg": zero, "used": zero}, "ordinal: bigint, segment: bigint", step)
+
+
+def refit_segments(planned: DataFrame, budget: int) -> DataFrame:
+    """(domain_id, segment, ordinal, overlap): segments over the budget lose their overlap, then are halved by weight
+    until they fit; primary spans stay, in order. ``planned``: domain_id, segment, ordinal, tokens, overlap. A single
+    span over the budget is an error. Halving depends on what came of the last, so a domain's rows meet in one batch:
+    numbers only, as many as the domain has spans."""
+    import pandas as pd
+
+    def fit(rows: list[tuple[int, int, bool]]) -> list[list[tuple[int, int, bool]]]:
+        if sum(t for _, t, _ in rows) <= budget:
+            return [rows]
+        primary = [r for r in rows if not r[2]]
+        if len(primary) < len(rows):
+            return fit(primary)
+        if len(primary) == 1:
+            raise ValueError(f"span {primary[0][0]} is over the budget")
+        weight, half, cut = 0, sum(max(1, t) for _, t, _ in primary) / 2, 0
+        for cut, (_, t, _) in enumerate(primary, 1):
+            weight += max(1, t)
+            if weight >= half:
+                break
+        cut = min(cut, len(primary) - 1)
+        return fit(primary[:cut]) + fit(primary[cut:])
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        out, number = [], 0
+        for _, part in batch.sort_values(["segment", "ordinal"]).groupby("segment", sort=True):
+            for piece in fit([(int(o), int(t), bool(v)) for o, t, v in zip(part["ordinal"], part["tokens"], part["overlap"])]):
+                number += 1
+                out += [(batch["domain_id"].iloc[0], number, o, v) for o, _, v in piece]
+        return pd.DataFrame(out, columns=["domain_id", "segment", "ordinal", "overlap"])
+
+    kind = planned.schema["domain_id"].dataType.simpleString()
+    return planned.groupBy("domain_id").applyInPandas(run, f"domain_id {kind}, segment long, ordinal long, overlap boolean")

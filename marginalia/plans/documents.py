@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marginalia.functions import numeric as nm
 from marginalia.functions.json_text import extracted_json
+from marginalia.functions.vectors import hashed_vector
 from marginalia.functions.text import ms_clock
 from marginalia.operators import chunking as ch
+from marginalia.operators import folds
 from marginalia.operators import schedule as sc
 from marginalia.plans.registry import query
 from marginalia.sources.files import vault_notes
-from marginalia.tables import events, load
+from marginalia.tables import events, load, spans
 
 
 @query(r"""
@@ -123,3 +126,27 @@ def change_feed(spark, d):
     """Snapshots that differ from the one before."""
     before = F.lag("event_type").over(W.partitionBy("user_id").orderBy("us", "event_id"))
     return events(spark, d).withColumn("before", before).filter(~F.col("before").eqNullSafe(F.col("event_type"))).select("user_id", "event_id", "event_type")
+
+
+@query("""
+SELECT n_nationkey, n_nationkey % 16 + 1 AS first, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey % 16 + 1 ELSE n_nationkey % 16 + 5 END AS last, ['all', 'odd', 'even'][n_nationkey % 3 + 1] AS parity FROM nation""")
+def week_specs(spark, d):
+    k = F.col("n_nationkey")
+    one = (k % 16 + 1).cast("string")
+    spec = F.when(k % 3 == 0, one).otherwise(F.concat(one, F.lit("-"), (k % 16 + 5).cast("string"), F.when(k % 3 == 1, "odd").otherwise(" Even")))
+    return load(spark, d, "nation").select("n_nationkey", nm.week_spec(spec).alias("w")).select("n_nationkey", "w.first", "w.last", "w.parity")
+
+
+@query("SELECT conv_id AS domain_id, count(*) AS spans, 0 AS over_budget, count(*) AS distinct_spans FROM conversations GROUP BY 1")
+def refit_segments(spark, d):
+    """All spans stay, once each, and no segment is over the budget: what a refit promises, of one segment a domain."""
+    s = spans(spark, d).select("domain_id", F.lit(1).alias("segment"), "ordinal", "tokens", F.lit(False).alias("overlap"))
+    fitted = folds.refit_segments(s, 600).join(s.select("domain_id", "ordinal", "tokens"), ["domain_id", "ordinal"])
+    each = fitted.groupBy("domain_id", "segment").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"), F.count_distinct("ordinal").alias("k"))
+    return each.groupBy("domain_id").agg(F.sum("n").alias("spans"), F.count_if(F.col("tokens") > 600).cast("int").alias("over_budget"), F.sum("k").alias("distinct_spans"))
+
+
+@query("SELECT item_id, 64 AS dimensions, 1.0 AS length FROM benchmark")
+def text_vectors(spark, d):
+    v = hashed_vector(F.col("text"))
+    return load(spark, d, "benchmark").select("item_id", v.alias("v")).select("item_id", F.size("v").alias("dimensions"), F.round(F.sqrt(nm.dot(F.col("v"), F.col("v"))), 6).alias("length"))

@@ -102,3 +102,15 @@ def test_streams_end_and_merge(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     assert ev.run_updates(ev.tumbling(stream, "1 day"), ["start_us", "event_type"]).agg(F.sum("n")).first()[0] == n
     assert ev.run_updates(ev.lease_state(stream), ["user_id"]).agg(F.sum("tasks")).first()[0] == n
+
+
+def test_refit(spark):
+    rows = [("a", 1, o, t, v) for o, t, v in [(1, 40, True), (2, 50, False), (3, 60, False), (4, 10, False)]] + [("a", 2, 5, 20, False)]
+    df = spark.createDataFrame(rows, "domain_id string, segment long, ordinal long, tokens long, overlap boolean")
+    got = sorted((r["segment"], r["ordinal"]) for r in folds.refit_segments(df, 70).collect())
+    sums = {}
+    for segment, ordinal in got:
+        sums[segment] = sums.get(segment, 0) + {2: 50, 3: 60, 4: 10, 5: 20}[ordinal]
+    assert max(sums.values()) <= 70 and [g[1] for g in got] == [2, 3, 4, 5]
+    with pytest.raises(Exception, match="over the budget"):
+        folds.refit_segments(df, 30).collect()
