@@ -16,14 +16,15 @@ BLANKS = r"[ \t\r\f\x{0B}\x{A0}\x{3000}]+"
 def normalize_text(text: Column) -> Column:
     """Line ends to LF; invisible characters go; a word split by a soft hyphen and line end is joined; blanks collapse;
     lines are stripped; gaps between ideographs go; three and more line ends become two; the whole is stripped."""
-    out = F.regexp_replace(text, r"\r\n?", "\n")
+    swap = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
+    out = swap(swap(text, "\r\n", "\n"), "\r", "\n")
     out = F.regexp_replace(out, INVISIBLE, "")
     out = F.regexp_replace(out, r"(\p{L})[-\x{AD}]\n(\p{Ll})", "$1$2")
     out = F.regexp_replace(out, BLANKS, " ")
-    out = F.regexp_replace(out, r"(?m)^ +| +$", "")
+    out = swap(swap(out, " \n", "\n"), "\n ", "\n")  # blanks are single by now
     out = F.regexp_replace(out, rf"(?<=[{CJK}])\s+(?=[{CJK}])", "")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    return F.regexp_replace(out, r"^\s+|\s+$", "")
+    return F.btrim(out, F.lit(" \t\n\x0b\f\r"))
 
 
 def content_hash(text: Column) -> Column:
