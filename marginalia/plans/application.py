@@ -51,13 +51,13 @@ def left_joins_or_filter(spark, d):
 
 
 @query("""
-WITH m AS (SELECT r.r_name AS role, n.n_name AS model, row_number() OVER (PARTITION BY r.r_regionkey ORDER BY n.n_nationkey) AS place FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey WHERE n.n_nationkey % 2 = 0)
-SELECT r.r_name AS role, coalesce(m.model, 'default') AS model, coalesce(m.place, 1)::INT AS place FROM region r LEFT JOIN m ON m.role = r.r_name AND m.place <= 5""")
+WITH m AS (SELECT s_nationkey, s_name AS model, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS place FROM supplier WHERE s_acctbal > 0)
+SELECT n.n_name AS role, coalesce(m.model, 'default') AS model, coalesce(m.place, 1)::INT AS place FROM nation n LEFT JOIN m ON m.s_nationkey = n.n_nationkey AND m.place <= 5""")
 def role_routes(spark, d):
     """Enabled models of each role in order, at most five, or the default."""
-    r, n = load(spark, d, "region"), load(spark, d, "nation").filter("n_nationkey % 2 = 0")
-    routed = op.top_per_key(n, ["n_regionkey"], [F.col("n_nationkey")], 5)
-    return r.join(routed, F.col("r_regionkey") == F.col("n_regionkey"), "left").select(F.col("r_name").alias("role"), F.coalesce("n_name", F.lit("default")).alias("model"), F.coalesce("rank", F.lit(1)).alias("place"))
+    enabled = load(spark, d, "supplier").filter("s_acctbal > 0")
+    routed = op.top_per_key(enabled, ["s_nationkey"], [F.col("s_acctbal").desc(), F.col("s_suppkey")], 5)
+    return load(spark, d, "nation").join(routed, F.col("n_nationkey") == F.col("s_nationkey"), "left").select(F.col("n_name").alias("role"), F.coalesce("s_name", F.lit("default")).alias("model"), F.coalesce("rank", F.lit(1)).alias("place"))
 
 
 @query("SELECT n_name, s_suppkey FROM nation JOIN (SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1) p ON p.s_nationkey = n_nationkey WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")

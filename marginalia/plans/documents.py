@@ -111,11 +111,11 @@ def noisy_json_extract(spark, d):
 
 
 @query("""
-SELECT n_nationkey AS note_id, n_name || '-N' || lpad(n_nationkey::VARCHAR, 6, '0') || '.md' AS file_name, sha256('---' || chr(10) || 'title: ' || n_name || chr(10) || 'id: ' || n_nationkey || chr(10) || '---' || chr(10) || 'Part of region ' || n_regionkey || chr(10) || chr(10) || 'sha256:' || sha256('Part of region ' || n_regionkey) || chr(10)) AS digest FROM nation""")
+SELECT c_custkey AS note_id, c_name || '-N' || lpad(c_custkey::VARCHAR, 6, '0') || '.md' AS file_name, sha256('---' || chr(10) || 'title: "' || c_name || '"' || chr(10) || 'id: ' || c_custkey || chr(10) || '---' || chr(10) || 'In ' || c_mktsegment || chr(10) || chr(10) || 'sha256:' || sha256('In ' || c_mktsegment) || chr(10)) AS digest FROM customer""")
 def vault_note_files(spark, d):
-    notes = load(spark, d, "nation").withColumn("body", F.concat(F.lit("Part of region "), F.col("n_regionkey").cast("string")))
-    made = vault_notes(notes, "n_nationkey", "n_name", "body")
-    number = F.regexp_extract("file_name", r"-N([0-9]+)\.md$", 1).cast("int")
+    notes = load(spark, d, "customer").withColumn("body", F.concat(F.lit("In "), "c_mktsegment"))
+    made = vault_notes(notes, "c_custkey", "c_name", "body")
+    number = F.regexp_extract("file_name", r"-N([0-9]+)\.md$", 1).cast("long")
     return made.select(number.alias("note_id"), "file_name", F.sha2("value", 256).alias("digest"))
 
 
@@ -129,12 +129,12 @@ def change_feed(spark, d):
 
 
 @query("""
-SELECT n_nationkey, n_nationkey % 16 + 1 AS first, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey % 16 + 1 ELSE n_nationkey % 16 + 5 END AS last, ['all', 'odd', 'even'][n_nationkey % 3 + 1] AS parity FROM nation""")
+SELECT s_suppkey, (s_suppkey % 16 + 1)::INT AS first, (CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 16 + 1 ELSE s_suppkey % 16 + 5 END)::INT AS last, ['all', 'odd', 'even'][s_suppkey % 3 + 1] AS parity FROM supplier""")
 def week_specs(spark, d):
-    k = F.col("n_nationkey")
+    k = F.col("s_suppkey")
     one = (k % 16 + 1).cast("string")
     spec = F.when(k % 3 == 0, one).otherwise(F.concat(one, F.lit("-"), (k % 16 + 5).cast("string"), F.when(k % 3 == 1, "odd").otherwise(" Even")))
-    return load(spark, d, "nation").select("n_nationkey", nm.week_spec(spec).alias("w")).select("n_nationkey", "w.first", "w.last", "w.parity")
+    return load(spark, d, "supplier").select("s_suppkey", nm.week_spec(spec).alias("w")).select("s_suppkey", "w.first", "w.last", "w.parity")
 
 
 @query("SELECT conv_id AS domain_id, count(*) AS spans, 0 AS over_budget, count(*) AS distinct_spans FROM conversations GROUP BY 1")
@@ -146,7 +146,7 @@ def refit_segments(spark, d):
     return each.groupBy("domain_id").agg(F.sum("n").alias("spans"), F.count_if(F.col("tokens") > 600).cast("int").alias("over_budget"), F.sum("k").alias("distinct_spans"))
 
 
-@query("SELECT item_id, 64 AS dimensions, 1.0 AS length FROM benchmark")
+@query("SELECT doc_id, 64 AS dimensions, 1.0 AS length FROM documents")
 def text_vectors(spark, d):
     v = hashed_vector(F.col("text"))
-    return load(spark, d, "benchmark").select("item_id", v.alias("v")).select("item_id", F.size("v").alias("dimensions"), F.round(F.sqrt(nm.dot(F.col("v"), F.col("v"))), 6).alias("length"))
+    return load(spark, d, "documents").select("doc_id", v.alias("v")).select("doc_id", F.size("v").alias("dimensions"), F.round(F.sqrt(nm.dot(F.col("v"), F.col("v"))), 6).alias("length"))
