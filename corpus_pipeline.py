@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from marginalia.llm import jaccard_join, packing, quality, secret_scan
 from marginalia.llm.common import load, stored
@@ -24,8 +23,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard_join.similarity_components(docs, width=5, percent=80)
-    others = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("other")).distinct()
-    return docs.join(others, docs["doc_id"] == others["other"], "left_anti")
+    return jaccard_join.without_documents(docs, stored(groups.filter("component_id <> doc_id").select("doc_id")))
 
 
 def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
