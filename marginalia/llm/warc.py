@@ -87,7 +87,7 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
                     by["12"[page_id % 2]].append((page_id, url, html))
                 yield pa.RecordBatch.from_arrays([pa.array([arc_block(v, x, date) for v, x in by.items() if x], pa.string())], names=["value"])
 
-    rows.mapInArrow(run, "value string").write.option("compression", "gzip").option("maxRecordsPerFile", BLOCKS_A_FILE).text(path)
+    rows.mapInArrow(run, "value string").write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", BLOCKS_A_FILE).text(path)
 
 
 def unzipped(data: bytes) -> bytes:
