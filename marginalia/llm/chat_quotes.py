@@ -2,8 +2,9 @@
 
 A message's lines carry their quote level in leading ``>`` marks. Neighbouring lines of one level are a passage. A
 quoted passage, without marks, white space collapsed and in lower case, is hashed and joined to the first message of the
-thread that has it as a passage of its own, if that came before. The least quoted level that links names the message
-replied to. Chains of replies become paths by pointer doubling, so joins grow with the logarithm of a thread's depth,
+thread that has it as a passage of its own, if that came before. Replies whose nearest quotes don't all name one message
+that way (they quote parts, or answer between them) are joined by paragraph and line too, and the message that covers
+most quoted lines is taken. The least quoted level that links names the message replied to. Chains of replies become paths by pointer doubling, so joins grow with the logarithm of a thread's depth,
 and every join is on (thread, message) or (thread, passage): a thread of any length is dealt over tasks.
 """
 
@@ -42,6 +43,39 @@ def passage_key(text: Column) -> Column:
     return F.when(plain != "", F.sha2(plain, 256))
 
 
+def with_units(messages: DataFrame) -> DataFrame:
+    """(thread, turn, level, place, at, key, whole) of each run, paragraph and line of the passages that has words. at:
+    places of the run's lines in it, blank ones left out; whole: the unit is all of the run."""
+    runs = messages.select("thread", "turn", F.posexplode("passages").alias("place", "of")).select("thread", "turn", "of.level", "place", F.split("of.text", "\n").alias("lines"))
+    filled = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(r"\S"))
+    runs = runs.withColumn("filled", filled).filter("size(filled) > 0")
+    runs = runs.withColumn("starts", F.filter("filled", lambda i: ~F.array_contains("filled", i - 1)))
+    part = lambda s, end: F.struct(F.filter("filled", lambda i: (i >= s) & (i < end)).alias("at"), passage_key(F.array_join(F.slice("lines", s + 1, end - s), "\n")).alias("key"))
+    whole = F.array(part(F.lit(0), F.size("lines")))
+    paragraphs = F.transform("starts", lambda s, j: part(s, F.coalesce(F.get("starts", j + 1), F.size("lines"))))
+    units = F.filter(F.array_distinct(F.concat(whole, paragraphs, F.transform("filled", lambda i: part(i, i + 1)))), lambda u: u["key"].isNotNull())
+    each = runs.select("thread", "turn", "level", "place", F.size("filled").alias("n"), F.explode(units).alias("unit"))
+    return each.select("thread", "turn", "level", "place", "unit.at", "unit.key", (F.size("unit.at") == F.col("n")).alias("whole"))
+
+
+def part_parents(cut: DataFrame, replies: DataFrame) -> DataFrame:
+    """(thread, turn, parent) of ``replies`` (thread, turn) by units: of the least level that links, the earlier message
+    whose own units cover most quoted lines; then one whose whole run is quoted, the later quote, the earlier message.
+
+    Messages of a thread that share the same asked units differ in nothing but their turn, so the first of them stands
+    for all: a line that many repeat is joined once for each such set.
+    """
+    asked = checkpoint(with_units(cut.join(replies, ["thread", "turn"], "left_semi")).filter("level > 0"))
+    own = with_units(cut.join(replies.select("thread").distinct(), "thread", "left_semi")).filter("level = 0")
+    met = own.join(asked.select("thread", "key").distinct(), ["thread", "key"], "left_semi").groupBy("thread", "turn", "key").agg(F.max("whole").alias("own_whole"))
+    alike = met.groupBy("thread", "turn").agg(F.sort_array(F.collect_list(F.struct("key", "own_whole"))).alias("units")).groupBy("thread", "units").agg(F.min("turn").alias("origin"))
+    links = asked.join(alike.select("thread", "origin", F.inline("units")), ["thread", "key"]).filter("origin < turn")
+    lines = F.flatten(F.collect_list(F.transform("at", lambda i: F.struct("place", i.alias("line")))))
+    scored = links.groupBy("thread", "turn", "level", "origin").agg(F.size(F.array_distinct(lines)).alias("covered"), F.max(F.col("whole") & F.col("own_whole")).alias("whole"), F.max("place").alias("place"))
+    first = scored.groupBy("thread", "turn", F.struct(-F.col("level"), "covered", "whole", "place").alias("rank")).agg(F.min("origin").alias("origin"))
+    return first.groupBy("thread", "turn").agg(F.max_by("origin", "rank").alias("parent"))
+
+
 def reply_paths(parents: DataFrame) -> DataFrame:
     """(thread, turn, path) from (thread, turn, parent): the turns from the thread's start to the message. Each round
     doubles the length of path that every message knows."""
@@ -66,8 +100,10 @@ def reply_ordered(messages: DataFrame, thread_col: str = "conv_id", order_col: s
     cut = checkpoint(with_passages(one))
     each = cut.select("thread", "turn", F.posexplode("passages").alias("place", "passage")).select("thread", "turn", "place", "passage.level", passage_key(F.col("passage.text")).alias("key")).filter("key IS NOT NULL")
     origin = each.filter("level = 0").groupBy("thread", "key").agg(F.min("turn").alias("origin"))
-    links = each.filter("level > 0").join(checkpoint(origin), ["thread", "key"]).filter("origin < turn")
-    parents = links.groupBy("thread", "turn").agg(F.max(F.struct(-F.col("level"), "place", "origin")).alias("best")).select("thread", "turn", F.col("best.origin").alias("parent"))
+    found = each.filter("level > 0").join(checkpoint(origin), ["thread", "key"], "left").groupBy("thread", "turn").agg(F.collect_list(F.struct("level", F.when(F.col("origin") < F.col("turn"), F.col("origin")).alias("origin"))).alias("runs"))
+    near = F.array_distinct(F.transform(F.filter("runs", lambda r: r["level"] == F.array_min("runs.level")), lambda r: r["origin"]))
+    named = checkpoint(found.select("thread", "turn", near.alias("near")).select("thread", "turn", F.when(F.size("near") == 1, F.get("near", F.lit(0))).alias("parent")))
+    parents = named.filter("parent IS NOT NULL").unionByName(part_parents(cut, named.filter("parent IS NULL").select("thread", "turn")))
     known = cut.select("thread", "turn").join(parents, ["thread", "turn"], "left")
     own = F.trim(F.array_join(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["text"]), "\n"))
     out = cut.select("thread", "turn", "role", own.alias("text")).join(reply_paths(known), ["thread", "turn"])
@@ -88,3 +124,14 @@ def quoted_messages(conversations: DataFrame) -> DataFrame:
     joined = own.withColumn("t1", up(F.col("turn"))).join(first, ["conv_id", "t1"], "left").withColumn("t2", F.when(F.col("there1") == 1, up(F.col("t1")))).join(second, ["conv_id", "t2"], "left")
     body = F.concat_ws("\n", F.when(F.col("there2") == 1, marked(F.col("text2"), "> > ")), F.when(F.col("there1") == 1, marked(F.col("text1"), "> ")), F.coalesce("text", F.lit("")))
     return joined.select("conv_id", "turn", "role", body.alias("text"))
+
+
+def interleaved_messages(conversations: DataFrame) -> DataFrame:
+    """Conversations as messages that answer between quotes: message t quotes every other line of message t - 1, each
+    followed by a line of its own."""
+    own = conversations.select("conv_id", "turn", "role", F.split(F.coalesce("text", F.lit("")), r"\r\n|\n|\r").alias("own"))
+    above = own.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("own").alias("above"))
+    both = own.join(above, ["conv_id", "turn"], "left").withColumn("above", F.coalesce("above", F.array().cast("array<string>")))
+    step = lambda i: F.array_compact(F.array(F.when(i % 2 == 0, F.concat(F.lit("> "), F.get("above", i))), F.get("own", i)))
+    body = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size("own"), F.size("above")) - 1), step)), "\n")
+    return both.select("conv_id", "turn", "role", body.alias("text"))

@@ -53,11 +53,17 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("thread").alias("conv_id"), "turn", "role", "parent", "depth", "reply_path", "text", "rendered")
 
 
+def op9_quoted_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op9_chat_formatting, where each message quotes parts of the one before and answers between them."""
+    out = chat_quotes.reply_ordered(chat_quotes.interleaved_messages(load(spark, sf_dir, "conversations")))
+    return out.select(F.col("thread").alias("conv_id"), "turn", "role", "parent", "depth", "reply_path", "text", "rendered")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(load(spark, sf_dir, "documents"), PIECES)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encoding, op2_exact_topk, op3_best_fit_packing, op4_document_fingerprints, op5_quality_classifier, op6_warc, op7_secret_scans, op8_ngram_jaccard_join, op9_chat_formatting, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_bpe_encoding, op2_exact_topk, op3_best_fit_packing, op4_document_fingerprints, op5_quality_classifier, op6_warc, op7_secret_scans, op8_ngram_jaccard_join, op9_chat_formatting, op9_quoted_parts, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_topk": """

@@ -1,4 +1,5 @@
 from marginalia.llm.chat_quotes import reply_ordered
+from marginalia.llm.queries import op9_quoted_parts
 
 SCHEMA = "conv_id long, turn long, role string, text string, thread string, path int"
 
@@ -36,3 +37,38 @@ def test_long_chain_repeated_rows_and_empty_table(spark):
     assert [g[1] for g in got] == list(range(40))
     assert got[-1][3] == ".".join(map(str, range(40)))
     assert ordered(spark, []) == []
+
+
+def test_quoted_parts_and_answers_between(spark):
+    rows = [
+        (1, 0, "user", "First point.\nSecond point.\n\nA last paragraph\nof two lines."),
+        (1, 1, "assistant", "First point."),
+        (1, 2, "user", "> Second  point.\nRight."),
+        (1, 3, "assistant", "> First point.\nYes.\n> second point.\nNo."),
+        (1, 4, "user", "> A last\n> paragraph of\n> two lines.\nWrapped."),
+        (1, 5, "assistant", "> > Second point.\n> Nothing there.\n> No.\nGood."),
+        (1, 6, "user", "> First point.\nWhole."),
+        (1, 7, "user", "> Later.\n> > nowhere\nx"),
+        (1, 8, "user", "Later."),
+        (2, 0, "user", "> Second point.\nother thread"),
+    ]
+    got = {(g[0], g[1]): g[2] for g in ordered(spark, rows)}
+    assert got == {(1, 0): None, (1, 1): None, (1, 2): 0, (1, 3): 0, (1, 4): 0, (1, 5): 3, (1, 6): 1, (1, 7): None, (1, 8): None, (2, 0): None}
+
+
+def test_interleaved_query_against_brute_force(spark, sf_dir):
+    plain = lambda line: " ".join(line.split()).lower()
+    threads = {}
+    for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect():
+        threads.setdefault(r["conv_id"], {})[r["turn"]] = r["text"].split("\n")
+    want = {}
+    for conv, said in threads.items():
+        for turn in said:
+            quoted = [plain(x) for x in said.get(turn - 1, [])[::2] if plain(x)]
+            covers = {t: sum(q in set(map(plain, said[t])) for q in quoted) for t in said if t < turn}
+            most = max(covers.values(), default=0)
+            want[conv, turn] = [t for t, n in covers.items() if n == most] if most else [None]
+    got = {(r["conv_id"], r["turn"]): (r["parent"], r["text"]) for r in op9_quoted_parts(spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(parent in want[k] for k, (parent, _) in got.items())
+    assert all(text == "\n".join(threads[k[0]][k[1]]).strip(" ") for k, (_, text) in got.items())
+    assert sum(len(w) == 1 and w[0] == k[1] - 1 for k, w in want.items()) > 0
