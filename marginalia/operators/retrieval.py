@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +37,56 @@ def best(scored: DataFrame, query_col: str, id_col: str, k: int) -> DataFrame:
 
 
 def cosine_scores(vectors: DataFrame, query: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """Every vector against one query vector (a single row, broadcast)."""
-    one = query.select(F.col(vector_col).alias("_query")).limit(1)
-    return vectors.crossJoin(F.broadcast(one)).select(id_col, cosine(F.col(vector_col), F.col("_query")).alias("score"))
+    """(query_id, id, score) of every vector against every query vector."""
+    asked = query.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_query"))
+    return vectors.crossJoin(asked).select("query_id", id_col, cosine(F.col(vector_col), F.col("_query")).alias("score"))
+
+
+def _by_length(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length the rows that have it, their values and norms; without empty vectors and missing numbers."""
+    rows: dict[int, tuple[list, list]] = {}
+    for i, v in enumerate(vectors.to_pylist()):
+        if v and None not in v and np.isfinite(v).all():
+            at, values = rows.setdefault(len(v), ([], []))
+            at.append(i)
+            values.append(v)
+    return {n: (np.array(at), m := np.array(values), np.sqrt((m * m).sum(axis=1))) for n, (at, values) in rows.items()}
+
+
+def cosine_best(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, block: int = 2048) -> DataFrame:
+    """(query_id, rank, id, score): for each query vector the k nearest of the others, ties to the smaller id. Vectors
+    and queries meet in pairs of blocks, each of which leaves k rows a query. Vectors without values score 0."""
+    schema = "query_id long, id long, score double"
+    side = lambda df: df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    v, q = side(vectors), side(queries)
+    v_blocks, q_blocks = (max(1, -(-df.count() // block)) for df in (v, q))
+    one = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = v.select("*", one(v_blocks).cast("int").alias("v_block"), every(q_blocks).alias("q_block"))
+    q = q.select("*", one(q_blocks).cast("int").alias("q_block"), every(v_blocks).alias("v_block"))
+
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("id")
+        ids, asked = left["id"].to_numpy(), right["id"].to_numpy()
+        score = np.zeros((len(asked), len(ids)))
+        mine = _by_length(left["vector"])
+        for n, (at, values, norms) in _by_length(right["vector"]).items():
+            if n in mine:
+                to, others, theirs = mine[n]
+                score[np.ix_(at, to)] = values @ others.T / (norms[:, None] * theirs[None, :] + 1e-9)
+        rounded = np.where(asked[:, None] == ids[None, :], -np.inf, np.round(score, 9))
+        least = np.partition(rounded, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(asked), -np.inf)
+        found = [[], [], []]
+        for i, row in enumerate(rounded):
+            near = np.flatnonzero((row >= least[i]) & (row > -np.inf))
+            near = near[np.argsort(-row[near], kind="stable")][:k]
+            for to, part in zip(found, (np.full(len(near), asked[i]), ids[near], score[i, near]), strict=True):
+                to.append(part)
+        flat = [np.concatenate(f) if f else [] for f in found]
+        return pa.table({"query_id": pa.array(flat[0], pa.int64()), "id": pa.array(flat[1], pa.int64()), "score": pa.array(flat[2], pa.float64())})
+
+    keys = ["v_block", "q_block"]
+    return best(v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(pair, schema), "query_id", "id", k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
 def fused(bm25_score: Column, most: Column, near: Column | None, hierarchy: Column, phrase: Column) -> Column:
@@ -48,7 +97,11 @@ def fused(bm25_score: Column, most: Column, near: Column | None, hierarchy: Colu
     return 0.45 * part + 0.40 * F.greatest(near, F.lit(0.0)) + 0.10 * hierarchy + 0.05 * phrase
 
 
-def two_stage(scored: DataFrame, id_col: str, rerank: Column, k: int) -> DataFrame:
-    """max(4k, 12) candidates by score, then the k best by ``rerank``."""
-    first = scored.orderBy(F.round("score", 9).desc(), id_col).limit(max(4 * k, 12))
-    return first.withColumn("rerank", rerank).orderBy(F.col("rerank").desc(), F.round("score", 9).desc(), id_col).limit(k)
+def two_stage(scored: DataFrame, id_col: str, rerank: Column, k: int, query_col: str | None = None) -> DataFrame:
+    """max(4k, 12) candidates by score, then the k best by ``rerank``; of each query where a query column is named."""
+    score = F.round("score", 9).desc()
+    if query_col:
+        first = top_per_key(scored, [query_col], [score, F.col(id_col)], max(4 * k, 12)).drop("rank").withColumn("rerank", rerank)
+        return top_per_key(first, [query_col], [F.col("rerank").desc(), score, F.col(id_col)], k)
+    first = scored.orderBy(score, id_col).limit(max(4 * k, 12))
+    return first.withColumn("rerank", rerank).orderBy(F.col("rerank").desc(), score, id_col).limit(k)

@@ -138,6 +138,15 @@ def cosine_topk(spark, d):
     return scored.orderBy(F.round("score", 9).desc(), "vec_id").limit(20).select("vec_id", F.round("score", 6).alias("score"))
 
 
+@query("""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(v.e, q.e) / (sqrt(list_inner_product(v.e, v.e)) * sqrt(list_inner_product(q.e, q.e)) + 1e-9) AS score FROM v JOIN v q ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id)::INT AS rank, vec_id, round(score, 6) AS score FROM s QUALIFY rank <= 20""")
+def cosine_topk_each(spark, d):
+    """The 20 nearest vectors of every query vector."""
+    e = load(spark, d, "embeddings")
+    return retrieval.cosine_best(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", 20).withColumn("score", F.round("score", 6))
+
+
 @query(BM25 + """, f AS (SELECT doc_id, score, max(score) OVER () AS most FROM scored WHERE item_id = 1),
 m AS (SELECT f.doc_id, d.n_chars, 0.60 * f.score / f.most + 0.30 * CASE d.lang WHEN 'en' THEN 1.0 WHEN 'fr' THEN 0.6 ELSE 0.2 END + 0.10 * least(0.5, 0.1 * len(list_filter(['the', 'of', 'and'], lambda t: contains(d.text, t)))) AS score FROM f JOIN documents d USING (doc_id)),
 c AS (SELECT * FROM m ORDER BY round(score, 9) DESC, doc_id LIMIT 40)
@@ -152,6 +161,39 @@ def hybrid_rank(spark, d):
     return retrieval.two_stage(docs.select("doc_id", "n_chars", score.alias("score")), "doc_id", F.col("n_chars"), 10).select("doc_id", F.round("score", 6).alias("score"))
 
 
+
+WHOLE_BM25 = BM25.replace("[1:5]", "")
+
+
+def _whole_bm25(docs, items):
+    return retrieval.bm25(docs, items.select("item_id", tx.char_tokens(F.col("text")).alias("terms")), "doc_id", F.col("text"), "item_id", "terms")
+
+
+@query(WHOLE_BM25 + """, q AS (SELECT b.item_id, list_distinct(list_transform(regexp_extract_all(b.text, '[A-Za-z0-9]{2,}'), lambda x: lower(x))) AS t, e.embedding::DOUBLE[] AS v FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id WHERE b.item_id % 20 = 0),
+f AS (SELECT q.item_id, d.doc_id, d.n_chars, coalesce(s.score, 0) / coalesce(max(s.score) OVER (PARTITION BY q.item_id), 1) AS part, CASE d.lang WHEN 'en' THEN 1.0 WHEN 'fr' THEN 0.6 ELSE 0.2 END AS level, least(1.0, 0.2 * len(list_filter(q.t, lambda t: contains(d.text, t)))) AS phrase, q.v IS NULL AS keyword,
+  coalesce(greatest(list_inner_product(q.v, e.embedding::DOUBLE[]) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) + 1e-9), 0), 0) AS near
+  FROM q CROSS JOIN documents d LEFT JOIN scored s ON s.item_id = q.item_id AND s.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
+m AS (SELECT item_id, doc_id, n_chars, CASE WHEN keyword THEN 0.60 * part + 0.30 * level + 0.10 * phrase ELSE 0.45 * part + 0.40 * near + 0.10 * level + 0.05 * phrase END AS score FROM f),
+c AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) <= 40)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY n_chars DESC, round(score, 9) DESC, doc_id)::INT AS rank, doc_id, round(score, 6) AS score FROM c QUALIFY rank <= 10""")
+def hybrid_rank_each(spark, d):
+    """Fused scores of every query passage against every document: the words are the passage's, and passages and
+    documents have the vectors of their ids. 40 candidates of each query, of which the ten longest stay."""
+    docs, e = load(spark, d, "documents"), load(spark, d, "embeddings")
+    items = load(spark, d, "benchmark").filter("item_id % 20 = 0")
+    asked = items.select("item_id", tx.term_set(F.col("text")).alias("words")).join(e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("asked")), "item_id", "left")
+    scored = _whole_bm25(docs, items).withColumnRenamed("score", "bm25")
+    most = scored.groupBy("item_id").agg(F.max("bm25").alias("most"))
+    level = F.when(F.col("lang") == "en", 1.0).when(F.col("lang") == "fr", 0.6).otherwise(0.2)
+    near = F.coalesce(nm.cosine(F.col("embedding"), F.col("asked")), F.lit(0.0))
+    held = docs.join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    met = held.crossJoin(asked).select("item_id", "doc_id", "n_chars", level.alias("level"), (tx.phrase_bonus(F.col("words"), F.col("text")) / 0.5).alias("phrase"), F.when(F.col("asked").isNotNull(), near).alias("near"))
+    both = met.join(scored, ["item_id", "doc_id"], "left").join(most, "item_id", "left")
+    part, top = F.coalesce("bm25", F.lit(0.0)), F.coalesce("most", F.lit(0.0))
+    fused = lambda n: retrieval.fused(part, top, n, F.col("level"), F.col("phrase"))
+    score = F.when(F.col("near").isNull(), fused(None)).otherwise(fused(F.col("near")))
+    return retrieval.two_stage(both.select("item_id", "doc_id", "n_chars", score.alias("score")), "doc_id", F.col("n_chars"), 10, "item_id").select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
 @query("""
 WITH RECURSIVE s AS (SELECT conv_id AS domain_id, turn + 1 AS ordinal, ceil(length(text) / 4.0)::BIGINT AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
 f AS (SELECT domain_id, ordinal, tokens, n, CASE WHEN tokens > 400 THEN 0 ELSE 1 END AS seg, CASE WHEN tokens > 400 THEN 400 ELSE 400 - tokens END AS space FROM s WHERE n = 1

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.json_text import first_json
 from marginalia.operators import chunking as ch
-from marginalia.operators import dedup, folds, graph
+from marginalia.operators import dedup, folds, graph, retrieval
 from marginalia.operators import relational as op
 from marginalia.operators import windows as wn
 from marginalia.sources import files
@@ -114,3 +114,23 @@ def test_refit(spark):
     assert max(sums.values()) <= 70 and [g[1] for g in got] == [2, 3, 4, 5]
     with pytest.raises(Exception, match="over the budget"):
         folds.refit_segments(df, 30).collect()
+
+
+def test_every_query_vector_in_blocks(spark):
+    drawn = random.Random(3)
+    rows = [(i, [drawn.choice([-1.0, 0.5, 2.0]) for _ in range(3 if i % 9 else 2)]) for i in range(90)] + [(90, []), (91, None), (92, [1.0, None, 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    queries = df.filter("id % 20 = 0")
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b) or None in a + b:
+            return 0.0
+        return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5 + 1e-9)
+
+    want = {(q, n + 1, i) for q, a in rows if q % 20 == 0 for n, (_, i) in enumerate(sorted((-round(cosine(a, b), 9), i) for i, b in rows if i != q)[:7])}
+    for block in (8, 2048):
+        assert {(r["query_id"], r["rank"], r["id"]) for r in retrieval.cosine_best(df, queries, "id", "v", 7, block).collect()} == want
+    assert {r["query_id"] for r in retrieval.cosine_scores(df, queries, "id", "v").collect()} == {0, 20, 40, 60, 80}
+    scored = retrieval.cosine_scores(df, queries, "id", "v")
+    assert scored.count() == 5 * len(rows)
+    assert {r["query_id"]: r["n"] for r in retrieval.two_stage(scored, "id", F.col("id"), 3, "query_id").groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {q: 3 for q in (0, 20, 40, 60, 80)}
