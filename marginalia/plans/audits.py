@@ -163,12 +163,20 @@ def hybrid_rank(spark, d):
 
 
 WHOLE_BM25 = BM25.replace("[1:5]", "")
+BM25_COLUMNS = "SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id)::INT AS rank, doc_id, round(score, 6) AS score FROM scored QUALIFY rank <= 10"
 
 
 def _whole_bm25(docs, items):
     return retrieval.bm25(docs, items.select("item_id", tx.char_tokens(F.col("text")).alias("terms")), "doc_id", F.col("text"), "item_id", "terms")
 
 
+@query(WHOLE_BM25 + BM25_COLUMNS)
+def bm25_topk_whole(spark, d):
+    """As bm25_topk, with all tokens of each passage."""
+    scored = _whole_bm25(load(spark, d, "documents"), load(spark, d, "benchmark"))
+    return retrieval.best(scored, "item_id", "doc_id", 10).select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
 @query(WHOLE_BM25 + """, q AS (SELECT b.item_id, list_distinct(list_transform(regexp_extract_all(b.text, '[A-Za-z0-9]{2,}'), lambda x: lower(x))) AS t, e.embedding::DOUBLE[] AS v FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id WHERE b.item_id % 20 = 0),
 f AS (SELECT q.item_id, d.doc_id, d.n_chars, coalesce(s.score, 0) / coalesce(max(s.score) OVER (PARTITION BY q.item_id), 1) AS part, CASE d.lang WHEN 'en' THEN 1.0 WHEN 'fr' THEN 0.6 ELSE 0.2 END AS level, least(1.0, 0.2 * len(list_filter(q.t, lambda t: contains(d.text, t)))) AS phrase, q.v IS NULL AS keyword,
   coalesce(greatest(list_inner_product(q.v, e.embedding::DOUBLE[]) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) + 1e-9), 0), 0) AS near

@@ -1,10 +1,13 @@
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions.json_text import first_json
 from marginalia.operators import chunking as ch
+from marginalia import plans
 from marginalia.operators import dedup, folds, graph, retrieval
 from marginalia.operators import relational as op
 from marginalia.operators import windows as wn
@@ -134,3 +137,17 @@ def test_every_query_vector_in_blocks(spark):
     scored = retrieval.cosine_scores(df, queries, "id", "v")
     assert scored.count() == 5 * len(rows)
     assert {r["query_id"]: r["n"] for r in retrieval.two_stage(scored, "id", F.col("id"), 3, "query_id").groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {q: 3 for q in (0, 20, 40, 60, 80)}
+
+
+def test_bm25_counts_terms_beyond_the_fifth(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = plans.QUERIES["bm25_topk_whole"](spark, sf_dir).filter("rank = 1").collect()
+    said = {r["doc_id"]: re.findall("[a-z0-9]+", r["text"].lower()) for r in docs.collect()}
+    asked = {r["item_id"]: re.findall("[a-z0-9]+", r["text"].lower()) for r in items.collect()}
+    n, mean = len(said), sum(map(len, said.values())) / len(said)
+    df = {t: sum(t in s for s in map(set, said.values())) for t in {t for a in asked.values() for t in a}}
+    for r in got[:5]:
+        words = said[r["doc_id"]]
+        score = sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * words.count(t) * 2.5 / (words.count(t) + 1.5 * (0.25 + 0.75 * len(words) / mean)) for t in asked[r["item_id"]])
+        assert r["score"] == pytest.approx(score, abs=2e-6)
