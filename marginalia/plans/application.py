@@ -196,6 +196,31 @@ def rebuild_on_hash(spark, d):
     return new.join(old, "source", "left").select("source", action.alias("action"), "n")
 
 
+def _digests(docs, name):
+    """A digest of each source's documents that no order changes: how many, and sums of two hashes of id and text."""
+    key = F.concat_ws(":", "doc_id", F.sha2("text", 256))
+    total = lambda seed: F.sum(F.xxhash64(key, F.lit(seed)).cast("decimal(20,0)"))
+    return docs.groupBy("source").agg(F.count("*").alias("n"), F.struct(F.count("*"), total(1), total(2)).alias(name))
+
+
+def _rebuild(old, new):
+    before, now = _digests(old, "old").drop("n"), _digests(new, "new")
+    action = F.when(F.col("old").isNull(), "build").when(F.col("old") == F.col("new"), "reuse").otherwise("rebuild")
+    return now.join(before, "source", "left").select("source", action.alias("action"), "n")
+
+
+@query("""
+WITH edited AS (SELECT source, text, CASE WHEN source = (SELECT min(source) FROM documents) AND doc_id % 10 = 0 THEN reverse(text) ELSE text END AS old FROM documents)
+SELECT source, CASE WHEN bool_or(old <> text) THEN 'rebuild' ELSE 'reuse' END AS action, count(*) AS n FROM edited GROUP BY 1""")
+def rebuild_on_digest(spark, d):
+    """As rebuild_on_hash, by the texts themselves; before, each tenth text of the first source was another of the same
+    length."""
+    docs = load(spark, d, "documents")
+    first = docs.agg(F.min("source").alias("first"))
+    text = F.when((F.col("source") == F.col("first")) & (F.col("doc_id") % 10 == 0), F.reverse("text")).otherwise(F.col("text"))
+    return _rebuild(docs.crossJoin(F.broadcast(first)).withColumn("text", text).drop("first"), docs)  # one row
+
+
 @query("""
 WITH t AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x))) AS term FROM documents)
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf, min(doc_id) AS first_doc FROM t GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5""")

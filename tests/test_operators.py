@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.json_text import first_json
 from marginalia.operators import chunking as ch
 from marginalia import plans
+from marginalia.plans import application
 from marginalia.operators import dedup, folds, graph, retrieval
 from marginalia.operators import relational as op
 from marginalia.operators import windows as wn
@@ -151,3 +152,11 @@ def test_bm25_counts_terms_beyond_the_fifth(spark, sf_dir):
         words = said[r["doc_id"]]
         score = sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * words.count(t) * 2.5 / (words.count(t) + 1.5 * (0.25 + 0.75 * len(words) / mean)) for t in asked[r["item_id"]])
         assert r["score"] == pytest.approx(score, abs=2e-6)
+
+
+def test_rebuild_sees_edits_of_equal_length(spark):
+    old = [(1, "a", "abc"), (2, "a", "de"), (3, "b", "abc"), (4, "b", "x"), (5, "c", "same"), (6, "c", ""), (8, "e", None)]
+    new = [(2, "a", "ed"), (1, "a", "abc"), (3, "b", "ab"), (4, "b", "xy"), (6, "c", ""), (5, "c", "same"), (7, "d", "new"), (8, "e", "")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r["source"]: (r["action"], r["n"]) for r in application._rebuild(frame(old), frame(new)).collect()}
+    assert got == {"a": ("rebuild", 2), "b": ("rebuild", 2), "c": ("reuse", 2), "d": ("build", 1), "e": ("rebuild", 1)}
