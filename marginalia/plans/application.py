@@ -231,6 +231,14 @@ def postings_index(spark, d):
     return per.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"), F.min("doc_id").alias("first_doc")).filter("df >= 5")
 
 
+@query("""
+WITH t AS (SELECT doc_id, unnest(list_concat(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)), regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}]'))) AS term FROM documents)
+SELECT term, doc_id, count(*) AS tf FROM t GROUP BY 1, 2""")
+def postings_whole(spark, d):
+    """Postings of every term, the rarest and ideographs too: in which documents it is, and how often."""
+    return load(spark, d, "documents").select("doc_id", F.explode(tx.char_tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+
+
 @query("""
 WITH r AS (SELECT sha256(text) AS key, min(doc_id) AS reply FROM documents WHERE doc_id % 2 = 0 GROUP BY 1)
 SELECT d.doc_id, r.reply, r.key IS NULL AS missing FROM documents d LEFT JOIN r ON r.key = sha256(d.text)""")

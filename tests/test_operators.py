@@ -160,3 +160,10 @@ def test_rebuild_sees_edits_of_equal_length(spark):
     frame = lambda rows: spark.createDataFrame(rows, "doc_id long, source string, text string")
     got = {r["source"]: (r["action"], r["n"]) for r in application._rebuild(frame(old), frame(new)).collect()}
     assert got == {"a": ("rebuild", 2), "b": ("rebuild", 2), "c": ("reuse", 2), "d": ("build", 1), "e": ("rebuild", 1)}
+
+
+def test_postings_keep_rare_terms_and_ideographs(spark, tmp_path):
+    rows = [(1, "Once twice twice 中文中"), (2, "twice")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, plans.QUERIES["postings_whole"](spark, str(tmp_path)).select("term", "doc_id", "tf").collect()))
+    assert got == [("once", 1, 1), ("twice", 1, 2), ("twice", 2, 1), ("中", 1, 2), ("文", 1, 1)]
