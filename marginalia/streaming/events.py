@@ -18,9 +18,14 @@ from marginalia.streaming.tables import new_folder
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_a_batch: int = 64) -> DataFrame:
-    """Events with a time zone, which watermarks need."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).option("pathGlobFilter", "*events.parquet").parquet(sf_dir)
+    """Events with a time zone, which watermarks need, out of a folder of files or a single one."""
+    whole = f"{sf_dir}/events.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(whole).schema).option("maxFilesPerTrigger", files_a_batch)
+    path = spark._jvm.org.apache.hadoop.fs.Path(whole)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        raw = reader.parquet(whole)
+    else:
+        raw = reader.option("pathGlobFilter", "*events.parquet").parquet(sf_dir)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -40,17 +45,23 @@ def run_updates(stream: DataFrame, keys: list[str], mode: str = "update") -> Dat
     return rows.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n", "_batch")
 
 
-def tumbling(stream: DataFrame, size: str, late: str = "1 day") -> DataFrame:
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.unix_micros("w.start").alias("start_us"), "event_type", "n", "total")
+def awaiting(stream: DataFrame, late: str | None) -> DataFrame:
+    """With a watermark where a lateness is given. Runs that catch up have none: files come in any order, and a
+    watermark would drop the older events of later ones."""
+    return stream.withWatermark("ts", late) if late else stream
 
 
-def sliding(stream: DataFrame, size: str, step: str, late: str = "1 day") -> DataFrame:
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", size, step).alias("w")).agg(F.count("*").alias("n")).select(F.unix_micros("w.start").alias("start_us"), "n")
+def tumbling(stream: DataFrame, size: str, late: str | None = None) -> DataFrame:
+    return awaiting(stream, late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.unix_micros("w.start").alias("start_us"), "event_type", "n", "total")
 
 
-def first_of_key(stream: DataFrame, key: str, late: str = "60 days") -> DataFrame:
-    """Enqueue once: later rows of a key that came before, within the watermark, are dropped."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+def sliding(stream: DataFrame, size: str, step: str, late: str | None = None) -> DataFrame:
+    return awaiting(stream, late).groupBy(F.window("ts", size, step).alias("w")).agg(F.count("*").alias("n")).select(F.unix_micros("w.start").alias("start_us"), "n")
+
+
+def first_of_key(stream: DataFrame, key: str, late: str | None = None) -> DataFrame:
+    """Enqueue once: later rows of a key that came before, within the watermark if there is one, are dropped."""
+    return awaiting(stream, late).dropDuplicatesWithinWatermark([key]) if late else stream.dropDuplicates([key])
 
 
 def _lease(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

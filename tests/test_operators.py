@@ -1,3 +1,4 @@
+import datetime
 import math
 import random
 import re
@@ -167,3 +168,17 @@ def test_postings_keep_rare_terms_and_ideographs(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(map(tuple, plans.QUERIES["postings_whole"](spark, str(tmp_path)).select("term", "doc_id", "tf").collect()))
     assert got == [("once", 1, 1), ("twice", 1, 2), ("twice", 2, 1), ("中", 1, 2), ("文", 1, 1)]
+
+
+def test_streams_of_folders_in_any_order(spark, tmp_path):
+    day = lambda i: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=i)
+    rows = [(i, day(i * 37 % 100), i % 5, "x", 1.0) for i in range(100)]
+    for i in range(0, 100, 10):  # files come in the order they were written
+        spark.createDataFrame(rows[i : i + 10], "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    late = spark.createDataFrame([(100, day(-300), 9, "x", 1.0)], "event_id long, ts timestamp, user_id long, event_type string, value double")
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    stream = lambda: ev.event_stream(spark, str(tmp_path), files_a_batch=3)
+    assert ev.run_updates(ev.tumbling(stream(), "1 day"), ["start_us", "event_type"]).agg(F.sum("n")).first()[0] == 101
+    assert ev.run_updates(ev.sliding(stream(), "12 hours", "6 hours"), ["start_us"]).agg(F.sum("n")).first()[0] == 202
+    assert sorted(r["user_id"] for r in ev.run_updates(ev.first_of_key(stream(), "user_id"), [], "append").collect()) == [0, 1, 2, 3, 4, 9]
+    assert ev.run_updates(ev.ledger(stream()), ["user_id", "event_type"]).count() == 6
