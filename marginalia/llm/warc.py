@@ -1,19 +1,26 @@
 """Legacy ARC archives to WARC, and back to rows.
 
-Archives are written with Spark's text sink, one record or block of records a row, so they land wherever the session's
-file systems reach, compressed with gzip. They are read as binary files. An ARC record is a header line, whose fields
-depend on the version that the last version block named, and a block of the length that the line declares; a WARC record
-is named fields, an empty line and a block. Neither reader looks for separators inside blocks.
-
-Of each set of equal payloads the record of the smallest page is kept whole, and the others revisit it. Only digests and
-page numbers are grouped for that; payloads move once, with the join on them salted so that a payload that very many
-pages share is dealt over tasks.
+An ARC record is a header line, whose fields depend on the version that the last version block named, and a block of the
+length that the line declares; a WARC record is named fields, an empty line and a block. Neither reader looks for
+separators inside blocks, and blocks are bytes of any kind. Every record is a gzip member of its own, as such archives
+have it, and members are read in one pass.
+
+Tasks gather records to archives of a bounded size, one a row, and Spark's text sink writes each to a file of its own,
+wherever the session's file systems reach; archives are read as binary files (of up to 2 GiB each, Spark's limit for
+them). The sink puts its line end after each row, so that end is a zero byte, and each archive comes without its last
+byte: a gzip member ends with its length, whose last byte is zero below 16 MiB; an empty member follows a longer one.
+
+Of each set of equal payloads the record of the smallest page is kept whole, and the others revisit it. Only digests,
+page numbers and identifiers are grouped for that; payloads move once, with the join on them salted so that a payload
+that very many pages share is dealt over tasks. Records without a page number, as other crawlers' archives have them,
+come after all others there, by date and URL.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -30,234 +37,354 @@ ARC_FIELDS = {
     "1": ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
     "2": ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
+#: Only a URL and a content type may hold blanks.
+FIELD_FORMS = {"URL": "(.*)", "Archive-date": r"(\d+|-)", "Content-type": "(.*?)", "Archive-length": r"(\d+)"}
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 CAPTURED = "20240101000000"
-RECORDS_A_BLOCK = 200
-BLOCKS_A_FILE = 100
-RECORDS_A_FILE = 20_000
+#: Bytes of an archive after which the next one begins, and of a batch of records on their way to Spark.
+ARCHIVE_BYTES = 64 << 20
+BATCH_BYTES = 8 << 20
+LONGEST_LINE = 1 << 16
+GZIP_LEVEL = 3
 SALTS = 16
-ARC = "kind string, url string, date string, content_type string, page_id long, payload_digest string, payload_bytes long, block binary"
-WARC = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string, date string"
+ARC = "kind string, url string, date string, content_type string, page_id long, payload_digest string, payload_bytes long, record_id string, block binary"
+WARC = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string, target_uri string, date string"
 
 
 def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def encoded_url(url: str) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+
+
+def gzip_member(data: bytes) -> bytes:
+    member = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 31)
+    return member.compress(data) + member.flush()
+
+
+class Archive:
+    """Gzip members until they fill an archive."""
+
+    def __init__(self, opening: bytes = b""):
+        self.opening, self.members, self.size = opening, [], 0
+
+    def add(self, record: bytes) -> Iterator[bytes]:
+        """Gives the archive if the record fills it."""
+        if self.opening and not self.members:
+            self.members.append(gzip_member(self.opening))
+        self.members.append(gzip_member(record))
+        self.size += len(self.members[-1])
+        if self.size >= ARCHIVE_BYTES:
+            yield from self.close()
+
+    def close(self) -> Iterator[bytes]:
+        if self.members:
+            if self.members[-1][-1]:
+                self.members.append(gzip_member(b""))
+            whole = b"".join(self.members)
+            self.members, self.size = [], 0
+            yield whole[:-1]
+
+
+def write_archives(archives: DataFrame, path: str, suffix: str) -> None:
+    """A file for each row of ``value``, bytes without a last zero."""
+    text = archives.select(F.col("value").cast("string").alias("value"))  # the same bytes, whatever they are
+    text.write.option("lineSep", "\x00").option("maxRecordsPerFile", 1).option("compression", "none").text(f"{path}/{suffix}")
+
+
+def one_value(values: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    for value in values:
+        yield pa.RecordBatch.from_arrays([pa.array([value], pa.binary())], names=["value"])
+
+
+class Members(io.RawIOBase):
+    """The contents of gzip members, one after another; each byte is looked at once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.member, self.rest = memoryview(data), 0, None, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.rest and self.at < len(self.data):
+            if self.member is None:
+                if self.data[self.at] == 0:  # padding
+                    self.at += 1
+                    continue
+                self.member = zlib.decompressobj(31)
+            part = self.data[self.at : self.at + LONGEST_LINE]
+            self.rest = self.member.decompress(part)
+            self.at += len(part) - len(self.member.unused_data)
+            if self.member.eof:
+                self.member = None
+        n = min(len(into), len(self.rest))
+        into[:n] = self.rest[:n]
+        self.rest = self.rest[n:]
+        return n
+
+
+def opened(data: bytes) -> io.BufferedIOBase:
+    """An archive's contents, whether it is compressed or not."""
+    return io.BufferedReader(Members(data), 1 << 16) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+
+
 def http_block(page_id: int, payload: bytes) -> bytes:
     return f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\nX-Page-Id: {page_id}\r\n\r\n".encode() + payload
 
 
+def http_parts(block: bytes) -> tuple[bytes, bytes]:
+    """(header with the empty line that ends it, payload); all is header where that line is missing."""
+    end = re.search(rb"\r?\n\r?\n", block)
+    return (block[: end.end()], block[end.end() :]) if end else (block, b"")
+
+
 def header_fields(head: bytes) -> dict[str, str]:
     """Named fields, after the first line, with names in lower case."""
-    lines = head.decode("utf-8", "replace").split("\r\n")[1:]
+    lines = head.decode("utf-8", "replace").splitlines()[1:]
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines) if k}
 
 
-def arc_line(version: str, url: str, content_type: str, date: str, block: bytes) -> str:
-    at = {"URL": url, "IP-address": "0.0.0.0", "Archive-date": date, "Content-type": content_type, "Result-code": "200", "Checksum": hashlib.md5(block).hexdigest(), "Location": "-", "Offset": "0", "Filename": "-", "Archive-length": str(len(block))}
-    return " ".join(at[f] for f in ARC_FIELDS[version])
+def whole_number(text: str | None) -> int | None:
+    """None for what isn't a long."""
+    return int(text) if text and re.fullmatch(r"-?[0-9]{1,19}", text) and -(2**63) <= int(text) < 2**63 else None
+
+
+def arc_record(version: str, url: str, content_type: str, date: str, block: bytes) -> bytes:
+    at = {"URL": encoded_url(url), "IP-address": "0.0.0.0", "Archive-date": date, "Content-type": content_type, "Result-code": "200", "Checksum": hashlib.md5(block).hexdigest(), "Location": "-", "Offset": "0", "Filename": "-", "Archive-length": str(len(block))}
+    return " ".join(at[f] for f in ARC_FIELDS[version]).encode() + b"\n" + block + b"\n"
 
 
-def arc_block(version: str, records: list[tuple[int, str, str]], date: str) -> str:
-    """A version block and the records after it."""
+def version_record(version: str, date: str) -> bytes:
     about = f"{version} 0 marginalia\n{' '.join(ARC_FIELDS[version])}\n".encode()
-    out = [f"filedesc://pages.arc 0.0.0.0 {date} text/plain {len(about)}\n".encode(), about, b"\n"]
-    for page_id, url, html in records:
-        block = http_block(page_id, html.encode())
-        out += [arc_line(version, url, "text/html", date, block).encode(), b"\n", block, b"\n"]
-    return b"".join(out)[:-1].decode()  # the sink ends a row with a line feed
+    return f"filedesc://pages.arc 0.0.0.0 {date} text/plain {len(about)}\n".encode() + about + b"\n"
 
 
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = CAPTURED) -> None:
-    """Pages as ARC archives; those with even numbers in blocks of version 1 and the others of version 2.
+    """Pages as ARC archives; those with even numbers in archives of version 1 and the others of version 2.
 
-    A null html is empty, a null url reads ``urn:page:`` and the number. Spaces and controls in a url are percent-encoded.
-    Rows without a page number are left out.
+    ``html``: text or bytes. A null html is empty, a null url reads ``urn:page:`` and the number. Spaces and controls in
+    a url are percent-encoded. Rows without a page number are left out.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).filter("page_id IS NOT NULL")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("html")).filter("page_id IS NOT NULL")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, RECORDS_A_BLOCK):
-                batch = whole.slice(at, RECORDS_A_BLOCK)
-                by: dict[str, list] = {"1": [], "2": []}
-                for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns)):
-                    url = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{page_id}"
-                    by["12"[page_id % 2]].append((page_id, url, html))
-                yield pa.RecordBatch.from_arrays([pa.array([arc_block(v, x, date) for v, x in by.items() if x], pa.string())], names=["value"])
-
-    rows.mapInArrow(run, "value string").write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", BLOCKS_A_FILE).text(path)
-
-
-def unzipped(data: bytes) -> bytes:
-    """Contents of any number of gzip members, or plain bytes as they are."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data
-    return b"".join(out)
-
-
-def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record of an archive, version blocks included."""
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        open_ = {v: Archive(version_record(v, date)) for v in ARC_FIELDS}
+        for batch in batches:
+            for page, url, html in zip(*batch.columns):
+                page_id, version = page.as_py(), "12"[page.as_py() % 2]
+                yield from open_[version].add(arc_record(version, url.as_py() or f"urn:page:{page_id}", "text/html", date, http_block(page_id, html.as_py())))
+        for archive in open_.values():
+            yield from archive.close()
+
+    write_archives(rows.mapInArrow(lambda batches: one_value(archives(batches)), "value binary"), path, "arc")
+
+
+def arc_line_form(fields: list[str]) -> re.Pattern:
+    return re.compile(" ".join(FIELD_FORMS.get(f, r"(\S+)") for f in fields))
+
+
+def arc_records(archive: io.BufferedIOBase) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, header fields, block) of each record, version blocks included. What stands where a header should, up to
+    the next line that is one, and a block that ends early, come as records without header fields."""
     at, fields = 0, ARC_FIELDS["1"]
-    while at < len(data):
-        if data[at : at + 1] in b"\r\n":
-            at += 1
+    form = arc_line_form(fields)
+    odd, odd_at = [], 0
+    while line := archive.readline(LONGEST_LINE):
+        start, at = at, at + len(line)
+        text = line.decode("utf-8", "replace").rstrip("\r\n")
+        about = text.startswith("filedesc://") and re.fullmatch(r"(\S+) (\S+) (\d+) (.*) (\d+)", text)
+        values = form.fullmatch(text)
+        if not (about or values):
+            if odd or text:
+                odd, odd_at = [*odd, line], odd_at if odd else start
             continue
-        end = data.index(b"\n", at)
-        line = data[at:end].decode().rstrip("\r")
-        if line.startswith("filedesc://"):
-            head = dict(zip(ARC_FIELDS["1"], line.split(" ")))
-        else:
-            values = line.split(" ")
-            if len(values) != len(fields):
-                raise ValueError(f"an ARC header of {len(values)} fields where {len(fields)} are declared: {line[:200]}")
-            head = dict(zip(fields, values))
+        if odd:
+            yield odd_at, {}, b"".join(odd)
+            odd = []
+        head = dict(zip(ARC_FIELDS["1"], about.groups())) if about else dict(zip(fields, values.groups()))
         length = int(head["Archive-length"])
-        block = data[end + 1 : end + 1 + length]
+        block = archive.read(length)
+        at += len(block)
         if len(block) < length:
-            raise ValueError(f"an ARC record ends early: {line[:200]}")
-        if line.startswith("filedesc://"):
-            version = block.split(b" ", 1)[0].decode()
-            fields = block.decode().split("\n")[1].split(" ") if version in ARC_FIELDS else ARC_FIELDS["1"]
-        yield head, block
-        at = end + 1 + length
+            yield start, {}, line + block
+            return
+        if about:
+            lines = block.decode("utf-8", "replace").splitlines()
+            version = lines[0].split(" ")[0] if lines else ""
+            named = lines[1].split(" ") if len(lines) > 1 else []
+            fields = named if {"URL", "Archive-length"} <= set(named) else ARC_FIELDS.get(version, ARC_FIELDS["1"])
+            form = arc_line_form(fields)
+        yield start, head, block
+    if odd:
+        yield odd_at, {}, b"".join(odd)
+
+
+def record_id(*of: object) -> str:
+    """A version 8 UUID of a hash."""
+    drawn = int.from_bytes(hashlib.sha256(repr(of).encode()).digest()[:16], "big")
+    return f"urn:uuid:{uuid.UUID(int=drawn & ~(0xF << 76) & ~(3 << 62) | 8 << 76 | 2 << 62)}"
+
+
+def batches_of(rows: Iterator[tuple], schema: pa.Schema, size) -> Iterator[pa.RecordBatch]:
+    """Batches of a bounded number of rows and bytes."""
+    held, weight = [], 0
+    for row in rows:
+        held.append(row)
+        weight += size(row)
+        if weight >= BATCH_BYTES or len(held) == 1000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, weight = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+def archive_files(spark: SparkSession, path: str) -> DataFrame:
+    """(name, content) of the files of a folder and the folders in it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.substring_index("path", "/", -1).alias("name"), "content").filter("name NOT LIKE '\\_%'")
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record: kind is warcinfo for version blocks, response for HTTP and resource for all else."""
+    """A row for each record: kind is warcinfo for version blocks, response for HTTP, resource for all else and damaged
+    for bytes that are no whole record. page_id: the number that an ``X-Page-Id`` header names, if there is one.
+    Compression that is broken is an error."""
     schema = arrow_schema(ARC)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for content in batch.column("content"):
-                rows = []
-                for head, block in arc_records(unzipped(content.as_py())):
-                    url = head["URL"]
-                    kind = "warcinfo" if url.startswith("filedesc://") else "response" if block.startswith(b"HTTP/") else "resource"
-                    top, _, payload = block.partition(b"\r\n\r\n") if kind == "response" else (b"", b"", block)
-                    page = header_fields(top).get("x-page-id") if kind == "response" else None
-                    rows.append((kind, url, head["Archive-date"], head["Content-type"], None if page is None else int(page), sha1_base32(payload), len(payload), block))
-                for at in range(0, len(rows), 1000):
-                    columns = list(zip(*rows[at : at + 1000]))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, ARC)
-
-
-def record_id(page_id: int | None, url: str, date: str, digest: str) -> str:
-    """A version 8 UUID: the page's number, from which a revisit finds what it refers to, and a hash of the capture."""
-    mark = int.from_bytes(hashlib.sha256(f"{url} {date} {digest}".encode()).digest()[:8], "big")
-    number = mark & ((1 << 62) - 1) if page_id is None else (page_id << 1) ^ (page_id >> 63)  # signs alternate, so small numbers stay small
-    return f"urn:uuid:{uuid.UUID(int=(mark >> 16) << 80 | 8 << 76 | (mark & 0xFFF) << 64 | 2 << 62 | number)}"
+            for name, content in zip(*batch.columns):
+                for at, head, block in arc_records(opened(content.as_py())):
+                    url = head.get("URL", f"urn:damaged:{name.as_py()}:{at}")
+                    kind = "damaged" if not head else "warcinfo" if url.startswith("filedesc://") else "response" if block.startswith(b"HTTP/") else "resource"
+                    top, payload = http_parts(block) if kind == "response" else (b"", block)
+                    page = whole_number(header_fields(top).get("x-page-id"))
+                    date, digest = head.get("Archive-date", "-"), sha1_base32(payload)
+                    yield kind, url, date, head.get("Content-type") or "application/octet-stream", page, digest, len(payload), record_id(name.as_py(), at, url, date, digest), block
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches_of(rows(batches), schema, lambda row: len(row[-1]))
 
-def page_of(identifier: str) -> int:
-    number = uuid.UUID(identifier.removeprefix("urn:uuid:")).int & ((1 << 62) - 1)
-    return number >> 1 if number % 2 == 0 else -(number + 1 >> 1)
+    return archive_files(spark, path).mapInArrow(run, ARC)
 
 
 def warc_date(date: str) -> str:
-    return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
+    """Missing digits, as some old crawlers left them out, are those of the earliest time."""
+    digits = re.sub("[^0-9]", "", date)[:14]
+    d = digits + "19700101000000"[len(digits) :]
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def warc_record(kind: str, url: str, date: str, content_type: str, page_id: int | None, digest: str, block: bytes, original: tuple[int, str, str] | None) -> str:
-    """The WARC record without the two line ends that follow it. original: page, url and date of the record that this
-    one revisits; its block is then just the HTTP header."""
-    kept = block.partition(b"\r\n\r\n")[0] + b"\r\n\r\n" if original else block
+def warc_record(kind: str, url: str, date: str, content_type: str, page_id: int | None, digest: str, payload_bytes: int, identifier: str, block: bytes, original: dict | None) -> bytes:
+    """original: page_id, record_id, url and date of the record that this one revisits; its block is then just the HTTP
+    header. Page numbers and payload lengths are fields of their own."""
+    kept = http_parts(block)[0] if original else block
+    web = kind == "response"
     fields = {
-        "WARC-Type": "revisit" if original else kind,
-        "WARC-Record-ID": f"<{record_id(page_id, url, date, digest)}>",
+        "WARC-Type": "revisit" if original else "resource" if kind == "damaged" else kind,
+        "WARC-Record-ID": f"<{identifier}>",
         "WARC-Date": warc_date(date),
-        "WARC-Target-URI": url,
+        "WARC-Target-URI": encoded_url(url),
         "WARC-Payload-Digest": f"sha1:{digest}",
         "WARC-Block-Digest": f"sha1:{sha1_base32(kept)}",
-        "Content-Type": "application/http; msgtype=response" if kind == "response" else "application/warc-fields" if kind == "warcinfo" else content_type,
+        "Content-Type": "application/http; msgtype=response" if web else "application/warc-fields" if kind == "warcinfo" else content_type,
     }
     if kind == "warcinfo":
         del fields["WARC-Payload-Digest"], fields["WARC-Target-URI"]
         fields["WARC-Filename"] = url.removeprefix("filedesc://")
     if original:
-        page, uri, at = original
-        fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<{record_id(page, uri, at, digest)}>", "WARC-Refers-To-Target-URI": uri, "WARC-Refers-To-Date": warc_date(at)}
+        fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<{original['record_id']}>", "WARC-Refers-To-Target-URI": encoded_url(original["url"]), "WARC-Refers-To-Date": warc_date(original["date"])}
+        if original["page_id"] is not None:
+            fields["Refers-To-Page-Number"] = str(original["page_id"])
+    if page_id is not None:
+        fields["Page-Number"] = str(page_id)
+    if web:
+        fields["Payload-Length"] = str(payload_bytes)
     fields["Content-Length"] = str(len(kept))
-    return "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n" + kept.decode()
+    return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + kept + b"\r\n\r\n"
 
 
 def arc_to_warc(records: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Writes the WARC records of ARC records, those of equal payloads of ``least_bytes`` and more as revisits of the
-    one with the smallest page number. Records of one payload and page number are all responses."""
-    web = records.filter("kind = 'response' AND page_id IS NOT NULL")
-    first = web.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min(F.struct("page_id", "url", "date")).alias("original"), F.count("*").alias("n"))
+    one with the smallest page number. Records of one payload and page number are all responses; damaged ones become
+    resources."""
+    rank = F.struct(F.col("page_id").isNull().alias("unnumbered"), "page_id", "date", "url", "record_id")
+    first = records.filter((F.col("kind") == "response") & (F.col("payload_bytes") >= least_bytes)).groupBy("payload_digest").agg(F.min(rank).alias("original"), F.count("*").alias("n"))
     shared = first.filter("n > 1").select("payload_digest", "original", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    ours = records.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    schema = pa.schema([("value", pa.string())])
+    ours = records.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
+    same = F.coalesce(F.col("page_id") == F.col("original.page_id"), F.col("record_id") == F.col("original.record_id"))
+    revisits = (F.col("kind") == "response") & (F.col("payload_bytes") >= least_bytes) & ~same
+    rows = ours.join(shared, ["payload_digest", "salt"], "left").select("kind", "url", "date", "content_type", "page_id", "payload_digest", "payload_bytes", "record_id", "block", F.when(revisits, F.col("original")).alias("original"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        archive = Archive()
         for batch in batches:
-            out = []
-            for kind, url, date, content_type, page, digest, n, block, page0, url0, date0 in zip(*(c.to_pylist() for c in batch.columns)):
-                revisits = kind == "response" and page is not None and page0 is not None and n >= least_bytes and page != page0
-                out.append(warc_record(kind, url, date, content_type, page, digest, block, (page0, url0, date0) if revisits else None))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], schema=schema)
-
-    joined = ours.join(shared, ["payload_digest", "salt"], "left")
-    rows = joined.select("kind", "url", "date", "content_type", "page_id", "payload_digest", "payload_bytes", "block", "original.page_id", F.col("original.url").alias("url0"), F.col("original.date").alias("date0"))
-    rows.toDF("kind", "url", "date", "content_type", "page_id", "payload_digest", "payload_bytes", "block", "page0", "url0", "date0").mapInArrow(run, "value string").write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
-
-
-def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = header_fields(data[at:end])
-        length = int(head["content-length"])
-        block = data[end + 4 : end + 4 + length]
-        if not data.startswith(b"WARC/", at) or len(block) < length:
-            raise ValueError(f"not a whole WARC record at byte {at}")
+            for row in zip(*batch.columns):
+                yield from archive.add(warc_record(*(x.as_py() for x in row)))
+        yield from archive.close()
+
+    write_archives(rows.mapInArrow(lambda batches: one_value(archives(batches)), "value binary"), path, "warc")
+
+
+def warc_records(archive: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(named fields, block) of each record; what is no whole record is an error."""
+    while line := archive.readline(LONGEST_LINE):
+        if not line.strip():
+            continue
+        lines = [line]
+        while lines[-1].strip():
+            lines.append(archive.readline(LONGEST_LINE))
+        head = header_fields(b"".join(lines))
+        length = int(head.get("content-length", -1))
+        block = archive.read(max(0, length))
+        if not line.startswith(b"WARC/") or length < 0 or len(block) < length:
+            raise ValueError(f"not a whole WARC record: {line[:200]!r}")
         yield head, block
-        at = end + 4 + length + 4
+
+
+def checked(head: dict[str, str], name: str, data: bytes) -> str:
+    """The digest that a field declares, an error if it is a SHA-1 in base 32 and not the data's."""
+    label, _, digest = head.get(name, "").partition(":")
+    own = sha1_base32(data)
+    if label == "sha1" and len(digest) == 32 and digest.upper() != own:
+        raise ValueError(f"{head.get('warc-record-id')}: the {name} is another")
+    return digest or own
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """A row for each response and revisit record. The digest of each block, and of each payload that is there, is
-    worked out again; one that differs is an error."""
+    worked out again; one that differs is an error. payload_bytes of a revisit: what its own or else its HTTP header
+    declares, null without either. refers_to: the page number of the response; refers_to_id: its identifier."""
     schema = arrow_schema(WARC)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for content in batch.column("content"):
-                rows = []
-                for head, block in warc_records(unzipped(content.as_py())):
-                    if f"sha1:{sha1_base32(block)}" != head["warc-block-digest"]:
-                        raise ValueError(f"the block of {head['warc-record-id']} has another digest")
-                    kind, digest = head["warc-type"], head.get("warc-payload-digest", "").removeprefix("sha1:")
+            for _, content in zip(*batch.columns):
+                for head, block in warc_records(opened(content.as_py())):
+                    checked(head, "warc-block-digest", block)
+                    kind = head.get("warc-type")
                     if kind not in ("response", "revisit"):
                         continue
-                    top, _, payload = block.partition(b"\r\n\r\n")
-                    http = header_fields(top)
-                    if kind == "response" and sha1_base32(payload) != digest:
-                        raise ValueError(f"the payload of {head['warc-record-id']} has another digest")
-                    to = head["warc-refers-to"][1:-1] if kind == "revisit" else None
-                    length = int(http["content-length"]) if kind == "revisit" else len(payload)
-                    rows.append((int(http["x-page-id"]), length, digest, kind, to and page_of(to), head["warc-record-id"][1:-1], head["warc-target-uri"], head["warc-date"]))
-                columns = list(zip(*rows)) or [()] * len(schema)
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+                    top, payload = http_parts(block)
+                    digest = checked(head, "warc-payload-digest", payload) if kind == "response" else head.get("warc-payload-digest", "").partition(":")[2]
+                    length = len(payload) if kind == "response" else whole_number(head.get("payload-length") or header_fields(top).get("content-length"))
+                    of = lambda field: head[field].strip("<>") if field in head else None
+                    yield whole_number(head.get("page-number")), length, digest, kind, whole_number(head.get("refers-to-page-number")), of("warc-record-id"), of("warc-refers-to"), of("warc-target-uri"), of("warc-date")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches_of(rows(batches), schema, lambda row: 0)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, WARC)
+    return archive_files(spark, path).mapInArrow(run, WARC)
 
 
 def convert_pages(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Pages to ARC archives, those to WARC archives, both in new folders of the shared folder, and the WARC records
-    read back: page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, target_uri, date. An empty
-    table makes empty archives and gives no rows."""
+    read back: page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, refers_to_id, target_uri,
+    date. Any page number a long can hold comes back as it was. An empty table makes empty archives and gives no rows."""
     spark = pages.sparkSession
     base = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
-    write_arc(pages, f"{base}/arc", id_col, url_col, html_col)
-    arc_to_warc(read_arc(spark, f"{base}/arc"), f"{base}/warc", least_bytes)
+    write_arc(pages, base, id_col, url_col, html_col)
+    arc_to_warc(read_arc(spark, f"{base}/arc"), base, least_bytes)
     return read_warc(spark, f"{base}/warc")

@@ -1,5 +1,10 @@
 import base64
+import gzip
 import hashlib
+import io
+import random
+
+import pytest
 
 from marginalia.llm import warc
 
@@ -9,6 +14,7 @@ def digest(html):
 
 
 ROWS = [(4, "http://a/x y\n", "<p>é\r\n\r\nWARC/1.0</p>"), (9, "http://b", "same"), (2, None, "same"), (7, "http://b", "same"), (5, "http://c", None), (6, "http://c", ""), (11, "http://d", "ab" * 40_000), (-3, "http://n", "neg"), (8, "http://n", "neg")]
+ROWS += [(i, "http://wide", "wide") for i in (2**61, 2**61 + 1, 2**62, 2**63 - 1)] + [(-(2**63), "http://wide", "low"), (2**63 - 2, "http://wide", "low")]
 
 
 def expected(rows, least=0):
@@ -23,9 +29,10 @@ def expected(rows, least=0):
     return sorted(out)
 
 
-def test_pages_come_back(spark):
+def test_pages_come_back(spark, monkeypatch):
     df = spark.createDataFrame([(*r, "x", b"y") for r in ROWS], "page_id long, url string, html string, block string, salt binary").repartition(3)
-    for least in (0, 1, 100):
+    for least, size in ((0, 1 << 26), (1, 200), (100, 1)):
+        monkeypatch.setattr(warc, "ARCHIVE_BYTES", size)
         got = warc.convert_pages(df, least)
         assert sorted(map(tuple, got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect())) == expected(ROWS, least)
 
@@ -38,13 +45,56 @@ def test_empty_null_and_repeated_rows(spark):
     assert got == [(1, "response", None), (1, "response", None), (2, "revisit", 1)]
 
 
-def test_arc_versions_and_kinds():
-    one = warc.arc_block("1", [(2, "http://a", "x")], "20200102030405")
-    two = warc.arc_block("2", [(3, "http://b", "yy\n")], "20210102030405")
-    other = b"\ndns:a 0.0.0.0 20200102030405 text/dns - - - 0 - 3\nabc\n"
-    found = list(warc.arc_records((one + "\n" + two).encode() + other))
-    assert [h["URL"] for h, _ in found] == ["filedesc://pages.arc", "http://a", "filedesc://pages.arc", "http://b", "dns:a"]
-    assert found[3][1].endswith(b"\r\n\r\nyy\n") and found[4][1] == b"abc"
-    assert warc.warc_date("20210102030405") == "2021-01-02T03:04:05Z"
-    for page in (0, 1, -1, 2**40, -(2**40)):
-        assert warc.page_of(warc.record_id(page, "u", "d", "x")) == page
+def test_members_are_read_in_one_pass_and_end_with_a_zero_byte():
+    rng = random.Random(1)
+    parts = [rng.randbytes(rng.randrange(200_000)) for _ in range(20)] + [bytes(17 << 20)]
+    archive = warc.Archive()
+    assert [x for p in parts for x in archive.add(p)] == []
+    (whole,) = archive.close()
+    assert warc.opened(whole + b"\0").read() == b"".join(parts) == gzip.decompress(whole + b"\0")
+
+
+def http(payload):
+    return b"HTTP/1.1 200 OK\r\nContent-Type: x/y\r\n\r\n" + payload
+
+
+def legacy_archive():
+    """As other crawlers wrote them: no page numbers, any bytes, blanks in URLs, odd lines, a block that ends early."""
+    v2 = " ".join(warc.ARC_FIELDS["2"])
+    image, latin = b"\xff\xd8\xff\x00\x1f\x8b" + bytes(range(256)), "déjà".encode("latin-1")
+    records = [
+        b"filedesc://IA-001.arc 0.0.0.0 19970102030405 text/plain 76\n" + (b"1 0 Crawler\nURL IP-address Archive-date Content-type Archive-length\n" + b" " * 76)[:76],
+        b"http://a/image one.jpg 10.0.0.1 19970102030405 image/jpeg %d\n" % len(http(image)) + http(image),
+        b"http://a/latin 10.0.0.1 199701020304 text/html; charset=iso %d\n" % len(http(latin)) + http(latin),
+        b"these lines\nare no header",
+        b"http://b/latin 10.0.0.2 19970102030406 text/html %d\n" % len(http(latin)) + http(latin),
+        b"dns:a 10.0.0.3 19970102030407 text/dns 3\nabc",
+        b"filedesc://IA-002.arc 0.0.0.0 19980102030405 text/plain 200 - - 0 IA-002.arc %d\n2 0 Crawler\n" % (13 + len(v2)) + v2.encode() + b"\n",
+        b"http://c/ 10.0.0.4 19980102030405 text/html 200 abc - 7 IA-002.arc %d\n" % len(http(b"two")) + http(b"two"),
+    ]
+    return [r + b"\n" for r in records], b"http://d/ 10.0.0.5 19990102030405 text/html 200 abc - 7 IA-002.arc 900\nHTTP/1.0 200 OK\r\n\r\nshort", image, latin
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_legacy_archives_convert(spark, tmp_path, packed):
+    records, short, image, latin = legacy_archive()
+    raw = b"".join(map(gzip.compress, records)) + gzip.compress(short) if packed else b"".join(records) + short
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "IA.arc").write_bytes(raw)
+    arc = warc.read_arc(spark, str(tmp_path / "old"))
+    got = {r["url"]: r for r in arc.collect()}
+    assert [r["kind"] for r in got.values()] == ["warcinfo", "response", "response", "damaged", "response", "resource", "warcinfo", "response", "damaged"]
+    assert got["http://a/image one.jpg"]["content_type"] == "image/jpeg" and got["http://a/image one.jpg"]["block"].endswith(image)
+    assert got["http://a/latin"]["content_type"] == "text/html; charset=iso" and got["http://a/latin"]["block"].endswith(latin)
+    odd = [bytes(r["block"]) for r in got.values() if r["kind"] == "damaged"]
+    assert odd[0].startswith(b"these lines\nare no header\n") and odd[1] == short
+
+    warc.arc_to_warc(arc, str(tmp_path / "new"))
+    web = {r["target_uri"]: r for r in warc.read_warc(spark, str(tmp_path / "new" / "warc")).collect()}
+    assert {u: r["record_type"] for u, r in web.items()} == {"http://a/image%20one.jpg": "response", "http://a/latin": "response", "http://b/latin": "revisit", "http://c/": "response"}
+    again = web["http://b/latin"]
+    assert again["refers_to_id"] == web["http://a/latin"]["record_id"] and again["refers_to"] is None and again["payload_bytes"] == 4
+    assert web["http://a/latin"]["date"] == "1997-01-02T03:04:00Z" and len({r["record_id"] for r in web.values()}) == 4
+    whole = b"".join(warc.opened(p.read_bytes()).read() for p in (tmp_path / "new" / "warc").glob("part-*"))
+    kept = [head["warc-type"] for head, _ in warc.warc_records(io.BytesIO(whole))]
+    assert sorted(kept) == sorted(["warcinfo"] * 2 + ["response"] * 3 + ["revisit"] + ["resource"] * 3) and image in whole and short in whole
