@@ -4,8 +4,12 @@ A message's lines carry their quote level in leading ``>`` marks. Neighbouring l
 quoted passage, without marks, white space collapsed and in lower case, is hashed and joined to the first message of the
 thread that has it as a passage of its own, if that came before. Replies whose nearest quotes don't all name one message
 that way (they quote parts, or answer between them) are joined by paragraph and line too, and the message that covers
-most quoted lines is taken. The least quoted level that links names the message replied to. Chains of replies become paths by pointer doubling, so joins grow with the logarithm of a thread's depth,
-and every join is on (thread, message) or (thread, passage): a thread of any length is dealt over tasks.
+most quoted lines is taken. The least quoted level that links names the message replied to.
+
+Messages are parsed once, to their own text and the hashes of their passages, paragraphs and lines, and stored by column;
+quoted text goes no further. All joins are of hashes and numbers on (thread, message) or (thread, passage), so a thread
+of any length is dealt over tasks, and texts move once, to the paths of their messages. Chains of replies become paths by
+pointer doubling, so joins grow with the logarithm of a thread's depth.
 """
 
 from __future__ import annotations
@@ -13,64 +17,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import checkpoint
+from marginalia.llm.common import checkpoint, stored
 
 MARKS = r"^(?:[ \t]*>)+"
 
 
 def marked_lines(body: Column) -> Column:
-    """array<struct<level, line>>: each line without its marks."""
-    lines = F.split(body, r"\r\n|\n|\r")
-    return F.transform(lines, lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 0), "[^>]", "")).alias("level"), F.regexp_replace(x, MARKS + " ?", "").alias("line")))
-
-
-def with_passages(messages: DataFrame) -> DataFrame:
-    """Adds ``passages``; lines, where runs start, and the runs themselves are columns of their own, so that none is
-    worked out once for each line."""
-    parsed = messages.withColumn("lines", marked_lines(F.col("body")))
-    first = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | (F.get(F.col("lines.level"), i) != F.get(F.col("lines.level"), i - 1)))
-    cut = parsed.withColumn("starts", first)
-    run = lambda s, j: F.struct(
-        F.get(F.col("lines.level"), s).alias("level"),
-        F.array_join(F.slice(F.col("lines.line"), s + 1, F.coalesce(F.get(F.col("starts"), j + 1), F.size("lines")) - s), "\n").alias("text"),
-    )
-    return cut.withColumn("passages", F.transform("starts", run)).drop("lines", "starts", "body")
-
-
-def passage_key(text: Column) -> Column:
-    """Hash of the normalised passage; null of one without words, which links nothing."""
-    plain = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
-    return F.when(plain != "", F.sha2(plain, 256))
-
-
-def with_units(messages: DataFrame) -> DataFrame:
-    """(thread, turn, level, place, at, key, whole) of each run, paragraph and line of the passages that has words. at:
-    places of the run's lines in it, blank ones left out; whole: the unit is all of the run."""
-    runs = messages.select("thread", "turn", F.posexplode("passages").alias("place", "of")).select("thread", "turn", "of.level", "place", F.split("of.text", "\n").alias("lines"))
-    filled = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(r"\S"))
-    runs = runs.withColumn("filled", filled).filter("size(filled) > 0")
-    runs = runs.withColumn("starts", F.filter("filled", lambda i: ~F.array_contains("filled", i - 1)))
-    part = lambda s, end: F.struct(F.filter("filled", lambda i: (i >= s) & (i < end)).alias("at"), passage_key(F.array_join(F.slice("lines", s + 1, end - s), "\n")).alias("key"))
-    whole = F.array(part(F.lit(0), F.size("lines")))
-    paragraphs = F.transform("starts", lambda s, j: part(s, F.coalesce(F.get("starts", j + 1), F.size("lines"))))
-    units = F.filter(F.array_distinct(F.concat(whole, paragraphs, F.transform("filled", lambda i: part(i, i + 1)))), lambda u: u["key"].isNotNull())
-    each = runs.select("thread", "turn", "level", "place", F.size("filled").alias("n"), F.explode(units).alias("unit"))
-    return each.select("thread", "turn", "level", "place", "unit.at", "unit.key", (F.size("unit.at") == F.col("n")).alias("whole"))
-
-
-def part_parents(cut: DataFrame, replies: DataFrame) -> DataFrame:
+    """array<struct<level, line, plain>>: each line without its marks, and that with white space collapsed and in lower
+    case."""
+    lines = F.transform(F.split(body, r"\r\n|\n|\r"), lambda x: F.struct(F.regexp_extract(x, MARKS, 0).alias("marks"), x.alias("x")))
+    bare = F.transform(lines, lambda y: F.struct(F.length(F.regexp_replace(y["marks"], "[^>]", "")).alias("level"), F.when(y["marks"] == "", y["x"]).otherwise(F.regexp_replace(y["x"], MARKS + " ?", "")).alias("line")))
+    return F.transform(bare, lambda z: F.struct(z["level"].alias("level"), z["line"].alias("line"), F.lower(F.trim(F.regexp_replace(z["line"], r"\s+", " "))).alias("plain")))
+
+
+def unit_key(plain: Column) -> Column:
+    """Hash of lines without marks, white space and case: the same wherever the line ends fall."""
+    return F.unhex(F.md5(F.array_join(plain, " ")))
+
+
+def parsed(messages: DataFrame) -> DataFrame:
+    """(thread, turn, role, digest, text, units) of each message. text: what it doesn't quote. units: structs of level,
+    place, at, key and whole for each passage, paragraph and line that has words. place: the passage's number; at: the
+    lines' numbers; whole: the unit is all of its passage. Steps are columns of their own, so that none is worked out
+    once for each line."""
+    cut = messages.select("thread", "turn", "role", F.unhex(F.md5("body")).alias("digest"), marked_lines(F.col("body")).alias("lines"))
+    level, plain = F.col("lines.level"), F.col("lines.plain")
+    every = lambda: F.sequence(F.lit(0), F.size("lines") - 1)
+    edge = lambda i: (i == 0) | (F.get(level, i) != F.get(level, i - 1))
+    runs = cut.withColumn("runs", F.filter(every(), edge))
+    # a paragraph starts with a line that has words where a passage starts or a blank line stands before
+    starts = runs.withColumn("paragraphs", F.filter(every(), lambda i: (F.get(plain, i) != "") & (edge(i) | (F.get(plain, i - 1) == ""))))
+    stop = lambda at, j: F.coalesce(F.get(at, j + 1), F.size("lines"))
+    filled = lambda s, e: F.filter(F.when(e > s, F.sequence(s, e - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.get(plain, i) != "")
+    spans = starts.withColumn("passages", F.filter(F.transform("runs", lambda s, j: F.struct(F.get(level, s).alias("level"), j.alias("place"), filled(s, stop(F.col("runs"), j)).alias("at"))), lambda r: F.size(r["at"]) > 0))
+    unit = lambda r, at: F.struct(r["level"].alias("level"), r["place"].alias("place"), at.alias("at"), unit_key(F.transform(at, lambda i: F.get(plain, i))).alias("key"), (F.size(at) == F.size(r["at"])).alias("whole"))
+
+    def units(r: Column) -> Column:
+        inside = F.filter("paragraphs", lambda s: F.array_contains(r["at"], s))
+        blocks = F.transform(inside, lambda s, j: F.filter(r["at"], lambda i: (i >= s) & (i < F.coalesce(F.get(inside, j + 1), F.size("lines")))))
+        singles = F.transform(r["at"], lambda i: F.array(i))
+        parts = F.when(F.size(r["at"]) == 1, F.array(r["at"])).otherwise(F.array_distinct(F.concat(F.array(r["at"]), blocks, singles)))
+        return F.transform(parts, lambda at: unit(r, at))
+
+    text = F.trim(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"))
+    return spans.select("thread", "turn", "role", "digest", text.alias("text"), F.flatten(F.transform("passages", units)).alias("units"))
+
+
+def part_parents(each: DataFrame, replies: DataFrame) -> DataFrame:
     """(thread, turn, parent) of ``replies`` (thread, turn) by units: of the least level that links, the earlier message
-    whose own units cover most quoted lines; then one whose whole run is quoted, the later quote, the earlier message.
+    whose own units cover most quoted lines; then one whose whole passage is quoted, the later quote, the earlier
+    message. ``each``: (thread, turn) and the fields of one unit.
 
     Messages of a thread that share the same asked units differ in nothing but their turn, so the first of them stands
     for all: a line that many repeat is joined once for each such set.
     """
-    asked = checkpoint(with_units(cut.join(replies, ["thread", "turn"], "left_semi")).filter("level > 0"))
-    own = with_units(cut.join(replies.select("thread").distinct(), "thread", "left_semi")).filter("level = 0")
-    met = own.join(asked.select("thread", "key").distinct(), ["thread", "key"], "left_semi").groupBy("thread", "turn", "key").agg(F.max("whole").alias("own_whole"))
+    asked = each.filter("level > 0").join(replies, ["thread", "turn"], "left_semi")
+    own = each.filter("level = 0").join(asked.select("thread", "key").distinct(), ["thread", "key"], "left_semi")
+    met = own.groupBy("thread", "turn", "key").agg(F.max("whole").alias("own_whole"))
     alike = met.groupBy("thread", "turn").agg(F.sort_array(F.collect_list(F.struct("key", "own_whole"))).alias("units")).groupBy("thread", "units").agg(F.min("turn").alias("origin"))
     links = asked.join(alike.select("thread", "origin", F.inline("units")), ["thread", "key"]).filter("origin < turn")
-    lines = F.flatten(F.collect_list(F.transform("at", lambda i: F.struct("place", i.alias("line")))))
+    lines = F.flatten(F.collect_list("at"))
     scored = links.groupBy("thread", "turn", "level", "origin").agg(F.size(F.array_distinct(lines)).alias("covered"), F.max(F.col("whole") & F.col("own_whole")).alias("whole"), F.max("place").alias("place"))
     first = scored.groupBy("thread", "turn", F.struct(-F.col("level"), "covered", "whole", "place").alias("rank")).agg(F.min("origin").alias("origin"))
     return first.groupBy("thread", "turn").agg(F.max_by("origin", "rank").alias("parent"))
@@ -87,30 +93,39 @@ def reply_paths(parents: DataFrame) -> DataFrame:
     return state.select("thread", "turn", "path")
 
 
+def reply_parents(slim: DataFrame) -> DataFrame:
+    """(thread, turn, parent) of messages that quote an earlier one; ``slim``: (thread, turn, units)."""
+    each = slim.select("thread", "turn", F.inline("units"))
+    runs = each.filter("whole").select("thread", "turn", "level", "place", "key").distinct()  # a passage of one paragraph is there once
+    origin = runs.filter("level = 0").groupBy("thread", "key").agg(F.min("turn").alias("origin"))
+    asked = runs.filter("level > 0").join(origin, ["thread", "key"], "left").select("thread", "turn", "level", F.when(F.col("origin") < F.col("turn"), F.col("origin")).alias("origin"))
+    of = F.struct(F.min("origin").alias("low"), F.max("origin").alias("high"), F.count_if(F.col("origin").isNull()).alias("lost"))
+    near = asked.groupBy("thread", "turn", "level").agg(of.alias("of")).groupBy("thread", "turn").agg(F.min_by("of", "level").alias("of"))
+    named = checkpoint(near.select("thread", "turn", F.when((F.col("of.lost") == 0) & (F.col("of.low") == F.col("of.high")), F.col("of.low")).alias("parent")))
+    known, open_ = named.filter("parent IS NOT NULL"), named.filter("parent IS NULL").select("thread", "turn")
+    return known.unionByName(part_parents(each, open_)) if open_.limit(1).count() else known
+
+
 def reply_ordered(messages: DataFrame, thread_col: str = "conv_id", order_col: str = "turn", role_col: str = "role", body_col: str = "text") -> DataFrame:
-    """(thread, turn, role, parent, depth, reply_path, text, rendered), sorted by thread and reply path.
+    """(thread, turn, role, parent, depth, path, reply_path, text, rendered); sorted by thread and path, each reply
+    stands below what it answers.
 
     text: the message without quotes. parent: the turn replied to; null where nothing quoted links. depth: 1 for those.
-    reply_path: the turns from there, joined by dots. rendered: role and text as one chat turn. A null body is empty and
-    a null role reads ``unknown``. Messages without a thread or turn are left out; of repeated (thread, turn) the least
-    (role, body) stays. An empty table gives no rows.
+    path: the turns from there; reply_path: the same joined by dots, so both grow with a message's depth. rendered: role
+    and text as one chat turn. A null body is empty and a null role reads ``unknown``. Messages without a thread or turn
+    are left out; of repeated (thread, turn) the one of the least (role, MD5 of the body) stays. An empty table gives no
+    rows.
     """
     whole = messages.select(F.col(thread_col).alias("thread"), F.col(order_col).alias("turn"), F.coalesce(role_col, F.lit("unknown")).alias("role"), F.coalesce(body_col, F.lit("")).alias("body"))
-    one = whole.filter("thread IS NOT NULL AND turn IS NOT NULL").groupBy("thread", "turn").agg(F.min(F.struct("role", "body")).alias("of")).select("thread", "turn", "of.role", "of.body")
-    cut = checkpoint(with_passages(one))
-    each = cut.select("thread", "turn", F.posexplode("passages").alias("place", "passage")).select("thread", "turn", "place", "passage.level", passage_key(F.col("passage.text")).alias("key")).filter("key IS NOT NULL")
-    origin = each.filter("level = 0").groupBy("thread", "key").agg(F.min("turn").alias("origin"))
-    found = each.filter("level > 0").join(checkpoint(origin), ["thread", "key"], "left").groupBy("thread", "turn").agg(F.collect_list(F.struct("level", F.when(F.col("origin") < F.col("turn"), F.col("origin")).alias("origin"))).alias("runs"))
-    near = F.array_distinct(F.transform(F.filter("runs", lambda r: r["level"] == F.array_min("runs.level")), lambda r: r["origin"]))
-    named = checkpoint(found.select("thread", "turn", near.alias("near")).select("thread", "turn", F.when(F.size("near") == 1, F.get("near", F.lit(0))).alias("parent")))
-    parents = named.filter("parent IS NOT NULL").unionByName(part_parents(cut, named.filter("parent IS NULL").select("thread", "turn")))
-    known = cut.select("thread", "turn").join(parents, ["thread", "turn"], "left")
-    own = F.trim(F.array_join(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["text"]), "\n"))
-    out = cut.select("thread", "turn", "role", own.alias("text")).join(reply_paths(known), ["thread", "turn"])
-    return out.select(
-        "thread", "turn", "role", F.get("path", F.size("path") - 2).alias("parent"), F.size("path").alias("depth"), "path", "text",
-        F.concat(F.lit("### "), "role", F.lit("\n"), "text").alias("rendered"),
-    ).orderBy("thread", "path").withColumn("path", F.array_join(F.transform("path", lambda t: t.cast("string")), ".")).withColumnRenamed("path", "reply_path")
+    cut = stored(parsed(whole.filter("thread IS NOT NULL AND turn IS NOT NULL")))
+    least = lambda column: F.min(F.struct("role", "digest", column)).alias("of")
+    slim = cut.groupBy("thread", "turn").agg(least("units")).select("thread", "turn", F.col("of.units").alias("units"))
+    known = cut.select("thread", "turn").distinct().join(reply_parents(slim), ["thread", "turn"], "left")
+    texts = cut.groupBy("thread", "turn").agg(least("text")).select("thread", "turn", "of.role", "of.text")
+    return texts.join(reply_paths(known), ["thread", "turn"]).select(
+        "thread", "turn", "role", F.get("path", F.size("path") - 2).alias("parent"), F.size("path").alias("depth"), "path",
+        F.array_join(F.transform("path", lambda t: t.cast("string")), ".").alias("reply_path"), "text", F.concat(F.lit("### "), "role", F.lit("\n"), "text").alias("rendered"),
+    )
 
 
 def quoted_messages(conversations: DataFrame) -> DataFrame:

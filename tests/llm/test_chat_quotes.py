@@ -5,7 +5,7 @@ SCHEMA = "conv_id long, turn long, role string, text string, thread string, path
 
 
 def ordered(spark, rows):
-    return [(r["thread"], r["turn"], r["parent"], r["reply_path"], r["text"]) for r in reply_ordered(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(3)).collect()]
+    return [(r["thread"], r["turn"], r["parent"], r["reply_path"], r["text"]) for r in reply_ordered(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(3)).orderBy("thread", "path").collect()]
 
 
 def test_nested_quotes_link_and_go(spark):
