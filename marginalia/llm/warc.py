@@ -247,10 +247,10 @@ def archive_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.substring_index("path", "/", -1).alias("name"), "content").filter("name NOT LIKE '\\_%'")
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
+def read_arc(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """A row for each record: kind is warcinfo for version blocks, response for HTTP, resource for all else and damaged
     for bytes that are no whole record. page_id: the number that an ``X-Page-Id`` header names, if there is one.
-    Compression that is broken is an error."""
+    packed: blocks are zlib streams, which shuffle in fewer bytes. Compression that is broken is an error."""
     schema = arrow_schema(ARC)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -262,7 +262,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                     top, payload = http_parts(block) if kind == "response" else (b"", block)
                     page = whole_number(header_fields(top).get("x-page-id"))
                     date, digest = head.get("Archive-date", "-"), sha1_base32(payload)
-                    yield kind, url, date, head.get("Content-type") or "application/octet-stream", page, digest, len(payload), record_id(name.as_py(), at, url, date, digest), block
+                    yield kind, url, date, head.get("Content-type") or "application/octet-stream", page, digest, len(payload), record_id(name.as_py(), at, url, date, digest), zlib.compress(block, 1) if packed else block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches_of(rows(batches), schema, lambda row: len(row[-1]))
@@ -306,8 +306,8 @@ def warc_record(kind: str, url: str, date: str, content_type: str, page_id: int
     return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + kept + b"\r\n\r\n"
 
 
-def arc_to_warc(records: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Writes the WARC records of ARC records, those of equal payloads of ``least_bytes`` and more as revisits of the
+def arc_to_warc(records: DataFrame, path: str, least_bytes: int = 0, packed: bool = False) -> None:
+    """Writes the WARC records of ARC records as ``read_arc`` gives them, those of equal payloads of ``least_bytes`` and more as revisits of the
     one with the smallest page number. Records of one payload and page number are all responses; damaged ones become
     resources."""
     rank = F.struct(F.col("page_id").isNull().alias("unnumbered"), "page_id", "date", "url", "record_id")
@@ -322,7 +322,8 @@ def arc_to_warc(records: DataFrame, path: str, least_bytes: int = 0) -> None:
         archive = Archive()
         for batch in batches:
             for row in zip(*batch.columns):
-                yield from archive.add(warc_record(*(x.as_py() for x in row)))
+                *fields, block, original = (x.as_py() for x in row)
+                yield from archive.add(warc_record(*fields, zlib.decompress(block) if packed else block, original))
         yield from archive.close()
 
     write_archives(rows.mapInArrow(lambda batches: one_value(archives(batches)), "value binary"), path, "warc")
@@ -386,5 +387,5 @@ def convert_pages(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id
     spark = pages.sparkSession
     base = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
     write_arc(pages, base, id_col, url_col, html_col)
-    arc_to_warc(read_arc(spark, f"{base}/arc"), base, least_bytes)
+    arc_to_warc(read_arc(spark, f"{base}/arc", packed=True), base, least_bytes, packed=True)
     return read_warc(spark, f"{base}/warc")
