@@ -35,10 +35,12 @@ SPLIT_SPACE = re.compile(f"[{SPACE}]+")
 #: Beyond these scripts, Unicode versions differ on what is a letter: the library's own normaliser and splitter decide.
 UNSETTLED = re.compile("[\u0500-\U0010ffff]")
 #: Distinct space-free chunks a task remembers.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 500_000
 #: Texts whose new words make one trie.
 TEXTS_AT_ONCE = 2048
 PAIRS_KEPT = 1_000_000
+#: Steps of the automaton over failing ones that a task remembers.
+STEPS_KEPT = 500_000
 UNBOUNDED = 1 << 30
 
 
@@ -101,13 +103,12 @@ class WordTrieBpe:
                     depth_first[d].append((state, ord(c), step[key]))
                 state = step[key]
             own[state] = ((i, len(text)),)
-        self.step, self.ends = step, own
+        self.tree, self.step, self.ends = step, dict(step), own
         self.back = [0] * len(own)
         for level in depth_first:
             for parent, c, state in level:
                 self.back[state] = self._follow(self.back[parent], c, step) if parent else 0
                 own[state] += own[self.back[state]]
-        self.tree_size = len(step)
 
     def _follow(self, state: int, c: int, step: dict[int, int]) -> int:
         while True:
@@ -149,7 +150,9 @@ class WordTrieBpe:
             raw = w.encode("utf-8").decode("latin-1")
             spelled[raw[:-1] + chr(256 + ord(raw[-1])) if self.suffix else raw] = w
         out: dict[str, tuple[int, ...]] = {}
-        step, ends, fits_known = self.step, self.ends, self.fits_known
+        if len(self.step) > len(self.tree) + STEPS_KEPT:
+            self.step = dict(self.tree)
+        tree, step, ends, fits_known = self.tree, self.step, self.ends, self.fits_known
         longest = max(map(len, spelled), default=0) + 1
         states, tokens, lengths = [0] * longest, [-1] * longest, [0] * longest
         before = ""
@@ -165,8 +168,9 @@ class WordTrieBpe:
             for i in range(shared, n):
                 key = state << 10 | ord(text[i])
                 to = step.get(key)
-                if to is None:  # kept from then on, as the automaton is finite
-                    to = step[key] = self._follow(state, key & 1023, step)
+                if to is None:
+                    to = self._follow(state, key & 1023, tree)
+                    step[key] = to
                 state = to
                 i += 1
                 for token, length in ends[state]:
@@ -199,6 +203,7 @@ class TextCodec:
         library = Tokenizer.from_file(path)
         self.normaliser, self.splitter, self.alphabet = library.normalizer, library.pre_tokenizer, byte_alphabet()
         self.known: dict[str, tuple[str, str]] = {}
+        self.decimal = {i: str(i) for i in self.words.names}
         specials = sorted(self.words.specials, key=len, reverse=True) if parse_special else []
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
 
@@ -226,30 +231,37 @@ class TextCodec:
         return out
 
     def learn(self, texts: list[list[str]]) -> None:
-        fresh = set().union(*texts).difference(self.known)
+        every = set().union(*texts)
+        fresh = every.difference(self.known)
         if len(self.known) + len(fresh) > WORDS_KEPT:
             self.known.clear()
-            fresh = set().union(*texts)
-        split = {c: [c[1:]] if c[0] == "\v" else self.WORD.findall(c) for c in fresh if c[0] != "\n"}
-        ids = self.words.encode_words({w for ws in split.values() for w in ws})
-        name = self.words.names
-        spelled = {w: (" ".join(map(str, x)), " ".join([name[i] for i in x])) for w, x in ids.items()}
+            fresh = every
+        # a chunk of letters alone is one word
+        split = {c: [c[1:]] if c[0] == "\v" else self.WORD.findall(c) for c in fresh if c[0] != "\n" and not c.isalpha()}
+        words = {w for ws in split.values() for w in ws}
+        words.update(c for c in fresh if c.isalpha())
+        known, decimal, name = self.known, self.decimal, self.words.names
+        spelled = {w: known[w] for w in words if w in known}  # a word that stood alone before
+        spelled.update((w, (" ".join([decimal[i] for i in x]), " ".join([name[i] for i in x]))) for w, x in self.words.encode_words(words - spelled.keys()).items())
         for c in fresh:
-            if c[0] == "\n":
-                self.known[c] = (str(self.words.specials[c[1:]]), c[1:])
+            ws = split.get(c)
+            if ws is None:
+                known[c] = spelled[c] if c[0] != "\n" else (str(self.words.specials[c[1:]]), c[1:])
+            elif len(ws) == 1:
+                known[c] = spelled[ws[0]]
             else:
-                both = [spelled[w] for w in split[c]]
-                self.known[c] = (" ".join([b[0] for b in both]), " ".join([b[1] for b in both]))
+                both = [spelled[w] for w in ws]
+                known[c] = (" ".join([b[0] for b in both]), " ".join([b[1] for b in both]))
 
     def encode(self, texts: list[str]) -> list[tuple[str, str]]:
         """For each text its decimal ids, joined by a space, and the decoded text."""
         cut = [self.pieces(t) for t in texts]
         self.learn(cut)
-        known = self.known
+        of = self.known.__getitem__
         out = []
         for chunks in cut:
-            both = [known[c] for c in chunks]
-            out.append((" ".join([b[0] for b in both]), " ".join([b[1] for b in both])))
+            ids, decoded = zip(*map(of, chunks)) if chunks else ((), ())
+            out.append((" ".join(ids), " ".join(decoded)))
         return out
 
 
