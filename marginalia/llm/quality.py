@@ -1,10 +1,13 @@
 """Quality classifier: random-indexing word vectors, pooled per document, then a two-layer network whose probabilities
 are calibrated by a temperature.
 
-Every word bucket has a fixed sparse vector of a few +1 and -1, which follows from its number. A bucket's word vector is
-the sum of the sparse vectors of all its neighbours over the whole corpus: tasks add up tables of a fixed size, and
-those are summed part by part. A document is the mean of its words' unit vectors, their spread, and how alike its
-neighbouring words are. The network is fitted on the driver from a bounded sample of labelled documents.
+Words fall in buckets by hash. Every bucket has a fixed sparse vector of a few +1 and -1, which follows from its number;
+its word vector is the sum of the sparse vectors of all its neighbours over the whole corpus: tasks add up tables of a
+fixed size, and those are summed part by part. A document is the mean of its words' unit vectors, their spread, and how
+alike its neighbouring words are. The network is fitted on the driver from a bounded sample of labelled documents.
+
+Words of one bucket share a vector, so ``buckets`` bounds memory and is a parameter; README has the accuracy at several
+sizes.
 """
 
 from __future__ import annotations
@@ -20,11 +23,13 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import arrow_schema, keyed_text, map_batches, shuffle_width, stored
 from marginalia.llm.shingles import WORDS_AND_SIGNS, mixed, word_hashes
 
+#: Hash buckets that words fall in, unless a caller asks for others.
 BUCKETS = 8192
 DIMENSIONS = 48
 MARKS = 2
 WINDOW = 2
-CHUNKS = 256
+#: Buckets of one part of a table, which are summed together.
+PART = 8
 #: Labelled documents that the network is fitted on, at most: those whose doc_id has the least hash.
 LABELLED_ROWS = 20_000
 HIDDEN = 32
@@ -33,29 +38,29 @@ THRESHOLD = 0.3
 FEATURES = 2 * DIMENSIONS + 4
 
 
-def sparse_marks() -> tuple[np.ndarray, np.ndarray]:
+def sparse_marks(buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each bucket the places of its marks, and their signs."""
-    at = np.arange(BUCKETS, dtype=np.uint64)[:, None] * np.uint64(MARKS) + np.arange(MARKS, dtype=np.uint64)
+    at = np.arange(buckets, dtype=np.uint64)[:, None] * np.uint64(MARKS) + np.arange(MARKS, dtype=np.uint64)
     drawn = mixed(at + np.uint64(0x5EED))
     return (drawn % np.uint64(DIMENSIONS)).astype(np.int64), np.where(drawn >> np.uint64(63), 1.0, -1.0)
 
 
-def batch_words(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def batch_words(texts: pa.Array, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Buckets of the words of some hundred rows at a time, and where each row's begin."""
     for at in range(0, len(texts), 512):
         words, bounds = word_hashes(texts.slice(at, 512), kinds=WORDS_AND_SIGNS)
-        yield (words % np.uint64(BUCKETS)).astype(np.int64), bounds
+        yield (words % np.uint64(buckets)).astype(np.int64), bounds
 
 
-def context_table(texts: DataFrame) -> np.ndarray:
+def context_table(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """The word vectors, not yet of unit length: a table of a fixed size, whatever the corpus."""
-    chunk = BUCKETS // CHUNKS
+    parts_of = -(-buckets // PART)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, signs = sparse_marks()
-        table = np.zeros(BUCKETS * DIMENSIONS)
+        places, signs = sparse_marks(buckets)
+        table = np.zeros(parts_of * PART * DIMENSIONS)
         for batch in batches:
-            for words, bounds in batch_words(batch.column("text")):
+            for words, bounds in batch_words(batch.column("text"), buckets):
                 row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                 for step in range(1, WINDOW + 1):
                     near = row[step:] == row[:-step]
@@ -63,7 +68,7 @@ def context_table(texts: DataFrame) -> np.ndarray:
                     for one, other in ((a, b), (b, a)):
                         for m in range(MARKS):
                             table += np.bincount(one * DIMENSIONS + places[other, m], weights=signs[other, m], minlength=len(table))
-        parts = table.astype(np.int32).reshape(CHUNKS, chunk * DIMENSIONS)
+        parts = table.astype(np.int32).reshape(parts_of, PART * DIMENSIONS)
         used = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in used], pa.binary())], names=["part", "sums"])
 
@@ -77,10 +82,10 @@ def context_table(texts: DataFrame) -> np.ndarray:
 
     partial = texts.mapInArrow(count, "part int, sums binary")
     summed = partial.repartition(shuffle_width(texts.sparkSession), "part").mapInArrow(add, "part int, sums binary").toArrow()
-    table = np.zeros((CHUNKS, chunk * DIMENSIONS))
+    table = np.zeros((parts_of, PART * DIMENSIONS))
     for part, sums in zip(summed["part"].to_pylist(), summed["sums"].to_pylist()):
         table[part] = np.frombuffer(sums, dtype=np.int64)
-    return table.reshape(BUCKETS, DIMENSIONS)
+    return table.reshape(-1, DIMENSIONS)[:buckets]
 
 
 def unit_vectors(table: np.ndarray) -> np.ndarray:
@@ -106,7 +111,7 @@ def pooled(words: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 def document_vectors(texts: DataFrame, vectors: np.ndarray) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            rows = [pooled(words[a:b], vectors).tolist() for words, bounds in batch_words(batch.column("text")) for a, b in zip(bounds[:-1], bounds[1:])]
+            rows = [pooled(words[a:b], vectors).tolist() for words, bounds in batch_words(batch.column("text"), len(vectors)) for a, b in zip(bounds[:-1], bounds[1:])]
             return {"doc_id": batch.column("doc_id"), "vector": rows}
 
         return step
@@ -179,24 +184,24 @@ class Model:
         return self.network.scores(x) if self.network and len(x) else np.full(len(x), 0.5)
 
 
-def fitted(texts: DataFrame, labels: DataFrame, label_col: str, labelled_rows: int) -> tuple[Model, DataFrame]:
-    """The model, and the document vectors of all texts."""
-    vectors = unit_vectors(context_table(texts.select("text")))
+def fitted(texts: DataFrame, labels: DataFrame, label_col: str, labelled_rows: int, buckets: int) -> tuple[Model, DataFrame]:
+    """The model, and the document vectors of all texts. Of rows of one doc_id the one of the least vector is learned."""
+    vectors = unit_vectors(context_table(texts.select("text"), buckets))
     known = stored(document_vectors(texts, vectors))
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna().filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    sample = known.dropDuplicates(["doc_id"]).join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows).select("vector", "y").toArrow()
+    sample = known.join(marked, "doc_id").groupBy("doc_id").agg(F.min("vector").alias("vector"), F.first("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows).select("vector", "y").toArrow()
     y = sample["y"].to_numpy().astype(float)
     return Model(vectors, Network(np.array(sample["vector"].to_pylist()), y) if len(y) else None), known
 
 
-def scored_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", labelled_rows: int = LABELLED_ROWS) -> DataFrame:
+def scored_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", labelled_rows: int = LABELLED_ROWS, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; a score depends on the text alone, so equal texts score alike.
 
     Only labels of documents that aren't held out are learned, of at most ``labelled_rows`` of them. Null labels and
     labels without a document count for nothing; of several labels of a document the greatest holds. A null text is
     empty; empty texts are scored as the network scores a document without words. Without any label every score is 0.5.
     """
-    model, known = fitted(keyed_text(docs, id_col, text_col), labels, label_col, labelled_rows)
+    model, known = fitted(keyed_text(docs, id_col, text_col), labels, label_col, labelled_rows, buckets)
     schema = arrow_schema("doc_id long, score double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,15 +213,15 @@ def scored_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quali
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def accepted_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", labelled_rows: int = LABELLED_ROWS) -> DataFrame:
+def accepted_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", labelled_rows: int = LABELLED_ROWS, buckets: int = BUCKETS) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score at least the threshold. Each task scores its own rows, so
     no text is shuffled."""
-    model, _ = fitted(keyed_text(docs, id_col, text_col), labels, label_col, labelled_rows)
+    model, _ = fitted(keyed_text(docs, id_col, text_col), labels, label_col, labelled_rows, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_col).fill_null("")
-            x = [pooled(words[a:b], model.vectors) for words, bounds in batch_words(texts) for a, b in zip(bounds[:-1], bounds[1:])]
+            x = [pooled(words[a:b], model.vectors) for words, bounds in batch_words(texts, len(model.vectors)) for a, b in zip(bounds[:-1], bounds[1:])]
             yield batch.filter(pa.array(model.scores(np.array(x, dtype=np.float64).reshape(-1, FEATURES)) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
