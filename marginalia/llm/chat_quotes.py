@@ -94,7 +94,7 @@ def reply_paths(parents: DataFrame) -> DataFrame:
 
 
 def reply_parents(slim: DataFrame) -> DataFrame:
-    """(thread, turn, parent) of messages that quote an earlier one; ``slim``: (thread, turn, units)."""
+    """(thread, turn, parent) of messages that quote an earlier one; ``slim``: thread, turn and units of each."""
     each = slim.select("thread", "turn", F.inline("units"))
     runs = each.filter("whole").select("thread", "turn", "level", "place", "key").distinct()  # a passage of one paragraph is there once
     origin = runs.filter("level = 0").groupBy("thread", "key").agg(F.min("turn").alias("origin"))
@@ -106,6 +106,14 @@ def reply_parents(slim: DataFrame) -> DataFrame:
     return known.unionByName(part_parents(each, open_)) if open_.limit(1).count() else known
 
 
+def one_each(cut: DataFrame, repeated: DataFrame, column: str) -> DataFrame:
+    """(thread, turn, role, column): of repeated messages the one of the least (role, digest); the others stay where
+    they are as long as few are repeated."""
+    keys = ["thread", "turn"]
+    least = cut.join(repeated, keys, "left_semi").groupBy(*keys).agg(F.min(F.struct("role", "digest", column)).alias("of")).select(*keys, "of.role", f"of.{column}")
+    return cut.join(repeated, keys, "left_anti").select(*keys, "role", column).unionByName(least)
+
+
 def reply_ordered(messages: DataFrame, thread_col: str = "conv_id", order_col: str = "turn", role_col: str = "role", body_col: str = "text") -> DataFrame:
     """(thread, turn, role, parent, depth, path, reply_path, text, rendered); sorted by thread and path, each reply
     stands below what it answers.
@@ -118,11 +126,11 @@ def reply_ordered(messages: DataFrame, thread_col: str = "conv_id", order_col: s
     """
     whole = messages.select(F.col(thread_col).alias("thread"), F.col(order_col).alias("turn"), F.coalesce(role_col, F.lit("unknown")).alias("role"), F.coalesce(body_col, F.lit("")).alias("body"))
     cut = stored(parsed(whole.filter("thread IS NOT NULL AND turn IS NOT NULL")))
-    least = lambda column: F.min(F.struct("role", "digest", column)).alias("of")
-    slim = cut.groupBy("thread", "turn").agg(least("units")).select("thread", "turn", F.col("of.units").alias("units"))
-    known = cut.select("thread", "turn").distinct().join(reply_parents(slim), ["thread", "turn"], "left")
-    texts = cut.groupBy("thread", "turn").agg(least("text")).select("thread", "turn", "of.role", "of.text")
-    return texts.join(reply_paths(known), ["thread", "turn"]).select(
+    counted = cut.groupBy("thread", "turn").count()
+    repeated = checkpoint(counted.filter("count > 1").select("thread", "turn"))
+    parents = reply_parents(one_each(cut, repeated, "units"))
+    known = counted.select("thread", "turn").join(parents, ["thread", "turn"], "left")
+    return one_each(cut, repeated, "text").join(reply_paths(known), ["thread", "turn"]).select(
         "thread", "turn", "role", F.get("path", F.size("path") - 2).alias("parent"), F.size("path").alias("depth"), "path",
         F.array_join(F.transform("path", lambda t: t.cast("string")), ".").alias("reply_path"), "text", F.concat(F.lit("### "), "role", F.lit("\n"), "text").alias("rendered"),
     )

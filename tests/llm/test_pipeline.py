@@ -29,3 +29,51 @@ def test_stages_on_whole_tables(spark, sf_dir):
     used, least = check(sorted(texts[3].items()), stages["packing"](spark, states[3], sf_dir).collect(), 1024)
     assert used <= least * 1.02 + 1
     assert corpus_pipeline.run(spark, sf_dir).count() == stages["packing"](spark, states[3], sf_dir).count()
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = " ".join(f"w{i}" for i in range(40))
+
+
+def odd_documents(spark):
+    secret = "api_key = AbCdEf123456"
+    rows = [
+        (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n", "en", "a", 2), (None, WORDS, "en", "a", 7),
+        (5, WORDS, "en", "b", 7), (5, WORDS, "en", "a", 7), (5, "other words", "en", "a", 7), (6, WORDS, None, "a", 7),
+        (7, WORDS + " one more", "en", "a", 7), (8, secret, "en", "a", 1), (8, secret, "en", "a", 1), (9, "x " * 60_000, "en", "a", None),
+    ]
+    return spark.createDataFrame(rows, COLUMNS).repartition(3)
+
+
+def test_stages_over_odd_rows(spark, sf_dir):
+    docs, stages = odd_documents(spark), dict(corpus_pipeline.STAGES)
+    once = stages["quality"](spark, docs, sf_dir)
+    assert once.columns == docs.columns
+    kept = sorted(map(repr, once.collect()))
+    assert kept == sorted(map(repr, stages["quality"](spark, docs.repartition(1), sf_dir).collect())) and len(kept) <= 12
+
+    near = sorted(((r["doc_id"], r["text"], r["source"]) for r in stages["near_duplicates"](spark, docs, sf_dir).collect()), key=repr)
+    assert [(d, s) for d, _, s in near] == [(1, None), (2, "a"), (3, "a"), (5, "a"), (8, "a"), (9, "a"), (None, "a")]
+    assert {d: t for d, t, _ in near}[5] == "other words"
+
+    clean = stages["secrets"](spark, docs, sf_dir)
+    assert clean.columns == docs.columns and clean.count() == 12
+    texts = {r["doc_id"]: (r["text"], r["n_chars"]) for r in clean.collect()}
+    assert texts[1][0] is None and texts[2] == ("", 0) and "AbCdEf123456" not in texts[8][0] and texts[9] == ("x " * 60_000, 120_000)
+
+    packed = stages["packing"](spark, docs, sf_dir).collect()
+    assert max(r["length"] for r in packed) <= 1024 and {r["doc_id"] for r in packed} == {1, 2, 3, None, 5, 6, 7, 8, 9}
+    assert [r["length"] for r in packed if r["doc_id"] in (1, 2)] == [1, 1]
+    held = {}
+    for r in packed:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all([o for o, _ in sorted(v)] == [sum(n for _, n in sorted(v)[:i]) for i in range(len(v))] for v in held.values())
+
+
+def test_stages_over_empty_and_wider_tables(spark, sf_dir):
+    empty = odd_documents(spark).filter("false")
+    wide = odd_documents(spark).selectExpr("*", "1 AS class", "'x' AS component_id", "2 AS label", "3 AS vector", "4 AS score")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0
+        got = stage(spark, wide, sf_dir)
+        assert got.count() and (name == "packing" or got.columns == wide.columns)
