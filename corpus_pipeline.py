@@ -18,19 +18,31 @@ from marginalia.llm.common import load, stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose text scores at least 0.3, as a network learned from ``labels`` scores it. A null text is empty, and
+    empty texts score as the network scores no words; rows without a doc_id and repeated rows are judged by their text
+    like any other. Without any label of these documents all stay. Empty tables stay empty."""
     return quality.accepted_documents(docs, load(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that links of at least 0.8 on five-word shingles join, the one with the smallest
+    doc_id. Texts that are null, empty or without words link with nothing and stay, and so do rows without a doc_id.
+    Rows of one doc_id are one document, linked by the texts of all of them; of a document that stays one row stays,
+    that of the least text (null before all others, then the other columns)."""
     groups = jaccard_join.similarity_components(docs, width=5, percent=80)
-    return jaccard_join.without_documents(docs, stored(groups.filter("component_id <> doc_id").select("doc_id")))
+    kept = jaccard_join.without_documents(docs, stored(groups.filter("component_id <> doc_id").select("doc_id")))
+    return jaccard_join.one_row_each(kept)
 
 
 def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with secrets in the texts replaced and n_chars counted again. Null texts stay null and empty ones
+    empty; rows without a doc_id and repeated rows are treated like any other."""
     return secret_scan.redact_documents(docs, "text", "n_chars")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 tokens. A null or empty text is its end token alone;
+    repeated rows are packed each by itself. An empty table gives no rows."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
