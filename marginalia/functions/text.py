@@ -6,23 +6,38 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Ranges that count as one token a character.
-WIDE = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}"
+WIDE = r"\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}"
 CJK = r"\x{4E00}-\x{9FFF}"
+#: Fixed value: ideographs that have no blanks between them.
+CLOSE = r"\x{3400}-\x{9FFF}"
 #: Characters that normalisation removes or turns to a blank.
 INVISIBLE = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{FEFF}]"
-BLANKS = r"[ \t\r\f\x{0B}\x{A0}\x{3000}]+"
+BLANKS = r" \t\r\f\x{0B}\x{A0}\x{3000}"
+#: What stands for a page without content, and what failed parsers leave.
+PLACEHOLDERS = [
+    r"^[.\-_=*~#·—–\s]+$",
+    r"(?i)^[\[(（【]\s*(空|无|略|图片|image|figure|table|图表|公式|equation|待补充|todo|tbd)\s*[\])）】]$",
+    r"(?i)^(无内容|没有内容|此页无文字|no content|empty|n/?a)$",
+]
+PARSE_MARKERS = [
+    r"^\[[^\]\n]{0,40}解析失败[^\]\n]{0,120}\]$",
+    r"(?i)^\[[^\]\n]{0,40}parse (failed|error)[^\]\n]{0,120}\]$",
+    r"(?i)^error:\s*.{0,120}$",
+]
+UNPARSED_FILE = r"^\[(docx|pdf|pptx?)\s*解析失败[:：]"
 
 
 def normalize_text(text: Column) -> Column:
-    """Line ends to LF; invisible characters go; a word split by a soft hyphen and line end is joined; blanks collapse;
+    """Line ends to LF; invisible characters go; a word split by a hyphen and line end is joined; blanks collapse;
     lines are stripped; gaps between ideographs go; three and more line ends become two; the whole is stripped."""
     swap = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
     out = swap(swap(text, "\r\n", "\n"), "\r", "\n")
     out = F.regexp_replace(out, INVISIBLE, "")
-    out = F.regexp_replace(out, r"(\p{L})[-\x{AD}]\n(\p{Ll})", "$1$2")
-    out = F.regexp_replace(out, BLANKS, " ")
-    out = swap(swap(out, " \n", "\n"), "\n ", "\n")  # blanks are single by now
-    out = F.regexp_replace(out, rf"(?<=[{CJK}])\s+(?=[{CJK}])", "")
+    # patterns start with what is rare, so that most places are passed by at their first character
+    out = F.regexp_replace(out, r"[-\x{AD}]\n(?=\p{Ll})(?<=\p{L}[-\x{AD}]\n)", "")
+    out = F.regexp_replace(out, rf" [{BLANKS}]+|[{BLANKS[1:]}][{BLANKS}]*", " ")  # single blanks stay as they are
+    out = swap(swap(out, " \n", "\n"), "\n ", "\n")
+    out = F.regexp_replace(out, rf"([{CLOSE}])\s+(?=[{CLOSE}])", "$1")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
     return F.btrim(out, F.lit(" \t\n\x0b\f\r"))
 
@@ -48,17 +63,29 @@ def infer_kind(kind: Column, name: Column) -> Column:
     return F.coalesce(F.when(F.trim(kind) != "", F.lower(F.trim(kind))), out)
 
 
+def matches_any(text: Column, patterns: list[str]) -> Column:
+    out = F.lit(False)
+    for pattern in patterns:
+        out = out | text.rlike(pattern)
+    return out
+
+
 def noise_verdict(text: Column) -> Column:
-    """Why a text of at most 200 characters says nothing; null if it does. Longer texts are never noise."""
-    plain = F.lower(F.trim(text))
+    """Why a normalised text of at most 200 characters says nothing; null if it does. Longer texts are never noise."""
+    short = F.length(text) <= 200
     return (
-        F.when(plain == "", "empty")
-        .when(F.length(text) > 200, None)
-        .when(plain.rlike(r"^(n/a|none|null|todo|tbd|placeholder|\.{3,}|-+)$"), "placeholder")
-        .when(plain.rlike(r"^\[?(parse|parsing) (error|failed)"), "parse_marker")
+        F.when(text.rlike(r"^\s*$"), "empty")
+        .when(short & matches_any(text, PLACEHOLDERS), "placeholder")
+        .when(short & matches_any(text, PARSE_MARKERS), "parse_marker")
     )
 
 
+def is_parse_marker(text: Column) -> Column:
+    """Whether all that a parser left, 300 characters at most, is that it failed."""
+    plain = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.coalesce((F.length(plain) <= 300) & matches_any(plain, [*PARSE_MARKERS, UNPARSED_FILE]), F.lit(False))
+
+
 def page_number(locator: Column) -> Column:
     digits = F.regexp_extract(locator, r"(?i)^(?:page|slide|p|s)[:# ]*([0-9]{1,9})", 1)
     return F.when(digits != "", digits.cast("int"))
@@ -163,6 +190,6 @@ def is_source_id(text: Column) -> Column:
 
 
 def without_thinking(text: Column) -> Column:
-    """Thinking blocks go, closed or left open at the end."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""), r"(?is)<think>.*$", ""))
-
+    """Thinking blocks go, closed or left open at the end, and then stray tags of them."""
+    closed = F.regexp_replace(text, r"(?is)<(think(?:ing)?)>.*?</\1>", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(closed, r"(?is)<think>.*$", ""), r"(?i)<\s*/?\s*think(ing)?\s*>", ""))

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.numeric import ratio
 from marginalia.functions.text import normalize_text, noise_verdict
+from marginalia.streaming.tables import written
 
 
 def span_states(docs: DataFrame, id_col: str, text: Column, *scope: str) -> DataFrame:
     """(id, scope, state, reason, canonical_id): noise, duplicate of the first with the same text, or included."""
-    clean = docs.select(id_col, *scope, normalize_text(text).alias("_text")).select(id_col, *scope, noise_verdict(F.col("_text")).alias("reason"), F.sha2("_text", 256).alias("_hash"))
+    clean = docs.select(id_col, *scope, normalize_text(text).alias("_text")).select(id_col, *scope, noise_verdict(F.col("_text")).alias("reason"), F.unhex(F.sha2("_text", 256)).alias("_hash"))
+    clean = written(clean, "span-states")  # hashes of all texts, for the two uses below
     first = clean.filter("reason IS NULL").groupBy(*scope, "_hash").agg(F.min(id_col).alias("canonical_id"))
     joined = clean.join(first, [*scope, "_hash"], "left")
     state = F.when(F.col("reason").isNotNull(), "noise").when(F.col(id_col) != F.col("canonical_id"), "duplicate").otherwise("included")

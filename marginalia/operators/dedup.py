@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import normalize_text
+from marginalia.streaming.tables import written
 
 
 def exact_canonical(df: DataFrame, id_col: str, text: Column, *kinds: str) -> DataFrame:
     """(id, canonical_id, state) by hash of the normalised text within a kind; the first of each group is canonical. The
     least id is joined back, so that a text that very many rows share is dealt over tasks."""
-    hashed = df.select(id_col, *kinds, F.sha2(normalize_text(text), 256).alias("_hash"))
+    hashed = written(df.select(id_col, *kinds, F.unhex(F.sha2(normalize_text(text), 256)).alias("_hash")), "hashes")
     first = hashed.groupBy(*kinds, "_hash").agg(F.min(id_col).alias("canonical_id"))
     state = F.when(F.col(id_col) == F.col("canonical_id"), "included").otherwise("duplicate")
     return hashed.join(first, [*kinds, "_hash"]).select(id_col, *kinds, "canonical_id", state.alias("state"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.numeric import cosine
 from marginalia.functions.text import char_tokens
 from marginalia.operators.relational import top_per_key
+from marginalia.streaming.tables import written
 
 K1, B = 1.5, 0.75
 
@@ -19,7 +20,7 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text: Column, query_c
 
     Only postings of terms that some query has leave the scan; lengths and counts are of all documents.
     """
-    tokens = docs.select(id_col, char_tokens(text).alias("_tokens"))
+    tokens = written(docs.select(id_col, char_tokens(text).alias("_tokens")), "tokens")  # for lengths and for postings
     size = tokens.agg(F.count("*").alias("_n"), F.avg(F.size("_tokens")).alias("_avg"))
     asked = queries.select(query_col, F.explode(terms_col).alias("_term")).groupBy(query_col, "_term").agg(F.count("*").alias("_times"))
     postings = tokens.select(id_col, F.size("_tokens").alias("_len"), F.explode("_tokens").alias("_term")).join(asked.select("_term").distinct(), "_term", "left_semi").groupBy(id_col, "_len", "_term").agg(F.count("*").alias("_tf"))

@@ -9,12 +9,12 @@ from marginalia.functions import numeric as nm
 from marginalia.functions import text as tx
 from marginalia.operators import audit, folds, graph, retrieval
 from marginalia.plans.registry import query
-from marginalia.plans.text import NORMAL
-from marginalia.tables import load, spans
+from marginalia.plans.text import NOISE, NORMAL
+from marginalia.tables import load, load_texts, spans
 
 STATES = rf"""
 WITH clean AS (SELECT doc_id, lang, source, {NORMAL} AS t FROM documents),
-verdicts AS (SELECT *, CASE WHEN trim(t) = '' THEN 'empty' WHEN length(t) > 200 THEN NULL WHEN regexp_matches(lower(trim(t)), '^(n/a|none|null|todo|tbd|placeholder|\.{{3,}}|-+)$') THEN 'placeholder' END AS reason FROM clean),
+verdicts AS (SELECT *, {NOISE} AS reason FROM clean),
 firsts AS (SELECT *, min(doc_id) FILTER (reason IS NULL) OVER (PARTITION BY source, t) AS canonical FROM verdicts),
 states AS (SELECT doc_id, source, reason, CASE WHEN reason IS NOT NULL THEN 'noise' WHEN doc_id <> canonical THEN 'duplicate' ELSE 'included' END AS state FROM firsts)
 """
@@ -23,7 +23,7 @@ states AS (SELECT doc_id, source, reason, CASE WHEN reason IS NOT NULL THEN 'noi
 @query(STATES + "SELECT source, state, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY source), 6) AS share FROM states GROUP BY 1, 2")
 def coverage_by_state(spark, d):
     """How many documents of each source are included, duplicates or noise, and their share of the source."""
-    n = audit.span_states(load(spark, d, "documents"), "doc_id", F.col("text"), "source").groupBy("source", "state").agg(F.count("*").alias("n"))
+    n = audit.span_states(load_texts(spark, d), "doc_id", F.col("text"), "source").groupBy("source", "state").agg(F.count("*").alias("n"))
     total = n.groupBy("source").agg(F.sum("n").alias("total"))
     return n.join(total, "source").select("source", "state", "n", nm.ratio(F.col("n"), F.col("total")).alias("share"))
 
@@ -40,7 +40,7 @@ r AS (SELECT *, round(accounted / total, 6) AS accounting, CASE WHEN canonical =
 def _metrics(spark, d):
     outcome = F.when(F.col("quality") == 1, "processed").when(F.col("toxic") == 1, "failed").otherwise("not_used")
     ledger = load(spark, d, "labels").select("doc_id", outcome.alias("outcome"))
-    return audit.coverage_metrics(audit.span_states(load(spark, d, "documents"), "doc_id", F.col("text"), "source"), ledger, "doc_id", "source")
+    return audit.coverage_metrics(audit.span_states(load_texts(spark, d), "doc_id", F.col("text"), "source"), ledger, "doc_id", "source")
 
 
 @query(METRICS + "SELECT * FROM r")
@@ -102,7 +102,7 @@ SELECT doc_id, contains(h, n) OR contains(replace(h, '0', 'o'), replace(n, '0',
   OR contains(replace(h, '2', 'z'), replace(n, '2', 'z')) OR contains(replace(h, '6', 'g'), replace(n, '6', 'g')) OR contains(replace(h, '9', 'q'), replace(n, '9', 'q')) AS verified FROM p""")
 def quote_verify(spark, d):
     """Whether the quote that each document is said to hold is there, allowing for one common misreading."""
-    docs, items = load(spark, d, "documents"), load(spark, d, "benchmark").withColumnRenamed("text", "passage")
+    docs, items = load_texts(spark, d), load(spark, d, "benchmark").withColumnRenamed("text", "passage")
     by, part = F.col("doc_id") % 3, F.substring("text", 5, 30)
     quote = F.when(by == 0, F.col("passage")).when(by == 1, F.replace(part, F.lit(" "), F.lit("  "))).otherwise(F.replace(part, F.lit("o"), F.lit("0")))
     return docs.join(items, items.item_id == docs.doc_id % 40).select("doc_id", tx.fuzzy_contains(F.col("text"), quote).alias("verified"))
@@ -121,7 +121,7 @@ scored AS (SELECT a.item_id, p.doc_id, sum(a.times * ln(1 + (s.n - df.df + 0.5)
 
 def _bm25(spark, d):
     terms = F.slice(tx.char_tokens(F.col("text")), 1, 5)
-    return retrieval.bm25(load(spark, d, "documents"), load(spark, d, "benchmark").select("item_id", terms.alias("terms")), "doc_id", F.col("text"), "item_id", "terms")
+    return retrieval.bm25(load_texts(spark, d), load(spark, d, "benchmark").select("item_id", terms.alias("terms")), "doc_id", F.col("text"), "item_id", "terms")
 
 
 @query(BM25 + "SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id)::INT AS rank, doc_id, round(score, 6) AS score FROM scored QUALIFY rank <= 10")
@@ -173,7 +173,7 @@ def _whole_bm25(docs, items):
 @query(WHOLE_BM25 + BM25_COLUMNS)
 def bm25_topk_whole(spark, d):
     """As bm25_topk, with all tokens of each passage."""
-    scored = _whole_bm25(load(spark, d, "documents"), load(spark, d, "benchmark"))
+    scored = _whole_bm25(load_texts(spark, d), load(spark, d, "benchmark"))
     return retrieval.best(scored, "item_id", "doc_id", 10).select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -187,7 +187,7 @@ SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY n_chars DESC, r
 def hybrid_rank_each(spark, d):
     """Fused scores of every query passage against every document: the words are the passage's, and passages and
     documents have the vectors of their ids. 40 candidates of each query, of which the ten longest stay."""
-    docs, e = load(spark, d, "documents"), load(spark, d, "embeddings")
+    docs, e = load_texts(spark, d), load(spark, d, "embeddings")
     items = load(spark, d, "benchmark").filter("item_id % 20 = 0")
     asked = items.select("item_id", tx.term_set(F.col("text")).alias("words")).join(e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("asked")), "item_id", "left")
     scored = _whole_bm25(docs, items).withColumnRenamed("score", "bm25")

@@ -8,7 +8,7 @@ from marginalia.functions import text as tx
 from marginalia.functions.numeric import jaccard
 from marginalia.operators import dedup
 from marginalia.plans.registry import query
-from marginalia.tables import events, load
+from marginalia.tables import events, load, load_texts
 
 #: DuckDB's form of text normalisation, for texts without ideographs and words split by soft hyphens.
 NORMAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t\r\f\x0B\x{A0}\x{3000}]+', ' ', 'g'), '(?m)^ +| +$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
@@ -17,7 +17,7 @@ NORMAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(r
 @query(rf"SELECT doc_id, length({NORMAL}) AS chars, length(text) AS raw_chars, sha256({NORMAL}) AS digest FROM documents")
 def text_normalize(spark, d):
     clean = tx.normalize_text(F.col("text"))
-    return load(spark, d, "documents").select("doc_id", F.length(clean).alias("chars"), F.length("text").alias("raw_chars"), F.sha2(clean, 256).alias("digest"))
+    return load_texts(spark, d).select("doc_id", F.length(clean).alias("chars"), F.length("text").alias("raw_chars"), F.sha2(clean, 256).alias("digest"))
 
 
 @query("SELECT doc_id, 'sha256:' || sha256(text) AS content_hash, sha256(concat_ws('|', doc_id::VARCHAR, lang, source)) AS scope_hash FROM documents")
@@ -27,17 +27,29 @@ def content_hashes(spark, d):
 
 @query("SELECT doc_id, ceil(length(text) / 4.0)::BIGINT AS tokens FROM documents")
 def token_estimate(spark, d):
-    return load(spark, d, "documents").select("doc_id", tx.estimate_tokens(F.col("text")).alias("tokens"))
+    return load_texts(spark, d).select("doc_id", tx.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query("""
-WITH s AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN substr(text, 1, 3) WHEN doc_id % 9 = 1 THEN 'N/A' WHEN doc_id % 9 = 2 THEN '[parse failed: x' WHEN doc_id % 9 = 3 THEN '  ' ELSE text END AS t FROM documents)
-SELECT doc_id, CASE WHEN trim(t) = '' THEN 'empty' WHEN length(t) > 200 THEN NULL WHEN regexp_matches(lower(trim(t)), '^(n/a|none|null|todo|tbd|placeholder|\\.{3,}|-+)$') THEN 'placeholder'
-  WHEN regexp_matches(lower(trim(t)), '^\\[?(parse|parsing) (error|failed)') THEN 'parse_marker' END AS verdict FROM s""".replace("\\\\", "\\"))
+#: DuckDB's form of the noise verdict on a normalised text ``t``: sets and string functions in place of most patterns.
+NOISE = r"""CASE WHEN trim(t, ' ' || chr(9) || chr(10)) = '' THEN 'empty' WHEN length(t) > 200 THEN NULL
+  WHEN translate(t, '.-_=*~#·—– ' || chr(9) || chr(10), '') = '' OR lower(t) IN ('无内容', '没有内容', '此页无文字', 'no content', 'empty', 'n/a', 'na') THEN 'placeholder'
+  WHEN substr(t, 1, 1) IN ('[', '(', '（', '【') AND right(t, 1) IN (']', ')', '）', '】') AND lower(trim(substr(t, 2, length(t) - 2), ' ' || chr(9) || chr(10))) IN ('空', '无', '略', '图片', 'image', 'figure', 'table', '图表', '公式', 'equation', '待补充', 'todo', 'tbd') THEN 'placeholder'
+  WHEN starts_with(lower(t), 'error:') AND length(ltrim(substr(t, 7), ' ' || chr(10))) <= 120 AND NOT contains(ltrim(substr(t, 7), ' ' || chr(10)), chr(10)) THEN 'parse_marker'
+  WHEN starts_with(t, '[') AND instr(t, ']') = length(t) AND NOT contains(t, chr(10)) AND len(list_filter(['解析失败', 'parse failed', 'parse error'], lambda m: instr(lower(t), m) BETWEEN 2 AND 42 AND length(t) - 1 - instr(lower(t), m) - length(m) <= 119)) > 0 THEN 'parse_marker' END"""
+
+ODD_TEXTS = """CASE doc_id % 11 WHEN 0 THEN substr(text, 1, 3) WHEN 1 THEN repeat('-', n_chars::INT % 30 + 1) || '  ==' WHEN 2 THEN '[' || source || ' parse failed: ' || lang || ']' WHEN 3 THEN '(' || CASE WHEN n_chars % 2 = 0 THEN 'ToDo' ELSE '图表' END || ' ]'
+  WHEN 4 THEN 'Error: ' || substr(text, 1, 40) WHEN 5 THEN '[' || lang || ' 解析失败: ' || source || ']' WHEN 6 THEN 'N/A' WHEN 7 THEN 'placeholder' WHEN 8 THEN chr(10) || ' ' ELSE text END"""
+
+
+@query(rf"WITH o AS (SELECT doc_id, {ODD_TEXTS} AS text FROM documents), s AS (SELECT doc_id, {NORMAL} AS t FROM o) SELECT doc_id, {NOISE} AS verdict FROM s")
 def noise_classify(spark, d):
-    text, by = F.col("text"), F.col("doc_id") % 9
-    t = F.when(by == 0, F.substring(text, 1, 3)).when(by == 1, "N/A").when(by == 2, "[parse failed: x").when(by == 3, "  ").otherwise(text)
-    return load(spark, d, "documents").select("doc_id", tx.noise_verdict(t).alias("verdict"))
+    """Verdicts on texts, and on stand-ins for them of every kind."""
+    text, by = F.col("text"), F.col("doc_id") % 11
+    said = F.concat(F.repeat(F.lit("-"), (F.col("n_chars") % 30 + 1).cast("int")), F.lit("  =="))
+    t = F.when(by == 0, F.substring(text, 1, 3)).when(by == 1, said).when(by == 2, F.concat(F.lit("["), "source", F.lit(" parse failed: "), "lang", F.lit("]")))
+    t = t.when(by == 3, F.concat(F.lit("("), F.when(F.col("n_chars") % 2 == 0, "ToDo").otherwise("图表"), F.lit(" ]"))).when(by == 4, F.concat(F.lit("Error: "), F.substring(text, 1, 40)))
+    t = t.when(by == 5, F.concat(F.lit("["), "lang", F.lit(" 解析失败: "), "source", F.lit("]"))).when(by == 6, "N/A").when(by == 7, "placeholder").when(by == 8, "\n ").otherwise(text)
+    return load_texts(spark, d).select("doc_id", tx.noise_verdict(tx.normalize_text(t)).alias("verdict"))
 
 
 @query("""
@@ -64,13 +76,13 @@ def locator_parse(spark, d):
 SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+'))::INT AS n, sha256(array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)), ' ')) AS digest FROM documents""")
 def char_tokenize(spark, d):
     tokens = tx.char_tokens(F.col("text"))
-    return load(spark, d, "documents").select("doc_id", F.size(tokens).alias("n"), F.sha2(F.array_join(tokens, " "), 256).alias("digest"))
+    return load_texts(spark, d).select("doc_id", F.size(tokens).alias("n"), F.sha2(F.array_join(tokens, " "), 256).alias("digest"))
 
 
 @query("""
 SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9]{2,}'), lambda x: lower(x))))::INT AS terms FROM documents""")
 def term_sets(spark, d):
-    return load(spark, d, "documents").select("doc_id", F.size(tx.term_set(F.col("text"))).alias("terms"))
+    return load_texts(spark, d).select("doc_id", F.size(tx.term_set(F.col("text"))).alias("terms"))
 
 
 @query(r"""
@@ -109,21 +121,21 @@ def thinking_removal(spark, d):
 WITH h AS (SELECT doc_id, lang, """ + NORMAL + r""" AS t FROM documents)
 SELECT doc_id, lang, min(doc_id) OVER (PARTITION BY lang, t) AS canonical_id, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY lang, t) THEN 'included' ELSE 'duplicate' END AS state FROM h""")
 def dedup_exact(spark, d):
-    return dedup.exact_canonical(load(spark, d, "documents"), "doc_id", F.col("text"), "lang")
+    return dedup.exact_canonical(load_texts(spark, d), "doc_id", F.col("text"), "lang")
 
 
 @query(r"""
 WITH c AS (SELECT doc_id, lower(regexp_replace(text, '\s+', '', 'g')) AS t FROM documents WHERE length(regexp_replace(text, '\s+', '', 'g')) >= 120)
 SELECT a.doc_id, min(b.doc_id) AS container_id FROM c a JOIN c b ON substr(a.t, 1, 120) = substr(b.t, 1, 120) AND b.doc_id < a.doc_id AND starts_with(b.t, a.t) GROUP BY 1""")
 def dedup_prefix_containment(spark, d):
-    return dedup.prefix_contained(load(spark, d, "documents"), "doc_id", F.col("text"))
+    return dedup.prefix_contained(load_texts(spark, d), "doc_id", F.col("text"))
 
 
 @query("""
 SELECT DISTINCT d.doc_id, d.doc_id IN (SELECT kept FROM (SELECT min(doc_id) AS kept FROM documents GROUP BY text)) AS canonical
 FROM documents d WHERE EXISTS (SELECT 1 FROM documents o WHERE o.text = d.text AND o.doc_id <> d.doc_id)""")
 def exists_self_join_canonical(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    docs = load_texts(spark, d).select("doc_id", F.sha2("text", 256).alias("hash"))
     groups = docs.groupBy("hash").agg(F.min("doc_id").alias("kept"), F.count("*").alias("n")).filter("n > 1")
     return docs.join(groups, "hash").select("doc_id", (F.col("doc_id") == F.col("kept")).alias("canonical"))
 
@@ -134,7 +146,7 @@ l AS (SELECT doc_id, lead(doc_id) OVER (ORDER BY doc_id) AS other FROM documents
 SELECT a.doc_id, round(CASE WHEN len(list_distinct(list_concat(a.s, b.s))) = 0 THEN 0 ELSE len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) END, 6) AS similarity
 FROM t a JOIN t b ON b.doc_id = a.doc_id + 1""")
 def jaccard_match(spark, d):
-    t = load(spark, d, "documents").select("doc_id", tx.term_set(F.col("text")).alias("s"))
+    t = load_texts(spark, d).select("doc_id", tx.term_set(F.col("text")).alias("s"))
     other = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("o"))
     return t.join(other, "doc_id").select("doc_id", F.round(jaccard(F.col("s"), F.col("o")), 6).alias("similarity"))
 

@@ -26,3 +26,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as Parquet and reads it back: what is costly is worked out once, and later steps read few columns."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

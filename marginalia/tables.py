@@ -10,6 +10,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def load_texts(spark: SparkSession, sf_dir: str, table: str = "documents", key: str = "doc_id") -> DataFrame:
+    """A table whose texts are costly to work through. One that was written as fewer pieces than there are cores is
+    dealt out by its key first; a large one is read as it is, without a shuffle."""
+    df = load(spark, sf_dir, table)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their time in microseconds, as whole numbers compare alike everywhere."""
     return load(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))

@@ -69,3 +69,27 @@ def test_answers_names_and_thinking(spark):
     assert one(spark, tx.yaml_quoted(F.col("t")), t='a: "b"') == '"a: \\"b\\""' and one(spark, tx.yaml_quoted(F.col("t")), t="plain") == "plain"
     assert one(spark, tx.without_thinking(F.col("t")), t="<think>x\ny</think> z <think>open") == "z"
     assert one(spark, tx.fuzzy_contains(F.col("h"), F.col("n")), h="He llo w0rld", n="hello world")
+
+
+@pytest.mark.parametrize(("text", "verdict"), [
+    ("", "empty"), (" \n", "empty"), ("-----", "placeholder"), ("· · ·", "placeholder"), ("=== ***", "placeholder"), ("[ 图片 ]", "placeholder"), ("(TODO)", "placeholder"), ("【空】", "placeholder"),
+    ("N/A", "placeholder"), ("na", "placeholder"), ("No Content", "placeholder"), ("此页无文字", "placeholder"), ("none", None), ("todo", None), ("placeholder", None), ("[x] todo", None), ("-" * 201, None),
+    ("[docx 解析失败: bad zip]", "parse_marker"), ("[Slide parse FAILED]", "parse_marker"), ("[parse error: 3]", "parse_marker"), ("[" + "x" * 41 + "parse error]", None), ("[parse error]\nmore", None),
+    ("Error: no such file", "parse_marker"), ("error: " + "x" * 121, None), ("an error: x", None),
+])
+def test_noise_verdict(spark, text, verdict):
+    assert one(spark, tx.noise_verdict(F.col("t")), t=text) == verdict
+
+
+@pytest.mark.parametrize(("text", "marker"), [(" [pdf 解析失败：" + "x" * 250, True), ("[pdf 解析失败：" + "x" * 300, False), ("[zip 解析失败: x]", True), ("[zip 解析失败: x", False), ("error: x", True), ("", False)])
+def test_parse_marker(spark, text, marker):
+    assert one(spark, tx.is_parse_marker(F.col("t")), t=text) is marker
+
+
+def test_rare_ideographs_are_wide_and_close(spark):
+    assert one(spark, tx.normalize_text(F.col("t")), t="㐀 ䷀ 中\n文") == "㐀䷀中文"
+    assert one(spark, tx.estimate_tokens(F.col("t")), t="㐀䷀x") == 3
+
+
+def test_thinking_of_both_spellings(spark):
+    assert one(spark, tx.without_thinking(F.col("t")), t="<thinking>a</thinking>b<thinking>c </ thinking >d<THINK>e") == "bc d"

@@ -77,6 +77,9 @@ def test_layers_refuse_cycles_and_gaps(spark):
 def test_json_from_noise():
     assert first_json('say {"a": "}\\"", "b": [1, 2,]} end') == '{"a":"}\\"","b":[1,2]}'
     assert first_json("```json\n[1]\n```") == "[1]" and first_json("{") is None and first_json(None) is None
+    assert first_json('x [note] then {"a":1}') == '{"a":1}' and first_json('{"a":1} and more') == '{"a":1}'
+    assert first_json('```json\n{"b": [1,2,],}\n') == '{"b":[1,2]}' and first_json('<thinking>{"z":1}</thinking>[3]') == "[3]"
+    assert first_json('[1, {"a":2}') == '{"a":2}' and first_json("[" * 100_000) is None
 
 
 def test_files(spark, tmp_path):
