@@ -127,7 +127,7 @@ def reply_ordered(messages: DataFrame, thread_col: str = "conv_id", order_col: s
     whole = messages.select(F.col(thread_col).alias("thread"), F.col(order_col).alias("turn"), F.coalesce(role_col, F.lit("unknown")).alias("role"), F.coalesce(body_col, F.lit("")).alias("body"))
     cut = stored(parsed(whole.filter("thread IS NOT NULL AND turn IS NOT NULL")))
     counted = cut.groupBy("thread", "turn").count()
-    repeated = checkpoint(counted.filter("count > 1").select("thread", "turn"))
+    repeated = stored(counted.filter("count > 1").select("thread", "turn"))  # a table's size is known, so a small one is broadcast
     parents = reply_parents(one_each(cut, repeated, "units"))
     known = counted.select("thread", "turn").join(parents, ["thread", "turn"], "left")
     return one_each(cut, repeated, "text").join(reply_paths(known), ["thread", "turn"]).select(
