@@ -16,11 +16,19 @@ def stream_sliding(spark, d):
     return ev.run_updates(ev.sliding(ev.event_stream(spark, d), "12 hours", "6 hours"), ["start_us"])
 
 
-@query("SELECT count(DISTINCT user_id) AS keys FROM events")
+@query("SELECT DISTINCT user_id FROM events")
 def stream_enqueue_once(spark, d):
-    from pyspark.sql import functions as F
+    """The key of every row that was let in."""
+    return ev.run_updates(ev.first_of_key(ev.event_stream(spark, d), "user_id"), [], "append").select("user_id")
 
-    return ev.run_updates(ev.first_of_key(ev.event_stream(spark, d), "user_id"), [], "append").agg(F.count_distinct("user_id").alias("keys"))
+
+@query("""
+WITH e AS (SELECT user_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+s AS (SELECT user_id, us, sum(CASE WHEN before IS NULL OR us - before > 600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us RANGE UNBOUNDED PRECEDING) AS span FROM e)
+SELECT user_id, min(us) AS leased_us, max(us) + 600000000 AS expires_us, count(*) AS heartbeats FROM s GROUP BY user_id, span""")
+def stream_lease_spans(spark, d):
+    """Leases of 600 seconds that a worker's events renew."""
+    return ev.run_updates(ev.lease_spans(ev.event_stream(spark, d)), [], "complete")
 
 
 @query("SELECT user_id, min(event_id) AS first_task, max(event_id) AS last_task, count(*) AS tasks FROM events GROUP BY 1")

@@ -30,16 +30,22 @@ def event_stream(spark: SparkSession, sf_dir: str, files_a_batch: int = 64) -> D
 
 
 def run_updates(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
-    """Runs the stream and returns the last row of each key: batches are appended with their number, then merged."""
+    """Runs the stream and returns its rows: in update mode the last row of each key, in append mode all, in complete
+    mode those of the last batch. Batches are appended with their number, then merged. Without any batch, as of an empty
+    table, there are no rows."""
     spark = stream.sparkSession
     out, state = new_folder(spark, "stream-out"), new_folder(spark, "stream-state")
+    none = spark.createDataFrame([], stream.schema).withColumn("_batch", F.lit(-1))
+    none.write.parquet(out)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(out)
 
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(out)
-    if not keys:
+    rows = spark.read.schema(none.schema).parquet(out)
+    if mode == "complete":
+        rows = rows.join(F.broadcast(rows.agg(F.max("_batch").alias("_batch"))), "_batch", "left_semi")  # one row
+    if mode != "update" or not keys:
         return rows.drop("_batch")
     last = W.partitionBy(*keys).orderBy(F.col("_batch").desc())
     return rows.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n", "_batch")
@@ -79,6 +85,14 @@ def lease_state(stream: DataFrame) -> DataFrame:
     return stream.select("user_id", "event_id").groupBy("user_id").applyInPandasWithState(_lease, out, "first long, last long, n long", "update", GroupStateTimeout.NoTimeout)
 
 
+def lease_spans(stream: DataFrame, lease: str = "600 seconds", late: str | None = None) -> DataFrame:
+    """(user_id, leased_us, expires_us, heartbeats): every event is a heartbeat that holds the worker's lease for so
+    long; one that comes after it ran out takes a new one. A session window is the timer: it ends when the watermark
+    passes the lease's end, and without a watermark when the stream does."""
+    spans = awaiting(stream, late).groupBy(F.session_window("ts", lease).alias("w"), "user_id").agg(F.count("*").alias("heartbeats"))
+    return spans.select("user_id", F.unix_micros("w.start").alias("leased_us"), F.unix_micros("w.end").alias("expires_us"), "heartbeats")
+
+
 def ledger(stream: DataFrame) -> DataFrame:
     """Rows of a ledger; ``run_updates`` with its keys keeps the last of each."""
     return stream.groupBy("user_id", "event_type").agg(F.max(F.struct("event_id", "value")).alias("m")).select("user_id", "event_type", "m.event_id", "m.value")

@@ -185,3 +185,10 @@ def test_streams_of_folders_in_any_order(spark, tmp_path):
     assert ev.run_updates(ev.sliding(stream(), "12 hours", "6 hours"), ["start_us"]).agg(F.sum("n")).first()[0] == 202
     assert sorted(r["user_id"] for r in ev.run_updates(ev.first_of_key(stream(), "user_id"), [], "append").collect()) == [0, 1, 2, 3, 4, 9]
     assert ev.run_updates(ev.ledger(stream()), ["user_id", "event_type"]).count() == 6
+    assert ev.run_updates(ev.lease_spans(stream(), "100 days"), [], "complete").count() == 6
+
+
+def test_streams_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("stream_tumbling", "stream_sliding", "stream_enqueue_once", "stream_lease_state", "stream_lease_spans", "stream_ledger"):
+        assert plans.QUERIES[name](spark, str(tmp_path)).collect() == []
