@@ -52,11 +52,13 @@ def boundary_report(spans: DataFrame, units: DataFrame, breaks: DataFrame, limit
     marks = mark(spans, "ordinal", "span", none, none, F.col("tokens")).union(mark(units, "a", "start", F.col("a"), F.col("b"), none)).union(mark(units, "b", "stop", F.col("a"), F.col("b"), none)).union(mark(valid, "at", "break", none, none, none))
     is_break = (F.col("what") == "break").cast("int")
     placed = marks.withColumn("segment", F.sum(is_break).over(W.partitionBy("domain_id").orderBy("pos", is_break).rowsBetween(W.unboundedPreceding, W.currentRow)) + 1)
-    inside = placed.filter("what IN ('start', 'stop')").groupBy("domain_id", "a", "b").agg(F.min(F.when(F.col("what") == "start", F.col("segment"))).alias("segment"), F.max(F.when(F.col("what") == "stop", F.col("segment"))).alias("to"))
+    inside = placed.filter("what IN ('start', 'stop')").groupBy("domain_id", "a", "b").agg(F.min(F.when(F.col("what") == "start", F.col("segment"))).alias("segment"), F.max(F.when(F.col("what") == "stop", F.col("segment"))).alias("to")).join(size, "domain_id")
+    ends_inside = (F.col("a") >= 1) & (F.col("b") <= F.col("top"))
     weight = placed.filter("what = 'span'").groupBy("domain_id", "segment").agg(F.sum("tokens").alias("weight"))
-    held = inside.filter("segment = to").groupBy("domain_id", "segment").agg(F.count("*").alias("held"))
+    home = inside.filter(ends_inside & ((F.col("segment") == F.col("to")) | (F.col("a") > F.col("b"))))
+    held = home.select("domain_id", F.explode(F.sequence("to", "segment")).alias("segment")).groupBy("domain_id", "segment").agg(F.count("*").alias("held"))
     parts = weight.join(held, ["domain_id", "segment"], "left").groupBy("domain_id").agg(F.count("*").alias("segments"), F.count_if((F.col("weight") > limit) & (F.col("held") >= 2)).alias("heavy"))
-    crossing = inside.groupBy("domain_id").agg(F.count_if(F.col("segment") != F.col("to")).alias("h6"))
+    crossing = inside.groupBy("domain_id").agg(F.count_if((F.col("a") <= F.col("b")) & (~ends_inside | (F.col("segment") != F.col("to")))).alias("h6"))
 
     upto = spans.select("domain_id", F.col("ordinal").alias("at"), F.sum("tokens").over(W.partitionBy("domain_id").orderBy("ordinal")).alias("sum"))
     clipped = units.join(size, "domain_id").select("domain_id", (F.greatest("a", F.lit(1)) - 1).alias("below"), F.least("b", "top").alias("at"))

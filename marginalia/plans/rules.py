@@ -21,11 +21,10 @@ v AS (SELECT DISTINCT k.domain_id, pos FROM k JOIN d USING (domain_id) WHERE pos
 g AS (SELECT domain_id, start, lead(start, 1, top + 1) OVER (PARTITION BY domain_id ORDER BY start) - 1 AS stop FROM (SELECT domain_id, pos + 1 AS start FROM v UNION ALL SELECT domain_id, 1 FROM d) JOIN d USING (domain_id)),
 w AS (SELECT g.domain_id, g.start, (SELECT sum(tokens) FROM s WHERE s.domain_id = g.domain_id AND s.ordinal BETWEEN g.start AND g.stop) AS weight, (SELECT count(*) FROM u WHERE u.domain_id = g.domain_id AND u.a >= g.start AND u.b <= g.stop) AS held,
   (SELECT count(*) FROM u WHERE u.domain_id = g.domain_id AND u.a <= g.stop AND u.b >= g.start AND (u.a < g.start OR u.b > g.stop)) AS crossing FROM g),
-n AS (SELECT domain_id, count(*) AS segments, count(*) FILTER (weight > 400 AND held >= 2) AS heavy, count(DISTINCT start) AS x FROM w GROUP BY 1),
+n AS (SELECT domain_id, count(*) AS segments, count(*) FILTER (weight > 400 AND held >= 2) AS heavy, sum(crossing) AS h6 FROM w GROUP BY 1),
 l AS (SELECT *, lag(b) OVER (PARTITION BY domain_id ORDER BY a) AS before FROM u),
 c AS (SELECT l.domain_id, count(*) FILTER (a < 1 OR b < 1 OR a > b) AS h1, count(*) FILTER (a <> before + 1) AS h2, min(a) AS first, arg_max(b, a) AS last, count(*) FILTER (b - a + 1 < 2) AS small,
-  count(*) FILTER ((SELECT sum(tokens) FROM s WHERE s.domain_id = l.domain_id AND s.ordinal BETWEEN a AND b) > 400) AS oversized,
-  count(*) FILTER ((SELECT count(*) FROM v WHERE v.domain_id = l.domain_id AND pos < a) <> (SELECT count(*) FROM v WHERE v.domain_id = l.domain_id AND pos < b)) AS h6 FROM l GROUP BY 1),
+  count(*) FILTER ((SELECT sum(tokens) FROM s WHERE s.domain_id = l.domain_id AND s.ordinal BETWEEN a AND b) > 400) AS oversized FROM l GROUP BY 1),
 b AS (SELECT k.domain_id, count(*) - count(DISTINCT pos) AS twice, count(*) FILTER (NOT EXISTS (SELECT 1 FROM u WHERE u.domain_id = k.domain_id AND u.b = pos)) AS inside, count(*) FILTER (pos >= top) AS late FROM k JOIN d USING (domain_id) GROUP BY 1),
 r AS (SELECT domain_id, CASE WHEN first IS NULL THEN NULL ELSE segments END AS segments,
   CASE WHEN first IS NULL THEN 'H0' ELSE concat_ws(',', CASE WHEN h1 > 0 THEN 'H1' END, CASE WHEN h2 > 0 THEN 'H2' END, CASE WHEN first <> 1 OR last <> top THEN 'H3' END, CASE WHEN twice > 0 OR inside > 0 THEN 'H4' END, CASE WHEN late > 0 THEN 'H5' END, CASE WHEN h6 > 0 THEN 'H6' END) END AS hard,
@@ -114,11 +113,11 @@ def terminal_source_ids(spark, d):
 
 
 @query("""
-SELECT event_id, CASE WHEN event_id % 7 = 3 THEN NULL ELSE greatest((epoch_us(date_trunc('second', ts) + to_seconds(value::BIGINT - 10)) - epoch_us(date_trunc('second', ts))) // 1000, 0) END AS latency_ms FROM events""")
+SELECT event_id, CASE WHEN event_id % 7 = 3 THEN NULL ELSE greatest((epoch_us(date_trunc('second', ts) + to_seconds(floor(value)::BIGINT - 10)) - epoch_us(date_trunc('second', ts))) // 1000, 0) END AS latency_ms FROM events""")
 def node_latency(spark, d):
     """Times of start and end as text, to the second; some are none."""
     at = F.date_trunc("second", F.col("ts").cast("timestamp"))
-    end = F.timestamp_seconds(F.unix_seconds(at) + F.round("value").cast("long") - 10)
+    end = F.timestamp_seconds(F.unix_seconds(at) + F.floor("value") - 10)
     text = lambda c, form: F.date_format(c, form)
     start_text = F.when(F.col("event_id") % 2 == 0, text(at, "yyyy-MM-dd HH:mm:ss")).otherwise(text(at, "yyyy-MM-dd'T'HH:mm:ss.SSS"))
     end_text = F.when(F.col("event_id") % 7 == 3, "soon").otherwise(text(end, "yyyy-MM-dd HH:mm:ss"))

@@ -10,7 +10,7 @@ from marginalia.functions.json_text import first_json
 from marginalia.operators import chunking as ch
 from marginalia import plans
 from marginalia.plans import application
-from marginalia.operators import dedup, folds, graph, retrieval
+from marginalia.operators import dedup, folds, graph, retrieval, rules
 from marginalia.operators import relational as op
 from marginalia.operators import windows as wn
 from marginalia.sources import files
@@ -192,3 +192,28 @@ def test_streams_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
     for name in ("stream_tumbling", "stream_sliding", "stream_enqueue_once", "stream_lease_state", "stream_lease_spans", "stream_ledger"):
         assert plans.QUERIES[name](spark, str(tmp_path)).collect() == []
+
+
+def test_boundary_rules_one_by_one(spark):
+    spans = [(i, o, 100) for i in range(9) for o in range(1, 9)] + [(9, 1, 5)]
+    plans_ = {  # units, breaks, what they break
+        0: ([(1, 4), (5, 8)], [4], ("", "")), 1: ([(1, 4), (6, 8)], [4], ("H2", "")), 2: ([(2, 4), (5, 8)], [4], ("H3", "")), 3: ([(1, 4), (5, 8)], [3], ("H4,H6", "")),
+        4: ([(1, 4), (5, 8)], [4, 8], ("H5", "")), 5: ([(1, 2), (3, 4), (5, 8)], [4], ("", "L1")), 6: ([(1, 4), (5, 8)], [], ("", "L3,L4")), 7: ([(1, 8)], [], ("", "L3")), 8: ([(1, 4), (8, 5)], [4, 4], ("H1,H2,H3,H4", "L1")),
+    }
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    units = frame([(i, a, b) for i, (us, _, _) in plans_.items() for a, b in us], "domain_id long, a long, b long")
+    breaks = frame([(i, at) for i, (_, bs, _) in plans_.items() for at in bs], "domain_id long, at long")
+    got = {r["domain_id"]: r for r in rules.boundary_report(frame(spans, "domain_id long, ordinal long, tokens long"), units, breaks, 500, least=3, ratio=0.3).collect()}
+    assert {i: (got[i]["hard"], got[i]["soft"]) for i in plans_} == {i: want for i, (_, _, want) in plans_.items()}
+    assert got[7]["oversized"] == 1 and got[0]["oversized"] == 0 and got[9]["hard"] == "H0"
+    assert {i: got[i]["status"] for i in (0, 1, 5)} == {0: "succeeded", 1: "rejected", 5: "low_quality"}
+
+
+def test_gates_of_domains_without_numbers(spark):
+    names = ("silent", "required_failed", "required_unsupported", "required_bare", "unassigned", "canonical", "required_unprocessed", "refs_invalid", "segments_failed", "segments", "segments_merged", "structures_dropped")
+    one = lambda **set_: spark.range(1).select(*[F.lit(set_.get(n, 0)).alias(n) for n in names], F.lit(set_.get("accounting", 1.0)).alias("accounting"), F.lit(set_.get("semantic", 1.0)).alias("semantic"))
+    gate = lambda **set_: tuple(rules.whole_gate(one(**set_)).select("gate", "reasons").first())
+    assert gate(canonical=3) == ("passed", "") and gate() == ("degraded", "canonical_non_noise_spans")
+    assert gate(canonical=3, semantic=0.5, segments=2, segments_merged=1) == ("degraded", "semantic_processing_rate,merge")
+    assert gate(canonical=3, semantic=0.5, unassigned=1, accounting=0.9) == ("failed", "domain_accounting_rate,unassigned_count")
+    assert gate(accounting=None, semantic=None, canonical=None)[0] == "failed"
