@@ -1,87 +1,101 @@
 """Order-dependent packing under budgets, as folds over a domain's ordered spans.
 
-A fold's result depends on the order, so each starts from an array sorted by ordinal. The arrays hold numbers only; texts
-stay where they are and are joined back by (domain, ordinal).
+A fold's result depends on the order, so Spark sorts each domain's rows by ordinal and streams them, in Arrow batches,
+past a state of a few numbers: a domain of any length takes a bounded memory. Only numbers go there; texts stay where
+they are and are joined back by (domain, ordinal).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Callable, Iterator
+from itertools import islice
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
-def ordered_arrays(spans: DataFrame, *columns: str) -> DataFrame:
-    """One row a domain with ``spans``: structs sorted by ordinal."""
-    return spans.groupBy("domain_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", *columns))).alias("spans"))
+BATCH = 10_000
 
 
-def _fold(arrays: DataFrame, state: dict[str, Column], out: str, step) -> DataFrame:
-    """Runs ``step(state, span) -> (new state, emitted struct)`` along each array and explodes what it emits."""
-    start = F.struct(*[c.alias(k) for k, c in state.items()], F.expr(f"cast(array() as array<struct<{out}>>)").alias("out"))
+def streamed(spans: DataFrame, columns: list[str], out: str, fold: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
+    """(domain_id, *out) of ``fold`` over each domain's (ordinal, *columns), in order of the ordinal."""
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("ordinal", *columns))))
+        folded = fold(rows)
+        while held := list(islice(folded, BATCH)):
+            values = [pa.array(c, type=t) for c, t in zip(zip(*held), kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(held), key[0].type), *values], names=["domain_id", *names])
 
-    def merge(acc, span):
-        after, emitted = step(acc, span)
-        return F.struct(*[after[k].alias(k) for k in state], F.concat(acc["out"], F.array(emitted)).alias("out"))
-
-    return arrays.select("domain_id", F.explode(F.aggregate("spans", start, merge)["out"]).alias("o")).select("domain_id", "o.*")
+    names, kinds = zip(*[(n, pa.string() if k == "string" else pa.int64()) for n, k in (field.split() for field in out.split(", "))])
+    kind = spans.schema["domain_id"].dataType.simpleString()
+    dealt = spans.select("domain_id", "ordinal", *columns).repartition("domain_id").sortWithinPartitions("domain_id", "ordinal")
+    return dealt.groupBy("domain_id").applyInArrow(run, f"domain_id {kind}, {out}")
 
 
 def budget_segments(spans: DataFrame, budget: int) -> DataFrame:
     """(domain_id, ordinal, tokens, segment): spans fill segments in order; one over the budget by itself stays without a
-    segment and changes nothing."""
-    zero = F.lit(0).cast("long")
-
-    def step(acc, span):
-        over = span["tokens"] > budget
-        cut = ~over & ((acc["seg"] == 0) | (span["tokens"] > acc["left"]))
-        seg = F.when(cut, acc["seg"] + 1).otherwise(acc["seg"])
-        left = F.when(over, acc["left"]).when(cut, budget - span["tokens"]).otherwise(acc["left"] - span["tokens"])
-        return {"seg": seg, "left": left}, F.struct(span["ordinal"].alias("ordinal"), span["tokens"].alias("tokens"), F.when(~over, seg).alias("segment"))
-
-    return _fold(ordered_arrays(spans, "tokens"), {"seg": zero, "left": F.lit(budget).cast("long")}, "ordinal: bigint, tokens: bigint, segment: bigint", step)
+    segment and changes nothing. Unknown tokens count as none."""
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        segment, left = 0, budget
+        for ordinal, tokens in rows:
+            weight = tokens or 0
+            if weight > budget:
+                yield ordinal, tokens, None
+                continue
+            if segment == 0 or weight > left:
+                segment, left = segment + 1, budget
+            left -= weight
+            yield ordinal, tokens, segment
+
+    return streamed(spans, ["tokens"], "ordinal long, tokens long, segment long", fold)
 
 
 def unit_batches(spans: DataFrame, cap: int, most: int = 8) -> DataFrame:
     """(domain_id, ordinal, batch): a batch ends when it has ``most`` units or the next would pass the cap."""
-    zero = F.lit(0).cast("long")
-
-    def step(acc, span):
-        cut = (acc["batch"] == 0) | (acc["size"] >= most) | (acc["used"] + span["tokens"] > cap)
-        batch = F.when(cut, acc["batch"] + 1).otherwise(acc["batch"])
-        after = {"batch": batch, "size": F.when(cut, 1).otherwise(acc["size"] + 1).cast("long"), "used": F.when(cut, span["tokens"]).otherwise(acc["used"] + span["tokens"])}
-        return after, F.struct(span["ordinal"].alias("ordinal"), batch.alias("batch"))
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        batch, size, used = 0, 0, 0
+        for ordinal, tokens in rows:
+            if batch == 0 or size >= most or used + (tokens or 0) > cap:
+                batch, size, used = batch + 1, 0, 0
+            size, used = size + 1, used + (tokens or 0)
+            yield ordinal, batch
 
-    return _fold(ordered_arrays(spans, "tokens"), {"batch": zero, "size": zero, "used": zero}, "ordinal: bigint, batch: bigint", step)
+    return streamed(spans, ["tokens"], "ordinal long, batch long", fold)
 
 
 def excerpts(spans: DataFrame, most: int = 40, budget: int = 4000, sent: int = 400) -> DataFrame:
     """(domain_id, ordinal, status): spans are taken while there are fewer than ``most`` and their whole length fits the
     budget; one that doesn't fit is skipped, and later ones may still be taken."""
-    zero = F.lit(0).cast("long")
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        taken, used = 0, 0
+        for ordinal, chars in rows:
+            length = chars or 0
+            if taken >= most:
+                yield ordinal, "max_spans_exceeded"
+            elif used + length > budget:
+                yield ordinal, "char_budget_exceeded"
+            else:
+                taken, used = taken + 1, used + length
+                yield ordinal, "truncated" if length > sent else "sent"
 
-    def step(acc, span):
-        full, over = acc["taken"] >= most, acc["used"] + span["chars"] > budget
-        status = F.when(full, "max_spans_exceeded").when(over, "char_budget_exceeded").when(span["chars"] > sent, "truncated").otherwise("sent")
-        take = ~full & ~over
-        after = {"taken": acc["taken"] + take.cast("long"), "used": acc["used"] + F.when(take, span["chars"]).otherwise(0)}
-        return after, F.struct(span["ordinal"].alias("ordinal"), status.alias("status"))
-
-    return _fold(ordered_arrays(spans, "chars"), {"taken": zero, "used": zero}, "ordinal: bigint, status: string", step)
+    return streamed(spans, ["chars"], "ordinal long, status string", fold)
 
 
 def planned_segments(spans: DataFrame, capacity: int, least_fill: float = 0.25) -> DataFrame:
     """(domain_id, ordinal, segment): a cut comes before a span that would pass the capacity, that is a preferred break,
     or that is a natural boundary once a quarter is full. A span over the capacity is an error: nothing is cut short."""
-    zero = F.lit(0).cast("long")
-
-    def step(acc, span):
-        fits = F.assert_true(span["tokens"] <= capacity, F.lit("a span is over the segment capacity"))
-        wish = span["preferred"] | (span["boundary"] & (acc["used"] >= least_fill * capacity))
-        cut = (acc["seg"] == 0) | ((acc["used"] > 0) & ((acc["used"] + span["tokens"] > capacity) | wish))
-        seg = F.when(fits.isNull() & cut, acc["seg"] + 1).otherwise(acc["seg"])
-        return {"seg": seg, "used": F.when(cut, span["tokens"]).otherwise(acc["used"] + span["tokens"])}, F.struct(span["ordinal"].alias("ordinal"), seg.alias("segment"))
-
-    return _fold(ordered_arrays(spans, "tokens", "preferred", "boundary"), {"seg": zero, "used": zero}, "ordinal: bigint, segment: bigint", step)
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        segment, used = 0, 0
+        for ordinal, tokens, preferred, boundary in rows:
+            weight = tokens or 0
+            if weight > capacity:
+                raise ValueError("a span is over the segment capacity")
+            wish = preferred or (boundary and used >= least_fill * capacity)
+            if segment == 0 or (used > 0 and (used + weight > capacity or wish)):
+                segment, used = segment + 1, 0
+            used += weight
+            yield ordinal, segment
+
+    return streamed(spans, ["tokens", "preferred", "boundary"], "ordinal long, segment long", fold)
 
 
 def refit_segments(planned: DataFrame, budget: int) -> DataFrame:

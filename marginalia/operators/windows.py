@@ -7,14 +7,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def range_of(column: Column, bounds: list, first: int = 0) -> Column:
+    """How many of the sorted bounds are below: a comparison for each halving of them."""
+    if not bounds:
+        return F.lit(first)
+    middle = len(bounds) // 2
+    return F.when(column > F.lit(bounds[middle]), range_of(column, bounds[middle + 1 :], first + middle + 1)).otherwise(range_of(column, bounds[:middle], first))
+
+
 def dense_ordinal(df: DataFrame, order_col: str, name: str = "ordinal", partitions: int | None = None) -> DataFrame:
     """Numbers from 1 in the order of a unique whole-number column over the whole table, without one task that sees all
     rows: ranges of the column are numbered each by itself, and the counts of the ranges before are added. Only one
     count a range is collected in a broadcast join, whatever the input."""
     width = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = sorted(set(df.agg(F.percentile_approx(order_col, [i / width for i in range(1, width)], 100 * width)).first()[0] or [])) if width > 1 else []
-    place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(order_col))) if bounds else F.lit(0)
-    dealt = df.withColumn("_range", place)
+    dealt = df.withColumn("_range", range_of(F.col(order_col), bounds))
     counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     before = counts.alias("c").join(counts.select(F.col("_range").alias("_earlier"), F.col("_n").alias("_m")), F.col("_earlier") < F.col("_range"), "left").groupBy("_range").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_before"))
     own = F.row_number().over(W.partitionBy("_range").orderBy(order_col))
