@@ -16,19 +16,20 @@ from pyspark.sql import DataFrame
 BATCH = 10_000
 
 
-def streamed(spans: DataFrame, columns: list[str], out: str, fold: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
-    """(domain_id, *out) of ``fold`` over each domain's (ordinal, *columns), in order of the ordinal."""
+KINDS = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+
+
+def streamed(rows: DataFrame, columns: list[str], out: str, fold: Callable[[Iterator[tuple]], Iterator[tuple]], key_col: str = "domain_id", order_col: str = "ordinal") -> DataFrame:
+    """(key, *out) of ``fold`` over each key's (order, *columns), in order."""
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("ordinal", *columns))))
-        folded = fold(rows)
+        folded = fold(row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in (order_col, *columns))))
         while held := list(islice(folded, BATCH)):
             values = [pa.array(c, type=t) for c, t in zip(zip(*held), kinds)]
-            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(held), key[0].type), *values], names=["domain_id", *names])
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(held), key[0].type), *values], names=[key_col, *names])
 
-    names, kinds = zip(*[(n, pa.string() if k == "string" else pa.int64()) for n, k in (field.split() for field in out.split(", "))])
-    kind = spans.schema["domain_id"].dataType.simpleString()
-    dealt = spans.select("domain_id", "ordinal", *columns).repartition("domain_id").sortWithinPartitions("domain_id", "ordinal")
-    return dealt.groupBy("domain_id").applyInArrow(run, f"domain_id {kind}, {out}")
+    names, kinds = zip(*[(n, KINDS[k]) for n, k in (field.split() for field in out.split(", "))])
+    dealt = rows.select(key_col, order_col, *columns).repartition(key_col).sortWithinPartitions(key_col, order_col)
+    return dealt.groupBy(key_col).applyInArrow(run, f"{key_col} {rows.schema[key_col].dataType.simpleString()}, {out}")
 
 
 def budget_segments(spans: DataFrame, budget: int) -> DataFrame:
@@ -131,3 +132,20 @@ def refit_segments(planned: DataFrame, budget: int) -> DataFrame:
 
     kind = planned.schema["domain_id"].dataType.simpleString()
     return planned.groupBy("domain_id").applyInPandas(run, f"domain_id {kind}, segment long, ordinal long, overlap boolean")
+
+
+def attempt_chain(attempts: DataFrame) -> DataFrame:
+    """(user_id, event_id, before, after, interval_before, interval_after) of ``attempts`` (user_id, event_id, right,
+    rating): each attempt starts from the mastery and the days to the next review that the last one left (0.5 and 1.0
+    at first). Two wrong ones in a row start over."""
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        mastery, days, wrong = 0.5, 1.0, 0
+        for event_id, right, rating in rows:
+            wrong = 0 if right else wrong + 1
+            after = round(max(0.0, min(1.0, mastery + (0.15 if right else -0.25))), 4)
+            grown = 1.0 if rating <= 1 else 3.0 if rating == 2 else days * {3: 1.8, 4: 2.5}.get(rating, 3.2)
+            later = 1.0 if wrong >= 2 else max(1.0, min(180.0, grown))
+            yield event_id, mastery, after, days, later
+            mastery, days = after, later
+
+    return streamed(attempts, ["right", "rating"], "event_id long, before double, after double, interval_before double, interval_after double", fold, "user_id", "event_id")

@@ -110,6 +110,16 @@ def noisy_json_extract(spark, d):
     return load(spark, d, "events").select("event_id", extracted_json(raw).alias("json"))
 
 
+@query("SELECT event_id, CASE WHEN event_id % 5 < 4 THEN replace(props, ' ', '') END AS json FROM events")
+def json_in_chatter(spark, d):
+    """The table's own objects out of chatter: after another bracket, fenced, after thinking, with a loose comma, cut
+    off after a whole value; and none."""
+    by, props = F.col("event_id") % 5, F.col("props")
+    raw = F.when(by == 0, F.concat(F.lit("note ["), "event_type", F.lit("] then "), props, F.lit(" done"))).when(by == 1, F.concat(F.lit("Here:\n```json\n"), props, F.lit("\n```\nand that")))
+    raw = raw.when(by == 2, F.concat(F.lit('<thinking>{"z": 1}</thinking>'), F.replace(props, F.lit("}"), F.lit(",}")))).when(by == 3, F.concat(props, F.lit(' and {"more": ['))).otherwise(F.concat(F.lit("none in ["), "event_type"))
+    return load(spark, d, "events").select("event_id", extracted_json(raw).alias("json"))
+
+
 @query("""
 SELECT c_custkey AS note_id, c_name || '-N' || lpad(c_custkey::VARCHAR, 6, '0') || '.md' AS file_name, sha256('---' || chr(10) || 'title: "' || c_name || '"' || chr(10) || 'id: ' || c_custkey || chr(10) || '---' || chr(10) || 'In ' || c_mktsegment || chr(10) || chr(10) || 'sha256:' || sha256('In ' || c_mktsegment) || chr(10)) AS digest FROM customer""")
 def vault_note_files(spark, d):

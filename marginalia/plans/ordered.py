@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import numeric as nm
 from marginalia.functions.text import sequence_id
+from marginalia.operators import folds
 from marginalia.operators import windows as wn
 from marginalia.operators.relational import top_per_key
 from marginalia.plans.registry import query
@@ -140,18 +141,22 @@ m AS (SELECT user_id, n, event_id, 0.5::DOUBLE AS before, round(greatest(0.0, le
 UNION ALL SELECT o.user_id, o.n, o.event_id, m.after, round(greatest(0.0, least(1.0, m.after + CASE WHEN o.ok THEN 0.15 ELSE -0.25 END)), 4)::DOUBLE FROM m JOIN o ON o.user_id = m.user_id AND o.n = m.n + 1)
 SELECT user_id, event_id, before, after FROM m""")
 def review_attempt_chain(spark, d):
-    """Mastery before and after each attempt: an ordered fold, which grouped batches carry from attempt to attempt."""
-    import pandas as pd
-
-    def fold(batch: pd.DataFrame) -> pd.DataFrame:
-        batch, now, rows = batch.sort_values("event_id"), 0.5, []
-        for right in batch["value"] > 20:
-            after = round(max(0.0, min(1.0, now + (0.15 if right else -0.25))), 4)
-            rows.append((now, after))
-            now = after
-        return pd.DataFrame({"user_id": batch["user_id"], "event_id": batch["event_id"], "before": [r[0] for r in rows], "after": [r[1] for r in rows]})
-
-    return load(spark, d, "events").select("user_id", "event_id", "value").groupBy("user_id").applyInPandas(fold, "user_id long, event_id long, before double, after double")
+    """Mastery before and after each attempt."""
+    return _attempts(spark, d).select("user_id", "event_id", "before", "after")
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT user_id, event_id, value > 20 AS ok, event_id % 6 AS rating, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+m AS (SELECT user_id, n, event_id, CASE WHEN ok THEN 0 ELSE 1 END AS wrong, 1.0::DOUBLE AS days, CASE WHEN rating <= 1 THEN 1 WHEN rating = 2 THEN 3 WHEN rating = 3 THEN 1.8 WHEN rating = 4 THEN 2.5 ELSE 3.2 END::DOUBLE AS later FROM o WHERE n = 1
+UNION ALL SELECT o.user_id, o.n, o.event_id, CASE WHEN o.ok THEN 0 ELSE m.wrong + 1 END, m.later, CASE WHEN NOT o.ok AND m.wrong >= 1 THEN 1 ELSE greatest(1, least(180, CASE WHEN o.rating <= 1 THEN 1 WHEN o.rating = 2 THEN 3 WHEN o.rating = 3 THEN m.later * 1.8 WHEN o.rating = 4 THEN m.later * 2.5 ELSE m.later * 3.2 END)) END::DOUBLE FROM m JOIN o ON o.user_id = m.user_id AND o.n = m.n + 1)
+SELECT user_id, event_id, round(days, 6) AS interval_before, round(later, 6) AS interval_after FROM m""")
+def attempt_intervals(spark, d):
+    """Days to the next review before and after each attempt."""
+    return _attempts(spark, d).select("user_id", "event_id", F.round("interval_before", 6).alias("interval_before"), F.round("interval_after", 6).alias("interval_after"))
+
+
+def _attempts(spark, d):
+    return folds.attempt_chain(load(spark, d, "events").select("user_id", "event_id", (F.col("value") > 20).alias("right"), (F.col("event_id") % 6).alias("rating")))
 
 
 @query("""
