@@ -10,12 +10,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes for each core up to which a table is dealt out again before its texts are worked through.
+SMALL = 8 << 20
+
+
 def load_texts(spark: SparkSession, sf_dir: str, table: str = "documents", key: str = "doc_id") -> DataFrame:
-    """A table whose texts are costly to work through. One that was written as fewer pieces than there are cores is
-    dealt out by its key first; a large one is read as it is, without a shuffle."""
-    df = load(spark, sf_dir, table)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores // 2 else df
+    """A table whose texts are costly to work through. A small one may be a single row group, which one task reads
+    however many cores there are, so it is dealt out by its key first; others are read as they are, without a shuffle."""
+    df, cores = load(spark, sf_dir, table), spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < SMALL * cores else df
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
