@@ -2,44 +2,23 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.streaming.tables import checkpointed as checkpoint
+from marginalia.streaming.tables import shared_folder as shared_dir
+from marginalia.streaming.tables import written
+from marginalia.tables import load, load_texts
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not configured:
-        configured = spark.sparkContext._jsc.sc().getCheckpointDir()
-        configured = configured.get() if configured.isDefined() else None
-    if not configured:
-        configured = os.path.join(tempfile.gettempdir(), "marginalia-checkpoints")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared folder, so a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["arrow_schema", "as_array", "checkpoint", "keyed_text", "load", "load_texts", "map_batches", "shared_dir", "shuffle_width", "stored"]
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: columnar, so later steps read few columns."""
-    path = f"{shared_dir(df.sparkSession)}/marginalia-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, "marginalia")
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import bpe_trie, chat_quotes, fingerprint, jaccard_join, packing, quality, secret_scan, token_counts, topk, warc
-from marginalia.llm.common import load
+from marginalia.llm.common import load, load_texts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -15,7 +15,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_trie.digest_documents(load(spark, sf_dir, "documents"), WORD_BPE)
+    return bpe_trie.digest_documents(load_texts(spark, sf_dir), WORD_BPE)
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(load(spark, sf_dir, "documents"), BYTE_BPE)
+    return packing.pack_documents(load_texts(spark, sf_dir), BYTE_BPE)
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.scored_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return quality.scored_documents(load_texts(spark, sf_dir), load(spark, sf_dir, "labels"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,12 +39,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan_documents(load(spark, sf_dir, "documents"))
+    found = secret_scan.scan_documents(load_texts(spark, sf_dir))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_checked")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similarity_components(load(spark, sf_dir, "documents"), width=3, percent=90)
+    return jaccard_join.similarity_components(load_texts(spark, sf_dir), width=3, percent=90)
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op9_quoted_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(load(spark, sf_dir, "documents"), PIECES)
+    return token_counts.count_tokens(load_texts(spark, sf_dir), PIECES)
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe_encoding, op2_exact_topk, op3_best_fit_packing, op4_document_fingerprints, op5_quality_classifier, op6_warc, op7_secret_scans, op8_ngram_jaccard_join, op9_chat_formatting, op9_quoted_parts, op10_token_counts)}
