@@ -31,6 +31,18 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text: Column, query_c
     return met.groupBy(query_col, id_col).agg(F.sum(F.col("_times") * idf * weight).alias("score"))
 
 
+def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """(term, id, tf) of all terms. Documents are counted in their own tasks first."""
+    return docs.select(id_col, F.explode(char_tokens(text)).alias("term")).groupBy("term", id_col).agg(F.count("*").alias("tf"))
+
+
+def updated_postings(index: DataFrame, gone: DataFrame, changed: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """The index without the postings of ``gone`` documents, and with those of ``changed`` ones as they read now: only
+    their texts are looked at. gone: ids; changed: ids and texts, new documents too."""
+    out = gone.select(id_col).union(changed.select(id_col)).distinct()
+    return index.join(out, id_col, "left_anti").select("term", id_col, "tf").unionByName(postings(changed, id_col, text))
+
+
 def best(scored: DataFrame, query_col: str, id_col: str, k: int) -> DataFrame:
     """The k best of each query, ties to the smaller id; scores count to nine places, so that sums in another order
     rank alike."""

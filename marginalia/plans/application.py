@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from marginalia.functions import numeric as nm
 from marginalia.functions import text as tx
 from marginalia.operators import relational as op
+from marginalia.operators import retrieval
 from marginalia.plans.registry import query
-from marginalia.tables import events, load
+from marginalia.tables import events, load, load_texts
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS answer, o_orderstatus = 'F' AS revealed FROM orders")
@@ -236,7 +237,22 @@ WITH t AS (SELECT doc_id, unnest(list_concat(list_transform(regexp_extract_all(t
 SELECT term, doc_id, count(*) AS tf FROM t GROUP BY 1, 2""")
 def postings_whole(spark, d):
     """Postings of every term, the rarest and ideographs too: in which documents it is, and how often."""
-    return load(spark, d, "documents").select("doc_id", F.explode(tx.char_tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return retrieval.postings(load_texts(spark, d), "doc_id", F.col("text"))
+
+
+@query("""
+WITH c AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN upper(lang) || ' ' || text ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 10 = 3),
+t AS (SELECT doc_id, unnest(list_concat(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)), regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}]'))) AS term FROM c), p AS (SELECT term, doc_id, count(*) AS tf FROM t GROUP BY 1, 2)
+SELECT doc_id, count(*) AS terms, sum(tf)::BIGINT AS places, sha256(string_agg(term || ':' || tf, ',' ORDER BY term)) AS digest FROM p GROUP BY 1""")
+def postings_updated(spark, d):
+    """An index from which some documents go, and to which others come anew or changed, by document: terms, places and a
+    digest of all postings, as a rebuild would have them."""
+    docs, i = load_texts(spark, d), F.col("doc_id")
+    index = retrieval.postings(docs.filter(i % 10 != 5), "doc_id", F.col("text"))
+    changed = docs.filter((i % 10 == 3) | ((i % 10 == 5) & (i % 7 != 0))).select("doc_id", F.when(i % 10 == 3, F.concat_ws(" ", F.upper("lang"), "text")).otherwise(F.col("text")).alias("text"))
+    now = retrieval.updated_postings(index, docs.filter((i % 7 == 0) & (i % 10 != 3)).select("doc_id"), changed, "doc_id", F.col("text"))
+    each = F.transform(F.sort_array(F.collect_list(F.struct("term", "tf"))), lambda x: F.concat_ws(":", x["term"], x["tf"].cast("string")))  # of one document
+    return now.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("places"), F.sha2(F.array_join(each, ","), 256).alias("digest"))
 
 
 @query("""

@@ -119,9 +119,9 @@ scored AS (SELECT a.item_id, p.doc_id, sum(a.times * ln(1 + (s.n - df.df + 0.5)
 """
 
 
-def _bm25(spark, d):
+def _bm25(spark, d, of="true"):
     terms = F.slice(tx.char_tokens(F.col("text")), 1, 5)
-    return retrieval.bm25(load_texts(spark, d), load(spark, d, "benchmark").select("item_id", terms.alias("terms")), "doc_id", F.col("text"), "item_id", "terms")
+    return retrieval.bm25(load_texts(spark, d), load(spark, d, "benchmark").filter(of).select("item_id", terms.alias("terms")), "doc_id", F.col("text"), "item_id", "terms")
 
 
 @query(BM25 + "SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id)::INT AS rank, doc_id, round(score, 6) AS score FROM scored QUALIFY rank <= 10")
@@ -153,7 +153,7 @@ c AS (SELECT * FROM m ORDER BY round(score, 9) DESC, doc_id LIMIT 40)
 SELECT doc_id, round(score, 6) AS score FROM c ORDER BY n_chars DESC, round(score, 9) DESC, doc_id LIMIT 10""")
 def hybrid_rank(spark, d):
     """Fused scores of one query: 40 candidates, of which the ten longest stay."""
-    one = _bm25(spark, d).filter("item_id = 1").select("doc_id", F.col("score").alias("bm25"))
+    one = _bm25(spark, d, "item_id = 1").select("doc_id", F.col("score").alias("bm25"))
     most = one.agg(F.max("bm25").alias("most"))
     docs = one.join(load(spark, d, "documents"), "doc_id").crossJoin(F.broadcast(most))  # one row
     level = F.when(F.col("lang") == "en", 1.0).when(F.col("lang") == "fr", 0.6).otherwise(0.2)
