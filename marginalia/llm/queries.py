@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe_trie, chat_quotes, fingerprint, jaccard_join, packing, quality, secret_scan, token_counts, topk, warc
+from marginalia.llm import bpe_trie, byte_bpe, chat_quotes, fingerprint, jaccard_join, packing, quality, secret_scan, token_counts, topk, warc
 from marginalia.llm.common import load, load_texts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -63,7 +64,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(load_texts(spark, sf_dir), PIECES)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encoding, op2_exact_topk, op3_best_fit_packing, op4_document_fingerprints, op5_quality_classifier, op6_warc, op7_secret_scans, op8_ngram_jaccard_join, op9_chat_formatting, op9_quoted_parts, op10_token_counts)}
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest_documents(load_texts(spark, sf_dir), MULTI_BPE)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_encoding, op2_exact_topk, op3_best_fit_packing, op4_document_fingerprints, op5_quality_classifier, op6_warc, op7_secret_scans, op8_ngram_jaccard_join, op9_chat_formatting, op9_quoted_parts, op10_token_counts, op13_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_topk": """
