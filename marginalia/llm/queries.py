@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe_trie, byte_bpe, chat_quotes, fingerprint, jaccard_join, packing, quality, secret_scan, token_counts, topk, warc
+from marginalia.llm import ball_codes, bpe_trie, byte_bpe, chat_quotes, fingerprint, jaccard_join, packing, quality, secret_scan, token_counts, topk, warc
 from marginalia.llm.common import load, load_texts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -64,11 +64,47 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(load_texts(spark, sf_dir), PIECES)
 
 
+def op12_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_codes.vector_codes(load(spark, sf_dir, "embeddings")).drop("label")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_documents(load_texts(spark, sf_dir), MULTI_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encoding, op2_exact_topk, op3_best_fit_packing, op4_document_fingerprints, op5_quality_classifier, op6_warc, op7_secret_scans, op8_ngram_jaccard_join, op9_chat_formatting, op9_quoted_parts, op10_token_counts, op13_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_bpe_encoding, op2_exact_topk, op3_best_fit_packing, op4_document_fingerprints, op5_quality_classifier, op6_warc, op7_secret_scans, op8_ngram_jaccard_join, op9_chat_formatting, op9_quoted_parts, op10_token_counts, op12_ball_codes, op13_byte_bpe)}
+
+
+def ball_codes_sql(rounds: int = 4) -> str:
+    """The same codebooks round by round, each part compared with all entries. Whole numbers this small are exact as
+    doubles."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} AS MATERIALIZED (
+  SELECT p, row_id, x, best.e AS e, best.gap AS gap FROM (
+    SELECT v.p, v.row_id, v.x, min({{'gap': list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, b.c) + list_inner_product(b.c, b.c), 'e': b.e}}) AS best
+    FROM parts v JOIN book{r} b ON b.p = v.p GROUP BY ALL))""")
+        if r < rounds:
+            steps.append(f"""sums{r} AS (
+  SELECT p, e, i, floor(sum(y) / count(*)) AS c FROM (SELECT p, e, unnest(x) AS y, unnest(range(len(x))) AS i FROM near{r}) GROUP BY ALL
+), book{r + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(s.c, b.c) AS c FROM book{r} b LEFT JOIN (SELECT p, e, list(c ORDER BY i) AS c FROM sums{r} GROUP BY ALL) s ON s.p = b.p AND s.e = b.e)""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS row_id, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT row_id, vec_id, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS x FROM (SELECT *, unnest(range(4)) AS p FROM kept)
+), book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts QUALIFY e < 256
+), {", ".join(steps)}, coded AS (
+  SELECT row_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(gap)::BIGINT AS error FROM near{rounds} GROUP BY ALL
+), digest AS (
+  SELECT sha256(string_agg(y, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(c)::BIGINT::VARCHAR AS y, unnest(range(len(c))) AS i FROM book{rounds})
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (row_id) CROSS JOIN digest
+"""
+
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_topk": """
@@ -158,4 +194,5 @@ WITH RECURSIVE own AS (
 SELECT p.conv_id, p.turn, p.role, p.parent, q.depth, q.reply_path, p.text, '### ' || p.role || chr(10) || p.text AS rendered
 FROM parents p JOIN paths q ON q.conv_id = p.conv_id AND q.turn = p.turn
 """,
+    "op12_ball_codes": ball_codes_sql(),
 }
