@@ -154,7 +154,7 @@ def build(leaves: DataFrame, group: str, order: list[str]) -> Manifest:
 
 def rounds_of(n: Column) -> Column:
     """In how many rounds a tree of n leaves was built."""
-    return F.greatest(F.lit(1), F.ceil(F.log(F.lit(float(WIDTH)), n.cast("double")) - 1e-9)).cast("int")
+    return sum([F.when(n > WIDTH**r, 1).otherwise(0) for r in range(1, 10)], F.lit(1))
 
 
 def descended(ways: DataFrame, blocks: DataFrame, asked: DataFrame, carried: list[str]) -> DataFrame:
@@ -201,14 +201,12 @@ def ways_down(blocks: list[DataFrame], starts: DataFrame, asked: DataFrame, carr
     """The ways from ``starts`` (tree, n, digest, path, ``carried``) to the blocks of round ``last`` that hold an asked
     leaf, or to the leaves themselves (-1); ``asked``: tree and rank."""
     begun = starts.withColumn("round", rounds_of(F.col("n")) - 1).withColumn("place", F.lit(0).cast("long"))
-    needed = [asked.select("tree", F.col("rank").alias("place")).distinct()]  # by round: the children asked of it
-    for _ in blocks:
-        needed.append(needed[-1].select("tree", F.floor(F.col("place") / WIDTH).alias("place")).distinct())
     columns = ["tree", "place", "digest", "path", *carried]
     ways = begun.filter(F.col("round") == len(blocks) - 1).select(*columns)
     for r in range(len(blocks) - 1, last, -1):
-        low = needed[r].groupBy("tree", F.floor(F.col("place") / WIDTH).alias("up")).agg(F.collect_list((F.col("place") % WIDTH).cast("int")).alias("low"))  # WIDTH at most
-        below = stored(descended(ways, blocks[r], low.withColumnRenamed("up", "place"), carried))
+        needed = asked.select("tree", F.floor(F.col("rank") / WIDTH**r).alias("child")).distinct()
+        low = needed.groupBy("tree", F.floor(F.col("child") / WIDTH).alias("place")).agg(F.collect_list((F.col("child") % WIDTH).cast("int")).alias("low"))  # WIDTH at most
+        below = stored(descended(ways, blocks[r], low, carried))
         ways = below if r == 0 else below.unionByName(begun.filter(F.col("round") == r - 1).select(*columns))
     return ways
 
@@ -216,8 +214,7 @@ def ways_down(blocks: list[DataFrame], starts: DataFrame, asked: DataFrame, carr
 def proofs(manifest: Manifest, asked: DataFrame, carried: list[str], offered: str | None = None) -> DataFrame:
     """(``carried``, leaf, subroot, root, proof, folded) of the asked rows of ``manifest.leaves``. leaf: what the descent
     finds. proof: digest of the siblings, level by level from the leaf up, left to right. folded: the root that the
-    column ``offered`` (null: the leaf) leads to with these siblings. Rows may be asked for repeatedly; each comes as
-    often as it is asked for."""
+    column ``offered`` (null: the leaf) leads to with these siblings. ``asked`` has each row once at most."""
     trees = manifest.trees.join(asked.select("tree").distinct(), "tree", "left_semi")
     none = F.array().cast(PATH)
     zero = F.lit(0).cast("long")
@@ -226,10 +223,9 @@ def proofs(manifest: Manifest, asked: DataFrame, carried: list[str], offered: st
     starts = stored(to_trees.select(F.col("place").alias("tree"), F.col("digest").alias("subroot"), "path", "root").join(manifest.trees.select("tree", "n"), "tree").withColumn("digest", F.col("subroot")))
     ways = ways_down(manifest.blocks, starts, asked, ["subroot", "root"])
     own = F.struct((F.col("rank") % WIDTH).cast("int").alias("low"), (F.col(offered) if offered else F.lit(None).cast("binary")).alias("offered"), *carried)
-    # rows asked for again and again are dealt over lists of their own
-    wanted = asked.withColumn("_again", F.row_number().over(W.partitionBy("tree", "rank").orderBy(*carried))).groupBy("tree", F.floor(F.col("rank") / WIDTH).alias("place"), "_again").agg(F.collect_list(own).alias("wanted"))
+    wanted = asked.groupBy("tree", F.floor(F.col("rank") / WIDTH).alias("place")).agg(F.collect_list(own).alias("wanted"))  # WIDTH at most
     once = manifest.blocks[0].select("digest", "height", "records").dropDuplicates(["digest"])
-    met = ways.join(wanted.drop("_again"), ["tree", "place"]).join(once, "digest")
+    met = ways.join(wanted, ["tree", "place"]).join(once, "digest")
     kept = [met.schema["wanted"].dataType.elementType[c] for c in carried]
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in kept) + "leaf string, subroot string, root string, proof string, folded string"
 

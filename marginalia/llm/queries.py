@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import ball_codes, bpe_trie, byte_bpe, chat_quotes, fingerprint, jaccard_join, packing, quality, secret_scan, token_counts, topk, warc
+from marginalia.llm import ball_codes, bpe_trie, byte_bpe, chat_quotes, fingerprint, jaccard_join, merkle, packing, quality, secret_scan, token_counts, topk, warc
 from marginalia.llm.common import load, load_texts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -64,6 +64,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(load_texts(spark, sf_dir), PIECES)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proven_documents(load_texts(spark, sf_dir))
+
+
 def op12_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_codes.vector_codes(load(spark, sf_dir, "embeddings")).drop("label")
 
@@ -72,7 +76,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_documents(load_texts(spark, sf_dir), MULTI_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encoding, op2_exact_topk, op3_best_fit_packing, op4_document_fingerprints, op5_quality_classifier, op6_warc, op7_secret_scans, op8_ngram_jaccard_join, op9_chat_formatting, op9_quoted_parts, op10_token_counts, op12_ball_codes, op13_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_bpe_encoding, op2_exact_topk, op3_best_fit_packing, op4_document_fingerprints, op5_quality_classifier, op6_warc, op7_secret_scans, op8_ngram_jaccard_join, op9_chat_formatting, op9_quoted_parts, op10_token_counts, op11_merkle_manifest, op12_ball_codes, op13_byte_bpe)}
 
 
 def ball_codes_sql(rounds: int = 4) -> str:
@@ -193,6 +197,58 @@ WITH RECURSIVE own AS (
 )
 SELECT p.conv_id, p.turn, p.role, p.parent, q.depth, q.reply_path, p.text, '### ' || p.role || chr(10) || p.text AS rendered
 FROM parents p JOIN paths q ON q.conv_id = p.conv_id AND q.turn = p.turn
+""",
+    "op11_merkle_manifest": """
+WITH RECURSIVE fields AS (
+  SELECT row_number() OVER () AS row_id, doc_id, source, doc_id::VARCHAR AS id,
+    list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text], lambda x: coalesce(octet_length(encode(x))::VARCHAR || ':' || x, '-')) AS f,
+    replace(text, chr(10), '') AS bare
+  FROM documents
+), digests AS (
+  SELECT row_id, doc_id, source, sha256(array_to_string(f, '')) AS leaf,
+    CASE WHEN id IS NOT NULL AND list_reduce([4294967295::BIGINT] || list_transform(range(1, length(id) + 1), lambda i: ascii(id[i])::BIGINT),
+        lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) % 2 = 1
+      THEN sha256(array_to_string(f[1:4], '') || coalesce(octet_length(encode(bare))::VARCHAR || ':' || bare, '-')) END AS forged
+  FROM fields
+), leaves AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY source) AS n,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM digests
+), nodes AS (
+  SELECT tree, 0 AS level, pos, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 3, n
+), subroots AS (
+  SELECT tree, digest AS subroot, level AS height, (SELECT count(DISTINCT tree) FROM leaves) AS n FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, tree AS pos, n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 3, n
+), whole AS (
+  SELECT digest AS root, level AS top_height FROM tops WHERE n = 1
+), siblings AS (
+  SELECT l.row_id, n.level, n.pos, n.digest FROM leaves l JOIN subroots s USING (tree) JOIN nodes n ON n.tree = l.tree AND n.level < s.height
+    AND n.pos // 3 = l.pos // (3 ** (n.level + 1))::BIGINT AND n.pos <> l.pos // (3 ** n.level)::BIGINT
+  UNION ALL
+  SELECT l.row_id, 1000 + t.level, t.pos, t.digest FROM leaves l CROSS JOIN whole w JOIN tops t ON t.level < w.top_height
+    AND t.pos // 3 = l.tree // (3 ** (t.level + 1))::BIGINT AND t.pos <> l.tree // (3 ** t.level)::BIGINT
+), proof AS (
+  SELECT row_id, string_agg(digest, '' ORDER BY level, pos) AS way FROM siblings GROUP BY ALL
+), folds AS (
+  SELECT row_id, tree, 0 AS level, pos, coalesce(forged, leaf) AS node, height FROM leaves JOIN subroots USING (tree)
+  UNION ALL
+  SELECT f.row_id, f.tree, f.level + 1, f.pos // 3, sha256(string_agg(CASE WHEN c.pos = f.pos THEN f.node ELSE c.digest END, '' ORDER BY c.pos)), f.height
+  FROM folds f JOIN nodes c ON c.tree = f.tree AND c.level = f.level AND c.pos // 3 = f.pos // 3 WHERE f.level < f.height
+  GROUP BY f.row_id, f.tree, f.level, f.pos, f.height
+), upper_folds AS (
+  SELECT row_id, 0 AS level, tree AS pos, node, top_height FROM folds CROSS JOIN whole WHERE level = height
+  UNION ALL
+  SELECT f.row_id, f.level + 1, f.pos // 3, sha256(string_agg(CASE WHEN c.pos = f.pos THEN f.node ELSE c.digest END, '' ORDER BY c.pos)), f.top_height
+  FROM upper_folds f JOIN tops c ON c.level = f.level AND c.pos // 3 = f.pos // 3 WHERE f.level < f.top_height
+  GROUP BY f.row_id, f.level, f.pos, f.top_height
+)
+SELECT l.doc_id, l.leaf, s.subroot, w.root, sha256(coalesce(p.way, '')) AS proof_sha256, u.node AS folded_root, u.node = w.root AS verified
+FROM leaves l JOIN subroots s USING (tree) CROSS JOIN whole w LEFT JOIN proof p USING (row_id) JOIN upper_folds u ON u.row_id = l.row_id AND u.level = u.top_height
 """,
     "op12_ball_codes": ball_codes_sql(),
 }
