@@ -9,8 +9,10 @@ The library gives offsets in characters. Tokens may end inside a character; each
 character's offsets. Decoding looks every id's bytes up and joins them, so characters split over tokens become whole
 again; what isn't whole at either end of a token list is kept as bytes, and is U+FFFD in a text.
 
-Texts are encoded in parts that end before white space, where the word pattern always has a border, so that the memory
-a task needs is bounded by ``PART`` and the longest run without white space.
+The word pattern always has a border where white space follows something else, and where something else follows a
+letter. Texts are cut there into chunks; a task remembers the chunks it has met, and the library encodes those that are
+new, a batch at a time. Long texts go in parts, so the memory a task needs is bounded by ``PART``, ``KEPT`` and the
+longest run without white space.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ import base64
 import codecs
 import hashlib
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -29,11 +32,16 @@ from tokenizers import Tokenizer
 from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import ByteLevel
 
-from marginalia.llm.bpe_trie import byte_alphabet
+from marginalia.llm.bpe_trie import SPACE, byte_alphabet
 from marginalia.llm.common import keyed_text, map_batches
 
-#: Characters in a part of a text, and in the parts that are encoded at once.
+#: Characters in a part of a text, and in the texts that are encoded at once.
 PART = 1 << 18
+#: Characters of chunks that a task remembers.
+KEPT = 4_000_000
+#: Latin letters up to where something else than a letter or number follows (``\\w`` has every letter, so that is a
+#: border whatever the script), or all up to white space; each with the white space before.
+CHUNK = re.compile(f"[{SPACE}]*+(?:[A-Za-zÀ-ÖØ-öø-ɏ]++(?!\\w)|[^{SPACE}]+)|[{SPACE}]+")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,9 +51,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class ByteCodec:
-    """Encoder and decoder of one rank file."""
+    """Encoder and decoder of one rank file. placed: chunks are remembered with what ``encode`` needs (ids, and the
+    characters inside the chunk that each token covers), otherwise with what ``digests`` needs (decimal ids joined by
+    commas, and the bytes that the ids decode to)."""
 
-    def __init__(self, path: str, part: int = PART):
+    def __init__(self, path: str, placed: bool = False, part: int = PART, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         ranks = read_ranks(path)
         stand_in = {b: c for c, b in byte_alphabet().items()}
@@ -55,8 +65,11 @@ class ByteCodec:
         self.library = Tokenizer(BPE(vocab={name[token]: rank for token, rank in ranks.items()}, merges=merges, ignore_merges=True))
         self.library.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=True)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.decimal = {rank: str(rank) for rank in ranks.values()}
-        self.part = part
+        self.ids: dict[str, list[int]] = {}
+        self.offsets: dict[str, list[tuple[int, int]]] = {}
+        self.decimal: dict[str, str] = {}
+        self.data: dict[str, bytes] = {}
+        self.placed, self.part, self.kept, self.held = placed, part, kept, 0
 
     def parts(self, text: str) -> Iterator[tuple[int, str]]:
         """Parts of a text with their start. Each ends where a character that isn't white space stands before a space or
@@ -71,38 +84,67 @@ class ByteCodec:
         if start < len(text):
             yield start, text[start:]
 
-    def encode(self, texts: list[str], offsets: bool = False) -> Iterator[tuple[list[int], list[int], list[int]]]:
-        """For each text its ids, and the characters at which each token starts and ends (empty unless asked for). The
-        library's encodings are far larger than ids, so those of about ``part`` characters are there at once."""
+    def learn(self, chunks: set[str]) -> None:
+        """Encodes the chunks that are new. Those before are forgotten when there are too many."""
+        if self.held > self.kept:
+            for known in (self.ids, self.offsets, self.decimal, self.data):
+                known.clear()
+            self.held = 0
+        fresh = list(chunks.difference(self.ids if self.placed else self.decimal))
+        for chunk, made in zip(fresh, self.library.encode_batch(fresh, add_special_tokens=False)):
+            ids = made.ids
+            if self.placed:
+                self.ids[chunk], self.offsets[chunk] = ids, made.offsets
+            else:
+                self.decimal[chunk], self.data[chunk] = ",".join(map(str, ids)), self.decode(ids)
+        self.held += sum(map(len, fresh))
+
+    def chunked(self, texts: list[str]) -> list[list[str]]:
+        """The chunks of each text, which are known from then on."""
+        cut = [CHUNK.findall(t) for t in texts]
+        self.learn(set().union(*cut))
+        return cut
+
+    def encoded(self, texts: list[str]) -> Iterator[Iterable[list[str]]]:
+        """For each text its parts' chunks, each part before the next is cut; about ``part`` characters are worked on at once."""
         waiting: list[str] = []
         held = 0
         for text in texts:
             if held + len(text) > self.part:
-                yield from self._whole(waiting, offsets)
+                yield from ([chunks] for chunks in self.chunked(waiting))
                 waiting, held = [], 0
             if len(text) > self.part:
-                yield self._long(text, offsets)
+                yield (self.chunked([part])[0] for _, part in self.parts(text))
             else:
                 waiting.append(text)
                 held += len(text)
-        yield from self._whole(waiting, offsets)
-
-    def _whole(self, texts: list[str], offsets: bool) -> Iterator[tuple[list[int], list[int], list[int]]]:
-        for e in self.library.encode_batch(texts, add_special_tokens=False):
-            at = e.offsets if offsets else []
-            yield e.ids, [x for x, _ in at], [y for _, y in at]
-
-    def _long(self, text: str, offsets: bool) -> tuple[list[int], list[int], list[int]]:
-        ids: list[int] = []
-        starts: list[int] = []
-        ends: list[int] = []
-        for start, part in self.parts(text):
-            e = self.library.encode(part, add_special_tokens=False)
-            ids += e.ids
-            at = e.offsets if offsets else []
-            starts += [start + x for x, _ in at]
-            ends += [start + y for _, y in at]
-        return ids, starts, ends
+        yield from ([chunks] for chunks in self.chunked(waiting))
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int], list[int]]]:
+        """For each text its ids, and the characters at which each token starts and ends."""
+        for parts in self.encoded(texts):
+            ids: list[int] = []
+            starts: list[int] = []
+            ends: list[int] = []
+            at = 0
+            for chunks in parts:
+                for chunk in chunks:
+                    ids += self.ids[chunk]
+                    starts += [at + x for x, _ in self.offsets[chunk]]
+                    ends += [at + y for _, y in self.offsets[chunk]]
+                    at += len(chunk)
+            yield ids, starts, ends
+
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """For each text how many ids it has, and the digests of these and of the bytes that they decode to."""
+        for parts in self.encoded(texts):
+            n, ids, data = 0, hashlib.sha256(), hashlib.sha256()
+            for chunks in parts:
+                joined = ",".join(map(self.decimal.__getitem__, chunks))
+                ids.update(f",{joined}".encode() if n else joined.encode())
+                n += joined.count(",") + 1 if joined else 0
+                data.update(b"".join(map(self.data.__getitem__, chunks)))
+            yield n, ids.hexdigest(), data.hexdigest()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -115,9 +157,9 @@ class ByteCodec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> ByteCodec:
+def codec(path: str, placed: bool = False) -> ByteCodec:
     """One codec for each Python worker and file."""
-    return ByteCodec(path)
+    return ByteCodec(path, placed)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,10 +170,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     texts are encoded, however long; special tokens' strings are ordinary text. An empty table gives no rows.
     """
     def make():
-        own = codec(ranks_path)
+        own = codec(ranks_path, placed=True)
 
         def step(batch: pa.RecordBatch) -> dict:
-            made = list(own.encode(batch.column("text").to_pylist(), offsets=True))
+            made = list(own.encode(batch.column("text").to_pylist()))
             return {"doc_id": batch.column("doc_id"), "n_tokens": [len(m[0]) for m in made], "ids": [m[0] for m in made], "starts": [m[1] for m in made], "ends": [m[2] for m in made]}
 
         return step
@@ -146,12 +188,8 @@ def digest_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
         own = codec(ranks_path)
 
         def step(batch: pa.RecordBatch) -> dict:
-            n_tokens, left, right = [], [], []
-            for ids, _, _ in own.encode(batch.column("text").to_pylist()):
-                n_tokens.append(len(ids))
-                left.append(hashlib.sha256(",".join(map(own.decimal.__getitem__, ids)).encode()).hexdigest())
-                right.append(hashlib.sha256(own.decode(ids)).hexdigest())
-            return {"doc_id": batch.column("doc_id"), "n_tokens": n_tokens, "ids_sha256": left, "decoded_sha256": right}
+            made = list(own.digests(batch.column("text").to_pylist()))
+            return {"doc_id": batch.column("doc_id"), "n_tokens": [m[0] for m in made], "ids_sha256": [m[1] for m in made], "decoded_sha256": [m[2] for m in made]}
 
         return step
 

@@ -15,7 +15,7 @@ EDGES = [None, "", " ", "  \n\t ", "a<|endoftext|>b", "x" * 5000, "it's WE'LL  '
 
 @pytest.fixture(scope="module")
 def own():
-    return ByteCodec(PATH)
+    return ByteCodec(PATH, placed=True)
 
 
 def test_random_texts_match_the_rank_based_library(own):
@@ -37,7 +37,7 @@ def test_each_token_alone_and_each_byte(own):
 
 def test_offsets_cover_the_text_and_split_characters_share_theirs(own):
     text = "Grüße 日本 \U0001f9ffඞ end"
-    ids, starts, ends = next(own.encode([text], offsets=True))
+    ids, starts, ends = next(own.encode([text]))
     assert len(ids) == len(starts) == len(ends)
     covered = sorted({i for s, e in zip(starts, ends) for i in range(s, e)})
     assert covered == list(range(len(text)))
@@ -49,13 +49,14 @@ def test_offsets_cover_the_text_and_split_characters_share_theirs(own):
 
 
 def test_parts_of_long_texts_change_nothing():
-    small, rng = ByteCodec(PATH, part=7), random.Random(2)
+    small, rng = ByteCodec(PATH, placed=True, part=7, kept=40), random.Random(2)
     texts = ["".join(rng.choice("ab c  \n 　é'1.\x1c") for _ in range(rng.randrange(200))) for _ in range(600)]
     for text in texts:
         assert "".join(p for _, p in small.parts(text)) == text
     assert [m[0] for m in small.encode(texts)] == [LIBRARY.encode_ordinary(t) for t in texts]
-    whole = ByteCodec(PATH)
-    assert list(small.encode(texts, offsets=True)) == list(whole.encode(texts, offsets=True))
+    whole = ByteCodec(PATH, placed=True)
+    assert list(small.encode(texts)) == list(whole.encode(texts))
+    assert list(ByteCodec(PATH, part=7, kept=40).digests(texts)) == list(ByteCodec(PATH).digests(texts))
 
 
 def test_whole_table_against_the_library(spark, sf_dir):
@@ -82,7 +83,7 @@ def test_odd_rows_clashing_columns_and_empty_tables(spark):
 
 
 def test_broken_characters_stay_bytes(spark):
-    (ids, _, _), listed = next(ByteCodec(PATH).encode(["\U0001f9ff"])), read_ranks(PATH)
+    (ids, _, _), listed = next(ByteCodec(PATH, placed=True).encode(["\U0001f9ff"])), read_ranks(PATH)
     assert len(ids) > 1
     e = listed[b"\xc3"]
     rows = [(1, ids[:-1]), (2, ids[1:]), (3, [listed[b"a"], None, e]), (4, None), (5, [e, listed[b"a"]])]
