@@ -37,30 +37,34 @@ def unit_key(plain: Column) -> Column:
 
 def parsed(messages: DataFrame) -> DataFrame:
     """(thread, turn, role, digest, text, units) of each message. text: what it doesn't quote. units: structs of level,
-    place, at, key and whole for each passage, paragraph and line that has words. place: the passage's number; at: the
-    lines' numbers; whole: the unit is all of its passage. Steps are columns of their own, so that none is worked out
-    once for each line."""
+    place, at, key and whole for each passage, paragraph and line that has words, those with the same lines once. place:
+    the passage's number; at: the lines' numbers; whole: the unit is all of its passage.
+
+    Work grows in proportion with a message: its lines' numbers are written one after another with a mark where a
+    passage or paragraph starts, and that is split at the marks. What lambdas look up by a line's number are columns that
+    Spark keeps apart: lists made by a function and used more than once. A field of ``lines`` would be made anew for each
+    line.
+    """
     cut = messages.select("thread", "turn", "role", F.unhex(F.md5("body")).alias("digest"), marked_lines(F.col("body")).alias("lines"))
-    level, plain = F.col("lines.level"), F.col("lines.plain")
-    every = lambda: F.sequence(F.lit(0), F.size("lines") - 1)
-    edge = lambda i: (i == 0) | (F.get(level, i) != F.get(level, i - 1))
-    runs = cut.withColumn("runs", F.filter(every(), edge))
+    flat = cut.withColumns({"level": F.transform("lines", lambda x: x["level"]), "plain": F.transform("lines", lambda x: x["plain"])})
+    edge = lambda i: (i == 0) | (F.get("level", i) != F.get("level", i - 1))
     # a paragraph starts with a line that has words where a passage starts or a blank line stands before
-    starts = runs.withColumn("paragraphs", F.filter(every(), lambda i: (F.get(plain, i) != "") & (edge(i) | (F.get(plain, i - 1) == ""))))
-    stop = lambda at, j: F.coalesce(F.get(at, j + 1), F.size("lines"))
-    filled = lambda s, e: F.filter(F.when(e > s, F.sequence(s, e - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.get(plain, i) != "")
-    spans = starts.withColumn("passages", F.filter(F.transform("runs", lambda s, j: F.struct(F.get(level, s).alias("level"), j.alias("place"), filled(s, stop(F.col("runs"), j)).alias("at"))), lambda r: F.size(r["at"]) > 0))
-    unit = lambda r, at: F.struct(r["level"].alias("level"), r["place"].alias("place"), at.alias("at"), unit_key(F.transform(at, lambda i: F.get(plain, i))).alias("key"), (F.size(at) == F.size(r["at"])).alias("whole"))
-
-    def units(r: Column) -> Column:
-        inside = F.filter("paragraphs", lambda s: F.array_contains(r["at"], s))
-        blocks = F.transform(inside, lambda s, j: F.filter(r["at"], lambda i: (i >= s) & (i < F.coalesce(F.get(inside, j + 1), F.size("lines")))))
-        singles = F.transform(r["at"], lambda i: F.array(i))
-        parts = F.when(F.size(r["at"]) == 1, F.array(r["at"])).otherwise(F.array_distinct(F.concat(F.array(r["at"]), blocks, singles)))
-        return F.transform(parts, lambda at: unit(r, at))
+    starts = lambda i: edge(i) | (F.get("plain", i - 1) == "")
+    number = lambda i: F.when(F.get("plain", i) == "", "").otherwise(F.concat(F.when(starts(i), ";").otherwise(","), i.cast("string")))
+    marked = F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.concat(F.when(edge(i) & (i > 0), "|").otherwise(""), number(i)))
+    nested = flat.withColumn("nested", F.split(F.array_join(marked, ""), r"\|"))
+    numbers = lambda block: F.transform(F.split(block, ","), lambda i: i.cast("int"))
+    blocks = lambda passage: F.transform(F.filter(F.split(passage, ";"), lambda b: b != ""), numbers)
+    passages = nested.withColumn("passages", F.filter(F.transform("nested", lambda x, place: F.struct(place.alias("place"), blocks(x).alias("blocks"))), lambda p: F.size(p["blocks"]) > 0))
+
+    def units(p: Column) -> Column:
+        unit = lambda at, whole: F.struct(F.get("level", F.get(at, 0)).alias("level"), p["place"].alias("place"), at.alias("at"), unit_key(F.transform(at, lambda i: F.get("plain", i))).alias("key"), F.lit(whole).alias("whole"))
+        several = F.filter(p["blocks"], lambda at: F.size(at) > 1)
+        paragraphs = F.when(F.size(p["blocks"]) > 1, p["blocks"]).otherwise(F.slice(p["blocks"], 1, 0))
+        return F.concat(F.array(unit(F.flatten(p["blocks"]), True)), F.transform(paragraphs, lambda at: unit(at, False)), F.transform(F.flatten(several), lambda i: unit(F.array(i), False)))
 
     text = F.trim(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"))
-    return spans.select("thread", "turn", "role", "digest", text.alias("text"), F.flatten(F.transform("passages", units)).alias("units"))
+    return passages.select("thread", "turn", "role", "digest", text.alias("text"), F.flatten(F.transform("passages", units)).alias("units"))
 
 
 def part_parents(each: DataFrame, replies: DataFrame) -> DataFrame:

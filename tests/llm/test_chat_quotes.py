@@ -1,4 +1,6 @@
-from marginalia.llm.chat_quotes import reply_ordered
+import time
+
+from marginalia.llm.chat_quotes import parsed, reply_ordered
 from marginalia.llm.queries import op9_quoted_parts
 
 SCHEMA = "conv_id long, turn long, role string, text string, thread string, path int"
@@ -72,3 +74,26 @@ def test_interleaved_query_against_brute_force(spark, sf_dir):
     assert got.keys() == want.keys() and all(parent in want[k] for k, (parent, _) in got.items())
     assert all(text == "\n".join(threads[k[0]][k[1]]).strip(" ") for k, (_, text) in got.items())
     assert sum(len(w) == 1 and w[0] == k[1] - 1 for k, w in want.items()) > 0
+
+
+def test_long_messages_take_time_in_proportion(spark):
+    def blocks(n, mark=""):
+        return "\n\n".join(f"{mark}paragraph {i}\n{mark}of two lines" for i in range(n))
+
+    rows = [
+        (1, 0, "user", blocks(10_000)),
+        (1, 1, "assistant", "\n".join(f"line {i}" for i in range(10_000))),
+        (1, 2, "user", "> paragraph 7000\n> of two lines\nThat one."),
+        (1, 3, "user", "> line 9999\nThe last."),
+        (1, 4, "user", blocks(300, "> ") + "\nMany.\n\n" + "> x\n" * 5000 + " \n" * 20_000),
+        (1, 5, "user", blocks(10_000, "> ") + "\nAll of it."),
+    ]
+    began = time.monotonic()
+    got = {g[1]: g[2] for g in ordered(spark, rows)}
+    assert got == {0: None, 1: None, 2: 0, 3: 1, 4: 0, 5: 0}
+    assert time.monotonic() - began < 60
+    frame = spark.createDataFrame([(1, 0, "user", blocks(300)), (1, 1, "user", blocks(3000))], "thread long, turn long, role string, body string")
+    units = {r["turn"]: r["units"] for r in parsed(frame).collect()}
+    for turn, n in ((0, 300), (1, 3000)):
+        assert len(units[turn]) == 1 + n + 2 * n and sum(u["whole"] for u in units[turn]) == 1
+        assert [u["at"] for u in units[turn][1 : n + 1]] == [[3 * i, 3 * i + 1] for i in range(n)]
