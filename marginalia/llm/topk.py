@@ -36,6 +36,8 @@ STEP = 256
 #: Candidates of a block: as many as give each shuffle partition one, within these bounds.
 LEAST_BLOCK, MOST_BLOCK = 1024, 32_768
 QUERIES_AT_ONCE = 1024
+#: Rows for other blocks that a task makes at once.
+PENDING = 4096
 #: Vectors that centres are taken from (those whose vec_id has the least hash), and centres of one length, at most.
 SAMPLE_ROWS, MOST_CELLS = 1024, 256
 EXACT = 2.0**53
@@ -353,18 +355,24 @@ def elsewhere(queries: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
             for dim, at, own in by_dim(batch):
                 middle, norms = centres_of(centres, dim), np.linalg.norm(own, axis=1)
                 scores, sizes = own @ middle.T, norms[:, None] * np.linalg.norm(middle, axis=1)
-                goes: list[tuple[int, int, int]] = []
-                for row, i in enumerate(at.tolist()):
-                    home, sub = batch.column("cell")[i].as_py(), batch.column("sub")[i].as_py()
-                    for there in batch.column("cells")[i].as_py():
-                        c = there["cell"]
-                        if with_margin(scores[row, c] + norms[row] * there["radius"] * (1 + 1e-9), sizes[row, c]) >= least[i]:
-                            goes += [(i, c, s) for s in range(there["subs"]) if (c, s) != (home, sub)]
-                for a in range(0, len(goes), 4096):
-                    part = goes[a : a + 4096]
-                    rows = pa.array([g[0] for g in part], pa.int64())
-                    columns = [pa.array([dim] * len(part), pa.int32()), pa.array([g[1] for g in part], pa.int32()), pa.array([g[2] for g in part], pa.int32()), *(batch.column(c).take(rows) for c in ("vec_id", "vector", "least")), pa.array([True] * len(part))]
-                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                there = batch.column("cells")[int(at[0])].as_py()  # those of the length, alike in all its rows
+                cells, subs, radius = (np.array([t[f] for t in there]) for f in ("cell", "subs", "radius"))
+                first, homes, own_subs = np.cumsum(subs) - subs, batch.column("cell").to_numpy()[at], batch.column("sub").to_numpy()[at]
+                some = max(1, PENDING // int(subs.sum()))
+                for a in range(0, len(at), some):
+                    rows = slice(a, a + some)
+                    better = with_margin(scores[rows][:, cells] + norms[rows, None] * radius * (1 + 1e-9), sizes[rows][:, cells]) >= least[at[rows], None]
+                    query, cell = np.nonzero(better)
+                    blocks = ranges(first[cell], first[cell] + subs[cell])  # each cell's blocks, numbered through
+                    query, cell = np.repeat(query, subs[cell]), np.repeat(cell, subs[cell])
+                    sub = blocks - first[cell]
+                    away = (cells[cell] != homes[rows][query]) | (sub != own_subs[rows][query])
+                    query, cell, sub = query[away], cell[away], sub[away]
+                    for low in range(0, len(query), PENDING):
+                        part = slice(low, low + PENDING)
+                        took = pa.array(at[rows][query[part]])
+                        columns = [pa.array(np.full(len(took), dim, dtype=np.int32)), pa.array(cells[cell[part]].astype(np.int32)), pa.array(sub[part].astype(np.int32)), *(batch.column(c).take(took) for c in ("vec_id", "vector", "least")), pa.array(np.ones(len(took), dtype=bool))]
+                        yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return queries.mapInArrow(run, WANTED)
 

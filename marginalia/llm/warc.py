@@ -24,7 +24,7 @@ import io
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +45,8 @@ CAPTURED = "20240101000000"
 ARCHIVE_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
 LONGEST_LINE = 1 << 16
+#: How a gzip member starts: its mark, deflate, and flags.
+MEMBER = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]")
 GZIP_LEVEL = 3
 SALTS = 16
 ARC = "kind string, url string, date string, content_type string, page_id long, payload_digest string, payload_bytes long, record_id string, block binary"
@@ -100,23 +102,31 @@ def one_value(values: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
 
 
 class Members(io.RawIOBase):
-    """The contents of gzip members, one after another; each byte is looked at once."""
+    """The contents of gzip members, one after another, from a place on; each byte is looked at once. begun: where the
+    last member starts; broken: it can't be read on, so the contents end there (unless that is to be an error)."""
 
-    def __init__(self, data: bytes):
-        self.data, self.at, self.member, self.rest = memoryview(data), 0, None, b""
+    def __init__(self, data: bytes, at: int = 0, strict: bool = True):
+        self.data, self.at, self.strict, self.member, self.rest = memoryview(data), at, strict, None, b""
+        self.begun, self.broken = at, False
 
     def readable(self) -> bool:
         return True
 
     def readinto(self, into) -> int:
-        while not self.rest and self.at < len(self.data):
+        while not self.rest and self.at < len(self.data) and not self.broken:
             if self.member is None:
                 if self.data[self.at] == 0:  # padding
                     self.at += 1
                     continue
-                self.member = zlib.decompressobj(31)
+                self.member, self.begun = zlib.decompressobj(31), self.at
             part = self.data[self.at : self.at + LONGEST_LINE]
-            self.rest = self.member.decompress(part)
+            try:
+                self.rest = self.member.decompress(part)
+            except zlib.error:
+                if self.strict:
+                    raise
+                self.broken = True
+                break
             self.at += len(part) - len(self.member.unused_data)
             if self.member.eof:
                 self.member = None
@@ -127,10 +137,37 @@ class Members(io.RawIOBase):
 
 
 def opened(data: bytes) -> io.BufferedIOBase:
-    """An archive's contents, whether it is compressed or not."""
+    """An archive's contents, whether it is compressed or not. Compression that is broken is an error."""
     return io.BufferedReader(Members(data), 1 << 16) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
 
 
+def stretches(data: bytes) -> Iterator[io.BufferedIOBase | bytes]:
+    """An archive's contents as far as they can be read without a break. After each break come the bytes of the broken
+    member as they are, up to where the next one may start, and reading goes on there. A last member that is cut short
+    has no such bytes, as its contents come as far as they go."""
+    at = 0
+    while data[:2] == b"\x1f\x8b" and at < len(data):
+        members = Members(data, at, strict=False)
+        yield io.BufferedReader(members, 1 << 16)
+        if members.member is None:
+            return
+        next_start = MEMBER.search(data, members.begun + 1)
+        at = next_start.start() if next_start else len(data)
+        if members.broken:
+            yield data[members.begun : at]
+    if data[:2] != b"\x1f\x8b":
+        yield io.BytesIO(data)
+
+
+def read_up_to(archive: io.BufferedIOBase, length: int) -> bytes:
+    """As many bytes as are declared, or as there are: a declared length alone takes no memory."""
+    parts = []
+    while length > 0 and (part := archive.read(min(length, 1 << 20))):
+        parts.append(part)
+        length -= len(part)
+    return b"".join(parts)
+
+
 def http_block(page_id: int, payload: bytes) -> bytes:
     return f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\nX-Page-Id: {page_id}\r\n\r\n".encode() + payload
 
@@ -186,12 +223,24 @@ def arc_line_form(fields: list[str]) -> re.Pattern:
     return re.compile(" ".join(FIELD_FORMS.get(f, r"(\S+)") for f in fields))
 
 
-def arc_records(archive: io.BufferedIOBase) -> Iterator[tuple[int, dict[str, str], bytes]]:
+def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset, header fields, block) of each record, version blocks included. What stands where a header should, up to
-    the next line that is one, and a block that ends early, come as records without header fields."""
+    the next line that is one, a block that ends early, and a gzip member's bytes that can't be read, come as records
+    without header fields; what follows is read on."""
     at, fields = 0, ARC_FIELDS["1"]
+    for stretch in stretches(data):
+        if isinstance(stretch, bytes):
+            yield at, {}, stretch
+            at += len(stretch)
+        else:
+            at, fields = yield from stretch_records(stretch, at, fields)
+
+
+def stretch_records(archive: io.BufferedIOBase, at: int, fields: list[str]) -> Generator[tuple[int, dict[str, str], bytes], None, tuple[int, list[str]]]:
+    """The records of one stretch, whose first byte is at ``at`` and whose headers have ``fields``; returns where it ends
+    and what fields headers have by then."""
     form = arc_line_form(fields)
-    odd, odd_at = [], 0
+    odd, odd_at = [], at
     while line := archive.readline(LONGEST_LINE):
         start, at = at, at + len(line)
         text = line.decode("utf-8", "replace").rstrip("\r\n")
@@ -199,18 +248,19 @@ def arc_records(archive: io.BufferedIOBase) -> Iterator[tuple[int, dict[str, str
         values = form.fullmatch(text)
         if not (about or values):
             if odd or text:
-                odd, odd_at = [*odd, line], odd_at if odd else start
+                odd_at = odd_at if odd else start
+                odd.append(line)
             continue
         if odd:
             yield odd_at, {}, b"".join(odd)
             odd = []
         head = dict(zip(ARC_FIELDS["1"], about.groups())) if about else dict(zip(fields, values.groups()))
         length = int(head["Archive-length"])
-        block = archive.read(length)
+        block = read_up_to(archive, length)
         at += len(block)
         if len(block) < length:
             yield start, {}, line + block
-            return
+            return at, fields
         if about:
             lines = block.decode("utf-8", "replace").splitlines()
             version = lines[0].split(" ")[0] if lines else ""
@@ -220,6 +270,7 @@ def arc_records(archive: io.BufferedIOBase) -> Iterator[tuple[int, dict[str, str
         yield start, head, block
     if odd:
         yield odd_at, {}, b"".join(odd)
+    return at, fields
 
 
 def record_id(*of: object) -> str:
@@ -249,14 +300,15 @@ def archive_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_arc(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """A row for each record: kind is warcinfo for version blocks, response for HTTP, resource for all else and damaged
-    for bytes that are no whole record. page_id: the number that an ``X-Page-Id`` header names, if there is one.
-    packed: blocks are zlib streams, which shuffle in fewer bytes. Compression that is broken is an error."""
+    for bytes that are no whole record, those of a broken gzip member among them; the records around these come as ever.
+    page_id: the number that an ``X-Page-Id`` header names, if there is one. packed: blocks are zlib streams, which
+    shuffle in fewer bytes."""
     schema = arrow_schema(ARC)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for name, content in zip(*batch.columns):
-                for at, head, block in arc_records(opened(content.as_py())):
+                for at, head, block in arc_records(content.as_py()):
                     url = head.get("URL", f"urn:damaged:{name.as_py()}:{at}")
                     kind = "damaged" if not head else "warcinfo" if url.startswith("filedesc://") else "response" if block.startswith(b"HTTP/") else "resource"
                     top, payload = http_parts(block) if kind == "response" else (b"", block)
@@ -339,7 +391,7 @@ def warc_records(archive: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], b
             lines.append(archive.readline(LONGEST_LINE))
         head = header_fields(b"".join(lines))
         length = int(head.get("content-length", -1))
-        block = archive.read(max(0, length))
+        block = read_up_to(archive, length)
         if not line.startswith(b"WARC/") or length < 0 or len(block) < length:
             raise ValueError(f"not a whole WARC record: {line[:200]!r}")
         yield head, block

@@ -83,3 +83,26 @@ def test_pairs_are_left_out_of_blocks_that_spark_makes(spark):
     assert all(r["pruned"] for r in met if r["pairs"] > 2)
     assert sum(r["products"] for r in met) < 200 * 6000 / 3  # of all pairs
     assert sum(r["queries"] for r in met if r["round"] == 2) < 200 * (len({(r["cell"], r["sub"]) for r in met}) - 1)  # queries that weren't sent at all
+
+
+def test_rows_for_other_blocks_come_in_bounded_parts(spark, monkeypatch):
+    """Queries of one batch that go to many blocks each: no more than some thousand rows wait at once."""
+    import pyarrow as pa
+
+    queries, blocks, caught = 2_000, 3_000, {}
+    class Source:
+        def mapInArrow(self, run, schema):
+            caught["run"] = run
+    topk.elsewhere(Source(), {2: np.array([[0.0, 0.0], [50.0, 0.0]])})
+    cells = [[{"cell": 0, "subs": blocks - 1, "radius": 9.0}, {"cell": 1, "subs": 1, "radius": 1.0}]] * queries
+    rng = np.random.default_rng(1)
+    columns = {"vec_id": pa.array(range(queries)), "vector": pa.array(rng.integers(0, 9, size=(queries, 2)).tolist(), pa.list_(pa.int64())), "dim": pa.array([2] * queries, pa.int32()), "cell": pa.array([0] * queries, pa.int32()), "sub": pa.array([i % (blocks - 1) for i in range(queries)], pa.int32()), "least": pa.array([-1e9] * (queries - 1) + [1e9]), "cells": pa.array(cells)}
+    batch = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    rows = largest = 0
+    seen = set()
+    for part in caught["run"](iter([batch])):
+        rows, largest = rows + part.num_rows, max(largest, part.num_rows)
+        if len(seen) < 20_000:
+            seen |= set(zip(*(part.column(c).to_pylist() for c in ("vec_id", "cell", "sub"))))
+    assert rows == (queries - 1) * (blocks - 1) and largest <= 4096
+    assert (0, 0, 0) not in seen and (0, 0, 1) in seen and (0, 1, 0) in seen

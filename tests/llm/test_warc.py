@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import io
 import random
+import time
 
 import pytest
 
@@ -98,3 +99,59 @@ def test_legacy_archives_convert(spark, tmp_path, packed):
     whole = b"".join(warc.opened(p.read_bytes()).read() for p in (tmp_path / "new" / "warc").glob("part-*"))
     kept = [head["warc-type"] for head, _ in warc.warc_records(io.BytesIO(whole))]
     assert sorted(kept) == sorted(["warcinfo"] * 2 + ["response"] * 3 + ["revisit"] + ["resource"] * 3) and image in whole and short in whole
+
+
+def line_record(i, block):
+    return b"http://m/%d 10.0.0.1 19970102030405 text/plain %d\n" % (i, len(block)) + block + b"\n"
+
+
+def read_all(data):
+    """(urls of whole records, damaged blocks)"""
+    records = list(warc.arc_records(data))
+    assert len({at for at, _, _ in records}) == len(records)
+    return [head["URL"] for _, head, _ in records if head], [block for _, head, block in records if not head]
+
+
+def test_broken_members_leave_the_others():
+    rng = random.Random(3)
+    blocks = [rng.randbytes(rng.randrange(1, 200_000)) for _ in range(9)]
+    members = [gzip.compress(line_record(i, b)) for i, b in enumerate(blocks)]
+    urls = [f"http://m/{i}" for i in range(9)]
+    assert read_all(b"".join(members)) == (urls, [])
+    for k in (0, 4, 8):
+        others = urls[:k] + urls[k + 1 :]
+        half = len(members[k]) // 2
+        flipped = members[k][:half] + bytes([members[k][half] ^ 255]) + members[k][half + 1 :]
+        wrong_sum = members[k][:-8] + bytes([members[k][-8] ^ 1]) + members[k][-7:]
+        for broken in (members[k][:half], flipped, wrong_sum, b"\x1f\x8b\x08\x00" + b"x" * 50, members[k][: -1]):
+            good, damaged = read_all(b"".join(members[:k]) + broken + b"".join(members[k + 1 :]))
+            assert [u for u in good if u != urls[k]] == others
+            assert damaged or good == urls  # a trailer cut short at the end of a file leaves its record whole
+    good, damaged = read_all(b"".join(members) + b"stray bytes")
+    assert good == urls and damaged == [b"stray bytes"]
+    assert read_all(b"".join(members) + b"\0\0") == (urls, [])
+    good, damaged = read_all(members[0] + b"\n".join([b"between"]) + members[1])
+    assert good == urls[:2] and damaged == [b"between"]
+
+
+def test_damaged_regions_take_time_in_proportion():
+    record = b"http://m/1 10.0.0.1 19970102030405 text/plain 5\n"
+    stray = b"a line that no header is, as a length was too short\n" * (60_000_000 // 53)
+    began = time.monotonic()
+    good, damaged = read_all(record + b"12345678\n" + stray + line_record(2, b"end"))
+    assert good == ["http://m/1", "http://m/2"] and damaged == [b"678\n" + stray]
+    assert time.monotonic() - began < 15
+    huge = b"http://m/3 10.0.0.1 19970102030405 text/plain %d\nrest" % 10**17
+    assert read_all(line_record(1, b"x") + huge) == (["http://m/1"], [huge])
+
+
+def test_one_broken_file_among_others(spark, tmp_path):
+    whole = [gzip.compress(line_record(i, b"block %d" % i)) for i in range(6)]
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "a.arc.gz").write_bytes(b"".join(whole[:3]))
+    (tmp_path / "old" / "b.arc.gz").write_bytes(whole[3][:20] + whole[4] + b"\x1f\x8b\x08\x00junk" + whole[5])
+    got = warc.read_arc(spark, str(tmp_path / "old")).collect()
+    assert sorted(r["url"] for r in got if r["kind"] != "damaged") == [f"http://m/{i}" for i in (0, 1, 2, 4, 5)]
+    assert any(bytes(r["block"]).startswith(b"\x1f\x8b\x08\x00junk") for r in got if r["kind"] == "damaged")
+    warc.arc_to_warc(warc.read_arc(spark, str(tmp_path / "old")), str(tmp_path / "new"))
+    assert warc.read_warc(spark, str(tmp_path / "new" / "warc")).count() == 0  # these are resources
