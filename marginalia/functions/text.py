@@ -13,6 +13,8 @@ CLOSE = r"\x{3400}-\x{9FFF}"
 #: Characters that normalisation removes or turns to a blank.
 INVISIBLE = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{FEFF}]"
 BLANKS = r" \t\r\f\x{0B}\x{A0}\x{3000}"
+#: All other white space than line feeds, which is stripped from lines and between ideographs.
+SPACES = " \t\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What stands for a page without content, and what failed parsers leave.
 PLACEHOLDERS = [
     r"^[.\-_=*~#·—–\s]+$",
@@ -28,18 +30,22 @@ UNPARSED_FILE = r"^\[(docx|pdf|pptx?)\s*解析失败[:：]"
 
 
 def normalize_text(text: Column) -> Column:
-    """Line ends to LF; invisible characters go; a word split by a hyphen and line end is joined; blanks collapse;
-    lines are stripped; gaps between ideographs go; three and more line ends become two; the whole is stripped."""
+    """Line ends to LF; invisible characters go; a word of Latin letters split by a hyphen and line end is joined; blanks
+    collapse; lines are stripped; gaps between ideographs go; three and more line ends become two; the whole is stripped.
+    White space is Unicode's and the four separators of ASCII."""
     swap = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
     out = swap(swap(text, "\r\n", "\n"), "\r", "\n")
     out = F.regexp_replace(out, INVISIBLE, "")
     # patterns start with what is rare, so that most places are passed by at their first character
-    out = F.regexp_replace(out, r"[-\x{AD}]\n(?=\p{Ll})(?<=\p{L}[-\x{AD}]\n)", "")
+    out = F.regexp_replace(out, r"([A-Za-z])-\n([A-Za-z])", "$1$2")
     out = F.regexp_replace(out, rf" [{BLANKS}]+|[{BLANKS[1:]}][{BLANKS}]*", " ")  # single blanks stay as they are
     out = swap(swap(out, " \n", "\n"), "\n ", "\n")
-    out = F.regexp_replace(out, rf"([{CLOSE}])\s+(?=[{CLOSE}])", "$1")
+    # what is left at line ends is rare; a run of it is looked at from its start only
+    odd = out.rlike(f"[{SPACES[5:10]}{SPACES[11:-1]}]")
+    out = F.when(odd, F.regexp_replace(F.regexp_replace(out, f"(?<![{SPACES}])[{SPACES}]++(?=\n)", ""), f"(?<=\n)[{SPACES}]++", "")).otherwise(out)
+    out = F.regexp_replace(out, rf"([{CLOSE}])[\n{SPACES}]++(?=[{CLOSE}])", "$1")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    return F.btrim(out, F.lit(" \t\n\x0b\f\r"))
+    return F.btrim(out, F.lit("\n" + SPACES))
 
 
 def content_hash(text: Column) -> Column:

@@ -10,7 +10,7 @@ from marginalia.operators import dedup
 from marginalia.plans.registry import query
 from marginalia.tables import events, load, load_texts
 
-#: DuckDB's form of text normalisation, for texts without ideographs and words split by soft hyphens.
+#: DuckDB's form of text normalisation, for texts without ideographs, hyphens at line ends and rare white space.
 NORMAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t\r\f\x0B\x{A0}\x{3000}]+', ' ', 'g'), '(?m)^ +| +$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 
 
@@ -20,6 +20,36 @@ def text_normalize(spark, d):
     return load_texts(spark, d).select("doc_id", F.length(clean).alias("chars"), F.length("text").alias("raw_chars"), F.sha2(clean, 256).alias("digest"))
 
 
+#: Texts with line ends, blanks, hyphens and ideographs of every kind around what documents hold.
+RARE_TEXTS = """CASE doc_id % 9 WHEN 0 THEN 'Anti-' || chr(10) || 'Hero ' || source || '-' || chr(13) || chr(10) || lang WHEN 1 THEN 'é-' || chr(10) || 'tag' || chr(173) || chr(10) || lang WHEN 2 THEN chr(8195) || source || chr(8195) || chr(10) || chr(133) || lang || chr(28) || chr(10) || chr(10) || chr(10) || chr(10) || 'x'
+  WHEN 3 THEN '光' || chr(8195) || '的 ' || chr(10) || '反 射' || source WHEN 4 THEN 'a-' || chr(10) || 'b-' || chr(10) || 'c' || chr(8203) || lang WHEN 5 THEN chr(160) || chr(12288) || source || '  ' || chr(9) || lang || chr(31) WHEN 6 THEN 'x' || chr(8203) || '-' || chr(10) || chr(65279) || 'y' WHEN 7 THEN '漢字 abc 漢 ' || chr(8232) || ' 字' ELSE substr(text, 1, 200) END"""
+LINE_SPACE = r" \t\r\f\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def _closed(sql: str) -> str:
+    return rf"regexp_replace({sql}, '([\x{{3400}}-\x{{9FFF}}])[\n{LINE_SPACE}]+([\x{{3400}}-\x{{9FFF}}])', '\1\2', 'g')"
+
+
+@query(rf"""
+WITH o AS (SELECT doc_id, {RARE_TEXTS} AS t FROM documents),
+a AS (SELECT doc_id, regexp_replace(replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\x{{200B}}-\x{{200F}}\x{{202A}}-\x{{202E}}\x{{2060}}\x{{FEFF}}]', '', 'g') AS t FROM o),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([A-Za-z])-\n([A-Za-z])', '\1\2', 'g'), '[ \t\r\f\x0B\x{{A0}}\x{{3000}}]+', ' ', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(t, '[{LINE_SPACE}]*\n[{LINE_SPACE}]*', chr(10), 'g') AS t FROM b)
+SELECT doc_id, regexp_replace(regexp_replace({_closed(_closed("t"))}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^[\n{LINE_SPACE}]+|[\n{LINE_SPACE}]+$', '', 'g') AS clean FROM c""")
+def text_normalize_rare(spark, d):
+    """Normalised forms of texts with rare white space, hyphens at line ends and ideographs."""
+    at = lambda n: F.lit(chr(n))
+    lf, source, lang, by = at(10), F.col("source"), F.col("lang"), F.col("doc_id") % 9
+    forms = [
+        F.concat(F.lit("Anti-\nHero "), source, F.lit("-\r\n"), lang), F.concat(F.lit("é-\ntag\xad\n"), lang), F.concat(at(8195), source, at(8195), lf, at(133), lang, at(28), F.lit("\n\n\n\nx")),
+        F.concat(F.lit("光\u2003的 \n反 射"), source), F.concat(F.lit("a-\nb-\nc\u200b"), lang), F.concat(at(160), at(12288), source, F.lit("  \t"), lang, at(31)), F.lit("x\u200b-\n\ufeffy"), F.lit("漢字 abc 漢 \u2028 字"),
+    ]
+    made = F.substring("text", 1, 200)
+    for i, form in enumerate(forms):
+        made = F.when(by == i, form).otherwise(made)
+    return load_texts(spark, d).select("doc_id", tx.normalize_text(made).alias("clean"))
+
+
 @query("SELECT doc_id, 'sha256:' || sha256(text) AS content_hash, sha256(concat_ws('|', doc_id::VARCHAR, lang, source)) AS scope_hash FROM documents")
 def content_hashes(spark, d):
     return load(spark, d, "documents").select("doc_id", tx.content_hash(F.col("text")).alias("content_hash"), F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "source"), 256).alias("scope_hash"))
