@@ -181,14 +181,20 @@ def yaml_quoted(text: Column) -> Column:
     return F.when(text.rlike(r"""[:#\[\]{}",'&*!|>%@`]|^\s|\s$|^$"""), quoted).otherwise(text)
 
 
+def padded(number: Column, width: int) -> Column:
+    """Leading zeros up to a width; longer numbers stay whole."""
+    text = number.cast("string")
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
+
+
 def sequence_id(prefix: Column, number: Column) -> Column:
     """T000001 and so on."""
-    return F.concat(prefix, F.lpad(number.cast("string"), 6, "0"))
+    return F.concat(prefix, padded(number, 6))
 
 
 def paged_id(prefix: Column, page: Column, number: Column) -> Column:
     """P0017.01 and so on."""
-    return F.concat(prefix, F.lpad(page.cast("string"), 4, "0"), F.lit("."), F.lpad(number.cast("string"), 2, "0"))
+    return F.concat(prefix, padded(page, 4), F.lit("."), padded(number, 2))
 
 
 def is_source_id(text: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marginalia.streaming.tables import written
+
 
 def range_of(column: Column, bounds: list, first: int = 0) -> Column:
     """How many of the sorted bounds are below: a comparison for each halving of them."""
@@ -28,6 +30,22 @@ def dense_ordinal(df: DataFrame, order_col: str, name: str = "ordinal", partitio
     return dealt.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_range", "_own", "_before")
 
 
+def group_ordinals(df: DataFrame, groups: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
+    """Numbers from 1 inside each group, in an order (null first), without one task that sees a whole group: rows are
+    dealt to ranges of group and order, numbered inside these as they are written, and shifted by what the ranges before
+    hold of the group. Rows alike in group and order are numbered in any order."""
+    by = [F.col(c).asc_nulls_first() for c in (*groups, *order)]
+    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+    placed = written(dealt.withColumn("_part", F.shiftright("_id", 33)), "ordinals")
+    held = placed.groupBy("_part", *groups).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    earlier = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    shift = held.select(F.col("_part").alias("_at"), *[F.col(g).alias(f"_of_{g}") for g in groups], (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    same = F.col("_part") == F.col("_at")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    return placed.join(shift, same).select(*df.columns, (F.col("_id") + F.col("_shift")).alias(name))
+
+
 def trailing_streak(df: DataFrame, key: str, order_col: str, breaks: Column) -> DataFrame:
     """For each key how many rows come after its last row that breaks the streak."""
     last = df.groupBy(key).agg(F.max(F.when(breaks, F.col(order_col))).alias("_last"))
