@@ -100,8 +100,8 @@ def evidence_gate(report: DataFrame) -> DataFrame:
     """Adds gate and reasons: any broken reference or unproven claim fails it."""
     over = lambda name: F.coalesce(F.col(name), F.lit(0)) > 0
     blocks = named(
-        ("invalid_source_refs", over("invalid")), ("cross_domain_refs", over("cross_domain")), ("unbound_source_refs", over("missing")), ("claims_without_provenance", over("without_provenance")),
-        ("failed_claims", over("failed_claims")), ("critical_claim_evidence_rate", over("critical") & (F.col("critical_bound") < F.col("critical"))),
+        ("invalid_source_refs", over("invalid")), ("cross_domain_refs", over("cross_domain")), ("unbound_source_refs", over("missing")), ("not_in_claim_producer_refs", over("not_shown")),
+        ("claims_without_provenance", over("without_provenance")), ("unread_source_refs", over("unread")), ("failed_claims", over("failed_claims")), ("critical_claim_evidence_rate", over("critical") & (F.col("critical_bound") < F.col("critical"))),
     )
     return report.withColumn("gate", F.when(blocks != "", "failed").otherwise("passed")).withColumn("reasons", blocks)
 

@@ -74,12 +74,17 @@ bound AS (SELECT DISTINCT c.claim_id, c.claim_type, r.ref, CASE WHEN NOT regexp_
 """
 
 
-def _claims(spark, d):
+def _claim_tables(spark, d):
     i = F.col("doc_id")
     docs = load(spark, d, "documents").select("doc_id", "lang")
     claims = docs.select(i.alias("claim_id"), F.when(i % 4 == 0, "ai_explanation").when(i % 4 == 1, "definition").otherwise("fact").alias("claim_type"), F.col("lang").alias("domain_id"))
     refs = docs.select(i.alias("claim_id"), F.explode(F.array(F.when(i % 5 == 0, F.concat(F.lit("x"), i.cast("string"))).otherwise(tx.sequence_id(F.lit("T"), i)), tx.sequence_id(F.lit("T"), i + 1), F.concat(F.lit("T9"), F.lpad((i % 100000).cast("string"), 5, "0")))).alias("ref"))
     known = docs.select(F.col("lang").alias("domain_id"), tx.sequence_id(F.lit("T"), i).alias("ref"))
+    return claims, refs, known
+
+
+def _claims(spark, d):
+    claims, refs, known = _claim_tables(spark, d)
     return claims, audit.bind_claims(claims, refs, known, known)
 
 

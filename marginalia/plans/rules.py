@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marginalia.functions import numeric as nm
+from marginalia.functions import text as tx
+from marginalia.operators import evidence
 from marginalia.operators import relational as rel
 from marginalia.operators import rules
-from marginalia.plans.audits import CLAIMS, _claims
+from marginalia.plans.audits import CLAIMS, _claim_tables
 from marginalia.plans.registry import query
 from marginalia.tables import load, spans
 
@@ -71,20 +73,44 @@ def coverage_gate_whole(spark, d):
     return rules.whole_gate(m).select("domain_id", "accounting", "semantic", "gate", "reasons")
 
 
-@query(CLAIMS + """, status AS (SELECT claim_id, claim_type, count(*) FILTER (binding = 'bound') AS bound, count(*) FILTER (binding = 'invalid') AS invalid, count(*) FILTER (binding = 'cross_domain') AS cross_domain, count(*) FILTER (binding = 'missing' AND claim_id % 3 = 0) AS missing FROM bound GROUP BY 1, 2),
-g AS (SELECT claim_id // 4 AS domain_id, sum(invalid)::BIGINT AS invalid, sum(cross_domain)::BIGINT AS cross_domain, sum(missing)::BIGINT AS missing, count(*) FILTER (claim_type <> 'ai_explanation' AND bound = 0) AS failed_claims, count(*) FILTER (claim_type = 'definition') AS critical, count(*) FILTER (claim_type = 'definition' AND bound > 0) AS critical_bound, count(*) FILTER (claim_id % 29 = 11) AS without_provenance FROM status GROUP BY 1),
-r AS (SELECT domain_id, CASE WHEN critical = 0 THEN 1.0 ELSE round(critical_bound / critical, 6) END AS critical_rate, concat_ws(',', CASE WHEN invalid > 0 THEN 'invalid_source_refs' END, CASE WHEN cross_domain > 0 THEN 'cross_domain_refs' END, CASE WHEN missing > 0 THEN 'unbound_source_refs' END, CASE WHEN without_provenance > 0 THEN 'claims_without_provenance' END, CASE WHEN failed_claims > 0 THEN 'failed_claims' END, CASE WHEN critical_bound < critical THEN 'critical_claim_evidence_rate' END) AS reasons FROM g)
+EVIDENCE = CLAIMS + """,
+made AS (SELECT claim_id, claim_id % 7 AS invocation FROM claims WHERE claim_id % 29 <> 11),
+reads AS (SELECT DISTINCT (doc_id + unnest([0, 6])) % 7 AS invocation, 'T' || lpad(doc_id::VARCHAR, 6, '0') AS ref FROM documents WHERE doc_id % 4 <> 3),
+flags AS (SELECT b.*, m.invocation IS NOT NULL AS known_producer, EXISTS (SELECT 1 FROM reads r WHERE r.invocation = m.invocation AND r.ref = b.ref) AS shown, EXISTS (SELECT 1 FROM reads r WHERE r.ref = b.ref) AS read FROM bound b LEFT JOIN made m USING (claim_id)),
+sources AS (SELECT *, CASE binding WHEN 'invalid' THEN 'malformed_source_id' WHEN 'cross_domain' THEN 'cross_domain_source_id' WHEN 'missing' THEN 'source_not_in_domain' ELSE CASE WHEN NOT shown AND claim_type <> 'ai_explanation' THEN 'source_not_presented_to_this_claim_producer' END END AS failure FROM flags),
+nested AS (SELECT c.claim_id, c.claim_type, c.domain_id, CASE WHEN c.claim_type = 'ai_explanation' THEN 'not_required' WHEN count(*) FILTER (s.binding = 'bound' AND s.failure IS NULL) > 0 AND c.claim_id % 29 <> 11 THEN 'passed' ELSE 'failed' END AS status,
+  concat_ws(';', CASE WHEN c.claim_type <> 'ai_explanation' AND c.claim_id % 29 = 11 THEN 'producer_visibility_missing' END, string_agg(s.failure || ':' || s.ref, ';' ORDER BY s.ref)) AS reasons,
+  string_agg(s.ref || '=' || s.binding || CASE WHEN s.shown THEN '+' ELSE '' END, ' ' ORDER BY s.ref) AS sources FROM claims c LEFT JOIN sources s USING (claim_id) GROUP BY 1, 2, 3)
+"""
+
+
+def _evidence(spark, d):
+    claims, refs, spans = _claim_tables(spark, d)
+    i = F.col("doc_id")
+    producers = claims.select("claim_id", F.when(F.col("claim_id") % 29 != 11, F.col("claim_id") % 7).alias("invocation"))
+    reads = load(spark, d, "documents").filter("doc_id % 4 <> 3").select(F.explode(F.array(i % 7, (i + 6) % 7)).alias("invocation"), tx.sequence_id(F.lit("T"), i).alias("ref"))
+    sources = evidence.bound_sources(claims, refs, spans, producers, reads)
+    return claims, sources, evidence.claims_with_sources(claims, sources, producers)
+
+
+@query(EVIDENCE + "SELECT * FROM nested")
+def evidence_claims(spark, d):
+    """Claims with their sources, and why these don't count: bound elsewhere or nowhere, or not shown to the producer."""
+    nested = _evidence(spark, d)[2]
+    mark = lambda s: F.concat(s["ref"], F.lit("="), s["binding"], F.when(s["shown"], "+").otherwise(""))
+    return nested.select("claim_id", "claim_type", "domain_id", "status", F.array_join("reasons", ";").alias("reasons"), F.array_join(F.transform("sources", mark), " ").alias("sources"))
+
+
+@query(EVIDENCE + """, by_source AS (SELECT claim_id // 4 AS domain_id, count(*) FILTER (binding = 'invalid') AS invalid, count(*) FILTER (binding = 'cross_domain') AS cross_domain, count(*) FILTER (binding = 'missing') AS missing, count(*) FILTER (failure LIKE 'source_not_presented%') AS not_shown, count(*) FILTER (failure LIKE 'source_not_presented%' AND NOT read) AS unread FROM sources GROUP BY 1),
+by_claim AS (SELECT claim_id // 4 AS domain_id, count(*) FILTER (reasons LIKE 'producer%') AS without_provenance, count(*) FILTER (status = 'failed') AS failed_claims, count(*) FILTER (claim_type = 'definition') AS critical, count(*) FILTER (claim_type = 'definition' AND status = 'passed') AS critical_bound FROM nested GROUP BY 1),
+r AS (SELECT domain_id, CASE WHEN critical = 0 THEN 1.0 ELSE round(critical_bound / critical, 6) END AS critical_rate, concat_ws(',', CASE WHEN invalid > 0 THEN 'invalid_source_refs' END, CASE WHEN cross_domain > 0 THEN 'cross_domain_refs' END, CASE WHEN missing > 0 THEN 'unbound_source_refs' END, CASE WHEN not_shown > 0 THEN 'not_in_claim_producer_refs' END, CASE WHEN without_provenance > 0 THEN 'claims_without_provenance' END,
+  CASE WHEN unread > 0 THEN 'unread_source_refs' END, CASE WHEN failed_claims > 0 THEN 'failed_claims' END, CASE WHEN critical_bound < critical THEN 'critical_claim_evidence_rate' END) AS reasons FROM by_claim LEFT JOIN by_source USING (domain_id))
 SELECT *, CASE WHEN reasons <> '' THEN 'failed' ELSE 'passed' END AS gate FROM r""")
 def evidence_gates(spark, d):
-    """The evidence gate of each four claims, with the rate of critical ones that are bound (1.0 without any)."""
-    _, bound = _claims(spark, d)
-    n = lambda binding: F.count_if(F.col("binding") == binding)
-    status = bound.groupBy("claim_id", "claim_type").agg(n("bound").alias("bound"), n("invalid").alias("invalid"), n("cross_domain").alias("cross_domain"), F.count_if((F.col("binding") == "missing") & (F.col("claim_id") % 3 == 0)).alias("missing"))
-    critical = F.col("claim_type") == "definition"
-    report = status.groupBy(F.floor(F.col("claim_id") / 4).alias("domain_id")).agg(
-        F.sum("invalid").alias("invalid"), F.sum("cross_domain").alias("cross_domain"), F.sum("missing").alias("missing"), F.count_if((F.col("claim_type") != "ai_explanation") & (F.col("bound") == 0)).alias("failed_claims"),
-        F.count_if(critical).alias("critical"), F.count_if(critical & (F.col("bound") > 0)).alias("critical_bound"), F.count_if(F.col("claim_id") % 29 == 11).alias("without_provenance"),
-    )
+    """The evidence gate of each four claims, with the rate of critical ones that pass (1.0 without any)."""
+    claims, sources, nested = _evidence(spark, d)
+    of = claims.select("claim_id", F.floor(F.col("claim_id") / 4).alias("four"))
+    report = evidence.evidence_report(of, nested, sources, "four").withColumnRenamed("four", "domain_id")
     return rules.evidence_gate(report).select("domain_id", nm.ratio(F.col("critical_bound"), F.col("critical"), 1.0).alias("critical_rate"), "reasons", "gate")
 
 

@@ -66,3 +66,38 @@ def freeze(tables: dict[str, DataFrame], base: str, key: str) -> dict[str, int]:
             return {"new": new, "kept": total - new}
     files.delete(path(stage), True)
     return {"new": 0, "kept": total}
+
+
+def _versions(spark: SparkSession, base: str) -> list[int]:
+    files, path = _files(spark, base)
+    found = files.globStatus(path(f"{base}/version-*")) if files.exists(path(base)) else None
+    return sorted(int(s.getPath().getName().removeprefix("version-")) for s in found or [])
+
+
+def rewrite(tables: dict[str, DataFrame], base: str, key: str) -> int:
+    """Rewrites the keys (runs) of the first table in all tables at once, and returns the version that has them. What
+    the tables hold of other keys is left out, and a key that a table has no rows of has none from then on. Everything
+    is written to a folder that readers pass over; one rename makes it the newest version. A job that fails leaves the
+    old rows, and of two writers at once the second gets an error."""
+    main = next(iter(tables.values()))
+    spark = main.sparkSession
+    stage = f"{base}/_staged-{uuid.uuid4().hex}"
+    files, path = _files(spark, base)
+    main.select(key).filter(F.col(key).isNotNull()).distinct().write.parquet(f"{stage}/keys")
+    keys = spark.read.parquet(f"{stage}/keys")
+    for name, rows in tables.items():
+        rows.join(keys, key, "left_semi").write.parquet(f"{stage}/{name}")
+    version = (_versions(spark, base) or [0])[-1] + 1
+    target = path(f"{base}/version-{version:09d}")
+    if files.exists(target) or not files.rename(path(stage), target):
+        files.delete(path(stage), True)
+        raise FileExistsError(f"version {version} was written meanwhile")
+    return version
+
+
+def current_rows(spark: SparkSession, base: str, name: str, key: str) -> DataFrame:
+    """The rows of a table of the newest version of each key."""
+    version = F.regexp_extract(F.col("_metadata.file_path"), r"/version-([0-9]+)/", 1).cast("long")
+    newest = spark.read.parquet(f"{base}/version-*/keys").select(key, version.alias("_version")).groupBy(key).agg(F.max("_version").alias("_newest"))
+    rows = spark.read.parquet(f"{base}/version-*/{name}").select("*", version.alias("_version"))
+    return rows.join(newest, key).filter("_version = _newest").drop("_version", "_newest")
