@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marginalia.operators import domain
+from marginalia.operators import coverage, domain
 from marginalia.sources import commits
 from marginalia.streaming.tables import new_folder, written
 from marginalia.plans.registry import query
@@ -71,7 +71,7 @@ def domain_freeze(spark, d):
     return commits.frozen_hashes(spark, base).select("domain_id", "rows", "hash")
 
 
-MAP = MEMBERS + rf""",
+SPANS = MEMBERS + rf""",
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents WHERE doc_id % 11 <> 4),
 parts AS (SELECT m.domain_id, m.ordinal AS item, m.kind, l.place, l.text, CASE m.kind WHEN 'pdf' THEN 'page:' || (l.place // 3 + 1 + m.material_id * 10) WHEN 'ppt' THEN 'slide:' || (l.place + 1) WHEN 'doc' THEN 'body' ELSE 'seg:' || (l.place + 1) END AS locator, NULL AS ended FROM members m JOIN lines l ON l.doc_id = m.material_id WHERE m.state IN ('included', 'duplicate')
   UNION ALL SELECT m.domain_id, m.ordinal, m.kind, row_number() OVER (PARTITION BY m.domain_id ORDER BY s.turn) - 1, s.text, 'cue:' || (s.turn + 1), NULL FROM members m JOIN said s USING (domain_id) WHERE m.material_id IS NULL),
@@ -81,7 +81,9 @@ judged AS (SELECT *, row_number() OVER (PARTITION BY domain_id ORDER BY item, pl
 series AS (SELECT *, CASE WHEN page IS NOT NULL THEN CASE kind WHEN 'ppt' THEN 'P' ELSE 'D' END WHEN kind IN ('transcript', 'text', 'doc') THEN 'T' ELSE 'S' END AS prefix,
   min(ordinal) FILTER (reason IS NULL AND kind <> 'transcript') OVER (PARTITION BY domain_id, kind, t) AS first FROM judged),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY domain_id, prefix, page ORDER BY ended IS NOT NULL, ordinal)::VARCHAR AS n, reason IS NULL AND kind <> 'transcript' AND first < ordinal AS again FROM series)
-SELECT domain_id, ordinal, CASE WHEN page IS NOT NULL THEN prefix || lpad(page::VARCHAR, greatest(4, length(page::VARCHAR))::INT, '0') || '.' || lpad(n, greatest(2, length(n))::INT, '0') ELSE prefix || lpad(n, greatest(6, length(n))::INT, '0') END AS source_id, item, kind, locator, page AS page_no, length(t) AS chars, ceil(length(t) / 4.0)::BIGINT AS tokens, 'sha256:' || sha256(t) AS text_hash,
+"""
+
+MAP = SPANS + """SELECT domain_id, ordinal, CASE WHEN page IS NOT NULL THEN prefix || lpad(page::VARCHAR, greatest(4, length(page::VARCHAR))::INT, '0') || '.' || lpad(n, greatest(2, length(n))::INT, '0') ELSE prefix || lpad(n, greatest(6, length(n))::INT, '0') END AS source_id, item, kind, locator, page AS page_no, length(t) AS chars, ceil(length(t) / 4.0)::BIGINT AS tokens, 'sha256:' || sha256(t) AS text_hash,
   coalesce(ended, CASE WHEN reason IS NOT NULL THEN 'noise' WHEN again THEN 'duplicate' ELSE 'included' END) AS state, CASE WHEN again THEN 'duplicate_content_hash' ELSE reason END AS reason, CASE WHEN again THEN first END AS canonical_ordinal FROM numbered
 """
 
@@ -100,3 +102,44 @@ def _spans(spark, d):
 def source_map(spark, d):
     """The spans of these domains: each line of a document, each turn of the conversation."""
     return _spans(spark, d)
+
+
+VECTOR = SPANS + """,
+sp AS (SELECT domain_id, ordinal, item, kind, CASE WHEN page IS NOT NULL THEN page END AS page_no, coalesce(ended, CASE WHEN reason IS NOT NULL THEN 'noise' WHEN again THEN 'duplicate' ELSE 'included' END) AS state, length(t) % 9 <> 4 AS assigned, CASE WHEN kind = 'transcript' THEN ordinal * 1000 END AS start_ms, CASE WHEN kind = 'transcript' THEN ordinal * 1000 + length(t) END AS end_ms FROM numbered),
+x AS (SELECT sp.*, m.material_id % 3 <> 1 OR m.material_id IS NULL AS required, l.quality = 1 AS good, l.toxic = 0 AS clean, l.doc_id IS NOT NULL AS noted FROM sp JOIN members m ON m.domain_id = sp.domain_id AND m.ordinal = sp.item LEFT JOIN labels l ON l.doc_id = m.material_id),
+bs AS (SELECT domain_id, count(*) AS spans, count(*) FILTER (state = 'included') AS canonical, count(*) FILTER (state = 'duplicate') AS duplicates, count(*) FILTER (state = 'noise') AS noise, count(*) FILTER (state = 'unsupported') AS unsupported, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'excluded_with_reason') AS excluded,
+  count(*) FILTER (assigned) AS planned, count(*) FILTER (state = 'included' AND NOT assigned) AS unassigned, count(*) FILTER (state = 'included' AND good) AS processed, count(*) FILTER (state = 'included' AND clean) AS legacy, count(*) FILTER (state = 'included' AND NOT noted) AS silent, count(*) FILTER (state = 'included' AND required AND good IS NOT TRUE) AS required_unprocessed,
+  count(*) FILTER (state = 'included' AND kind = 'transcript') AS timeline, count(*) FILTER (state = 'included' AND kind = 'transcript' AND good) AS timeline_processed, min(start_ms) FILTER (state = 'included') AS start_ms, max(end_ms) FILTER (state = 'included') AS end_ms,
+  count(DISTINCT page_no) FILTER (state = 'included' AND kind = 'ppt') AS pages, count(DISTINCT page_no) FILTER (state = 'included' AND kind = 'ppt' AND good) AS pages_processed FROM x GROUP BY 1),
+st AS (SELECT domain_id, item, count(*) FILTER (state IN ('included', 'duplicate')) AS standing FROM x GROUP BY 1, 2),
+mi AS (SELECT m.*, m.material_id % 3 <> 1 OR m.material_id IS NULL AS required, coalesce(st.standing, 0) AS standing FROM members m LEFT JOIN st ON st.domain_id = m.domain_id AND st.item = m.ordinal),
+bi AS (SELECT domain_id, count(*) AS items, count(*) FILTER (state <> 'duplicate') AS unique_items, count(*) FILTER (state IN ('included', 'duplicate') OR reason IS NOT NULL) AS accounted_items, count(*) FILTER (required) AS required, count(*) FILTER (required AND state = 'failed') AS required_failed, count(*) FILTER (required AND state = 'unsupported') AS required_unsupported,
+  count(*) FILTER (required AND state = 'excluded_with_reason') AS required_excluded, count(*) FILTER (required AND state <> 'duplicate' AND standing = 0) AS required_bare FROM mi GROUP BY 1),
+sg AS (SELECT domain_id, item, CASE WHEN bool_or(good) THEN 'succeeded' WHEN bool_or(noted) THEN 'failed' ELSE 'planned' END AS status, coalesce(bool_and(clean), false) AS merged, count(DISTINCT t_state) AS structures, count(DISTINCT t_state) FILTER (t_state <> 'noise') AS structures_kept, count(*) FILTER (state = 'included') AS refs_total, count(*) FILTER (state = 'included' AND assigned) AS refs_used FROM (SELECT *, state AS t_state FROM x) GROUP BY 1, 2),
+rt AS (SELECT *, CASE WHEN refs_total > 0 THEN round(refs_used / refs_total, 6) END AS rate FROM sg),
+bg AS (SELECT domain_id, count(*) AS segments, count(*) FILTER (status = 'succeeded') AS segments_succeeded, count(*) FILTER (status = 'failed') AS segments_failed, count(*) FILTER (merged) AS segments_merged, sum(structures)::BIGINT AS structures, (sum(structures) - sum(structures_kept))::BIGINT AS structures_dropped, min(rate) AS ref_rate_min, round(avg(rate), 6) AS ref_rate_mean, count(*) FILTER (rate < 0.3) AS ref_rate_low FROM rt GROUP BY 1)
+SELECT bi.*, bs.* EXCLUDE (domain_id), bg.* EXCLUDE (domain_id), items - accounted_items AS unaccounted_items, canonical - processed AS refs_invalid, round(accounted_items / items, 6) AS accounting, coalesce(round(processed / nullif(canonical, 0), 6), 0.0) AS semantic, coalesce(round(timeline_processed / nullif(timeline, 0), 6), 0.0) AS timeline_rate,
+  coalesce(round(legacy / nullif(canonical, 0), 6), 0.0) AS legacy_rate, coalesce(round(pages_processed / nullif(pages, 0), 6), 0.0) AS page_rate, coalesce(round(segments_merged / nullif(segments, 0), 6), 0.0) AS merge_rate FROM bi LEFT JOIN bs USING (domain_id) LEFT JOIN bg USING (domain_id)
+"""
+
+
+@query(VECTOR)
+def coverage_vector(spark, d):
+    """All metrics of the five domains: labels are what the ledger says of a document's spans, and each item is a
+    segment."""
+    i = F.col("material_id")
+    items = written(_members(spark, d), "members").select("domain_id", "ordinal", "material_id", "state", "reason", ((i % 3 != 1) | i.isNull()).alias("required"))
+    ms = F.when(F.col("kind") == "transcript", F.col("ordinal") * 1000)
+    spans = written(_spans(spark, d), "spans").select("domain_id", "ordinal", "item", "kind", F.when(F.col("kind").isin("pdf", "ppt", "doc"), F.col("page_no")).alias("page_no"), "state", "canonical_ordinal", ms.alias("start_ms"), (ms + F.col("chars")).alias("end_ms"), (F.col("chars") % 9 != 4).alias("assigned"))
+    labels = load(spark, d, "labels").select(F.col("doc_id").alias("material_id"), "quality", "toxic")
+    marked = spans.join(items.select("domain_id", F.col("ordinal").alias("item"), "material_id"), ["domain_id", "item"]).join(labels, "material_id", "left")
+    noted = marked.filter("quality IS NOT NULL")
+    understood = noted.select("domain_id", "ordinal", F.lit(coverage.UNDERSTOOD).alias("stage"), F.when(F.col("quality") == 1, "processed").otherwise("not_used").alias("outcome"))
+    legacy = noted.filter("toxic = 0").select("domain_id", "ordinal", F.lit(coverage.LEGACY).alias("stage"), F.lit("processed").alias("outcome"))
+    live = F.col("state") == "included"
+    status = F.when(F.max("quality") == 1, "succeeded").when(F.count("quality") > 0, "failed").otherwise("planned")
+    segments = marked.groupBy("domain_id", "item").agg(
+        status.alias("status"), F.coalesce(F.max("toxic") == 0, F.lit(False)).alias("merged"), F.count_distinct("state").alias("structures"), F.count_distinct(F.when(F.col("state") != "noise", F.col("state"))).alias("structures_kept"),
+        F.count_if(live).alias("refs_total"), F.count_if(live & F.col("assigned")).alias("refs_used"),
+    )
+    return coverage.coverage_vector(items, spans, understood.union(understood).union(legacy), segments)

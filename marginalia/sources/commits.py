@@ -101,3 +101,26 @@ def current_rows(spark: SparkSession, base: str, name: str, key: str) -> DataFra
     newest = spark.read.parquet(f"{base}/version-*/keys").select(key, version.alias("_version")).groupBy(key).agg(F.max("_version").alias("_newest"))
     rows = spark.read.parquet(f"{base}/version-*/{name}").select("*", version.alias("_version"))
     return rows.join(newest, key).filter("_version = _newest").drop("_version", "_newest")
+
+
+def bootstrap(rows: DataFrame, base: str, key: str) -> bool:
+    """Writes the rows, one for each key (the least row), if nothing was written to the folder before; says whether it
+    did. Run again, or by two at once, it leaves one set of rows: only one can name the first version."""
+    if _versions(rows.sparkSession, base):
+        return False
+    once = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*[c for c in rows.columns if c != key])).alias("_of")).select(key, "_of.*")
+    try:
+        rewrite({"rows": once}, base, key)
+    except FileExistsError:
+        return False
+    return True
+
+
+def seeded_calendar(courses: DataFrame, events: str = "events") -> DataFrame:
+    """(event_id, course_id, name, date) of courses (course_id, start: a term's first Monday, events: an array of structs
+    of name, week and weekday from 1): dates by week arithmetic. event_id: a digest of course, name and date, so seeding
+    again makes the same keys. Weeks and weekdays out of range, and courses without a start, give no date and are left
+    out."""
+    each = courses.select("course_id", "start", F.inline(events)).filter((F.col("week") >= 1) & F.col("weekday").between(1, 7) & F.col("start").isNotNull())
+    date = F.date_add(F.col("start").cast("date"), ((F.col("week") - 1) * 7 + F.col("weekday") - 1).cast("int"))
+    return each.select("course_id", "name", date.alias("date")).select(F.sha2(F.concat_ws("|", F.col("course_id").cast("string"), "name", F.col("date").cast("string")), 256).alias("event_id"), "*")

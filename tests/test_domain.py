@@ -114,3 +114,14 @@ def test_a_job_that_fails_midway_leaves_readers_with_the_old(spark, tmp_path):
     assert [tuple(r) for r in commits.frozen_rows(spark, base, "claims").collect()] == [(1, "x")]
     commits.freeze({"members": frame(spark, [(2, "b")]), "claims": claims([(2, "y")])}, base, "domain")
     assert commits.frozen_rows(spark, base, "claims").count() == 2
+
+
+def test_a_calendar_is_seeded_once(spark, tmp_path):
+    base = str(tmp_path / "calendar")
+    rows = [(1, "2024-02-26", [("exam", 2, 3), ("exam", 2, 3), ("late", 0, 1), ("odd", 1, 8)]), (2, None, [("exam", 1, 1)]), (3, "2024-02-26", [("start", 1, 1)]), (4, "2024-02-26", [])]
+    courses = spark.createDataFrame(rows, "course_id long, start string, events array<struct<name: string, week: int, weekday: int>>")
+    seeds = commits.seeded_calendar(courses)
+    assert commits.bootstrap(seeds, base, "event_id") and not commits.bootstrap(seeds, base, "event_id")
+    assert not commits.bootstrap(seeds.withColumn("name", F.lit("other")), base, "event_id")
+    got = sorted((r["course_id"], r["name"], str(r["date"])) for r in commits.current_rows(spark, base, "rows", "event_id").collect())
+    assert got == [(1, "exam", "2024-03-06"), (3, "start", "2024-02-26")]
