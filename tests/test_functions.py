@@ -14,7 +14,7 @@ def one(spark, column, **values):
 
 
 @pytest.mark.parametrize(("raw", "clean"), [
-    ("a\r\nb\rc", "a\nb\nc"), ("inter-\nnal", "internal"), ("so­\nft", "soft"), ("​x﻿ y　z", "x y z"),
+    ("a\r\nb\rc", "a\nb\nc"), ("inter-\nnal", "internal"), ("so\xad\nft", "so\xad\nft"), ("Anti-\nHero", "AntiHero"), ("é-\nt 1-\n2", "é-\nt 1-\n2"), ("\u2003a\u2003\n\x85b\x1c", "a\nb"), ("光\u2003的", "光的"), ("​x﻿ y　z", "x y z"),
     ("  a  \n\n\n\n b ", "a\n\nb"), ("中 文 x", "中文 x"), ("", ""), (" \n ", ""),
 ])
 def test_normalize_text(spark, raw, clean):
