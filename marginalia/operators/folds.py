@@ -7,8 +7,10 @@ they are and are joined back by (domain, ordinal).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import islice
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,11 +18,11 @@ from pyspark.sql import DataFrame
 BATCH = 10_000
 
 
-KINDS = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+KINDS = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 
 
-def streamed(rows: DataFrame, columns: list[str], out: str, fold: Callable[[Iterator[tuple]], Iterator[tuple]], key_col: str = "domain_id", order_col: str = "ordinal") -> DataFrame:
-    """(key, *out) of ``fold`` over each key's (order, *columns), in order."""
+def streamed(rows: DataFrame, columns: list[str], out: str, fold: Callable[[Iterator[tuple]], Iterator[tuple]], key_col: str = "domain_id", order_col: str = "ordinal", then: Sequence[str] = ()) -> DataFrame:
+    """(key, *out) of ``fold`` over each key's (order, *columns), in order of the first and then of ``then``."""
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folded = fold(row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in (order_col, *columns))))
         while held := list(islice(folded, BATCH)):
@@ -28,7 +30,7 @@ def streamed(rows: DataFrame, columns: list[str], out: str, fold: Callable[[Iter
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(held), key[0].type), *values], names=[key_col, *names])
 
     names, kinds = zip(*[(n, KINDS[k]) for n, k in (field.split() for field in out.split(", "))])
-    dealt = rows.select(key_col, order_col, *columns).repartition(key_col).sortWithinPartitions(key_col, order_col)
+    dealt = rows.select(key_col, order_col, *columns).repartition(key_col).sortWithinPartitions(key_col, order_col, *then)
     return dealt.groupBy(key_col).applyInArrow(run, f"{key_col} {rows.schema[key_col].dataType.simpleString()}, {out}")
 
 
@@ -99,39 +101,50 @@ def planned_segments(spans: DataFrame, capacity: int, least_fill: float = 0.25)
     return streamed(spans, ["tokens", "preferred", "boundary"], "ordinal long, segment long", fold)
 
 
+def halves(sums: list[int], fixed: int, each: int, budget: int) -> list[tuple[int, int]]:
+    """Ranges (from, to) of spans, in order, that each cost at most ``budget``: ``fixed``, ``each`` for a span, and its
+    weight. ``sums`` are the running sums of the weights, from 0. What costs more is cut where half of its weight is
+    reached, again and again; a single span stays as it is."""
+    fit, open_ = [], [(0, len(sums) - 1)]
+    while open_:
+        low, high = open_.pop()
+        weight = sums[high] - sums[low]
+        if high - low <= 1 or fixed + each * (high - low) + weight <= budget:
+            fit.append((low, high))
+            continue
+        cut = bisect_left(sums, sums[low] + max(weight // 2, 1), low + 1, high - 1)
+        open_ += [(cut, high), (low, cut)]
+    return fit
+
+
 def refit_segments(planned: DataFrame, budget: int) -> DataFrame:
     """(domain_id, segment, ordinal, overlap): segments over the budget lose their overlap, then are halved by weight
     until they fit; primary spans stay, in order. ``planned``: domain_id, segment, ordinal, tokens, overlap. A single
-    span over the budget is an error. Halving depends on what came of the last, so a domain's rows meet in one batch:
-    numbers only, as many as the domain has spans."""
-    import pandas as pd
-
-    def fit(rows: list[tuple[int, int, bool]]) -> list[list[tuple[int, int, bool]]]:
-        if sum(t for _, t, _ in rows) <= budget:
-            return [rows]
-        primary = [r for r in rows if not r[2]]
-        if len(primary) < len(rows):
-            return fit(primary)
-        if len(primary) == 1:
-            raise ValueError(f"span {primary[0][0]} is over the budget")
-        weight, half, cut = 0, sum(max(1, t) for _, t, _ in primary) / 2, 0
-        for cut, (_, t, _) in enumerate(primary, 1):
-            weight += max(1, t)
-            if weight >= half:
-                break
-        cut = min(cut, len(primary) - 1)
-        return fit(primary[:cut]) + fit(primary[cut:])
-
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        out, number = [], 0
-        for _, part in batch.sort_values(["segment", "ordinal"]).groupby("segment", sort=True):
-            for piece in fit([(int(o), int(t), bool(v)) for o, t, v in zip(part["ordinal"], part["tokens"], part["overlap"])]):
-                number += 1
-                out += [(batch["domain_id"].iloc[0], number, o, v) for o, _, v in piece]
-        return pd.DataFrame(out, columns=["domain_id", "segment", "ordinal", "overlap"])
-
-    kind = planned.schema["domain_id"].dataType.simpleString()
-    return planned.groupBy("domain_id").applyInPandas(run, f"domain_id {kind}, segment long, ordinal long, overlap boolean")
+    span over the budget is an error. Spans count at least one token when halved. The numbers of one segment are held
+    at a time, however many a domain has."""
+    def fit(held: list[tuple[int, int, bool]], number: int) -> Iterator[tuple]:
+        if sum(t for _, t, _ in held) > budget:
+            held = [r for r in held if not r[2]]
+        if any(t > budget for _, t, _ in held):
+            raise ValueError(f"span {next(o for o, t, _ in held if t > budget)} is over the budget")
+        if sum(t for _, t, _ in held) <= budget:
+            parts = [(0, len(held))]
+        else:
+            sums = [0]
+            for _, t, _ in held:
+                sums.append(sums[-1] + max(t, 1))
+            parts = halves(sums, 0, 0, budget)
+        for number, (low, high) in enumerate(parts, number):
+            yield from ((number, o, v) for o, _, v in held[low:high])
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        number = 0
+        for _, part in groupby(rows, key=itemgetter(0)):
+            for row in fit([(o, t or 0, bool(v)) for _, o, t, v in part], number + 1):
+                number = row[0]
+                yield row
+
+    return streamed(planned.withColumnRenamed("segment", "_segment"), ["ordinal", "tokens", "overlap"], "segment long, ordinal long, overlap boolean", fold, order_col="_segment", then=["ordinal"])
 
 
 def attempt_chain(attempts: DataFrame) -> DataFrame:
