@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import normalize_text
+from marginalia.operators import sorted_runs
 from marginalia.streaming.tables import written
 
 
@@ -19,15 +20,21 @@ def exact_canonical(df: DataFrame, id_col: str, text: Column, *kinds: str) -> Da
 
 
 def prefix_contained(df: DataFrame, id_col: str, text: Column, least: int = 120, kind: str | None = None) -> DataFrame:
-    """(id, container_id): rows whose whole compact text of at least ``least`` characters starts an earlier row's. Rows
-    meet by the hash of their first ``least`` characters; equal texts count as contained in the first of them."""
-    keys = [kind] if kind else []
-    compact = df.select(id_col, *keys, F.lower(F.regexp_replace(text, r"\s+", "")).alias("_text")).filter(F.length("_text") >= least)
-    blocked = compact.withColumn("_block", F.sha2(F.substring("_text", 1, least), 256))
-    one = blocked.groupBy(*keys, "_block", "_text").agg(F.min(id_col).alias("_first"))  # equal texts meet once
-    other = one.select(*keys, "_block", F.col("_text").alias("_longer"), F.col("_first").alias("container_id"))
-    holds = one.join(other, [*keys, "_block"]).filter((F.col("container_id") < F.col("_first")) & F.startswith("_longer", "_text"))
-    best = holds.groupBy(*keys, "_text").agg(F.min("container_id").alias("container_id"))
-    contained = compact.join(one.select(*keys, "_text", "_first"), [*keys, "_text"]).join(best, [*keys, "_text"], "left")
-    found = F.least("container_id", F.when(F.col("_first") < F.col(id_col), F.col("_first")))
-    return contained.select(id_col, *keys, found.alias("container_id")).filter("container_id IS NOT NULL")
+    """(id, container_id): rows whose whole compact text of at least ``least`` characters starts an earlier row's of the
+    same kind; of several, the first. Equal texts count as contained in the first of them. Rows without an id, a text or
+    (if asked for) a kind take no part.
+
+    In sorted order a text's containers follow it without a gap, so each task walks one range of the sorted texts once,
+    and what ranges leave open is settled from a few rows a range. Texts are grouped and sorted once each; nothing grows
+    with the number of pairs that share a head.
+    """
+    compact = F.lower(F.regexp_replace(text, r"\s+", ""))
+    rows = df.select(id_col, *([kind] if kind else []), compact.alias("_text")).filter((F.length("_text") >= least) & F.col(id_col).isNotNull())
+    if kind:  # a fixed length before each text keeps kinds apart
+        rows = rows.filter(F.col(kind).isNotNull()).withColumn("_text", F.concat(F.md5(F.col(kind).cast("string")), "_text"))
+    rows = rows.withColumn("_hash", F.unhex(F.sha2("_text", 256)))
+    one = written(rows.groupBy("_hash", "_text").agg(F.min(id_col).alias("_first")), "prefix-texts")
+    best = sorted_runs.least_in_runs(one.select(F.col("_text").cast("binary").alias("text"), F.col("_hash").alias("hash"), F.col("_first").alias("first")))
+    keys = [id_col, *([kind] if kind else [])]
+    found = rows.select(*keys, "_hash").join(one.select("_hash", "_first"), "_hash").join(best.withColumnsRenamed({"hash": "_hash", "best": "_best"}), "_hash", "left")
+    return found.select(*keys, F.coalesce("_best", F.when(F.col("_first") < F.col(id_col), F.col("_first"))).alias("container_id")).filter("container_id IS NOT NULL")

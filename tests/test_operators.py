@@ -10,7 +10,7 @@ from marginalia.functions.json_text import first_json
 from marginalia.operators import chunking as ch
 from marginalia import plans
 from marginalia.plans import application
-from marginalia.operators import dedup, folds, graph, retrieval, rules
+from marginalia.operators import dedup, folds, graph, retrieval, rules, sorted_runs
 from marginalia.operators import relational as op
 from marginalia.operators import windows as wn
 from marginalia.sources import files
@@ -63,6 +63,33 @@ def test_prefix_containment(spark):
     base = "the quick brown fox " * 10
     df = spark.createDataFrame([(1, base + "tail"), (2, base), (3, base.upper()), (4, "short"), (5, "x" + base), (6, None)], "id long, t string")
     assert sorted(map(tuple, dedup.prefix_contained(df, "id", F.col("t")).collect())) == [(2, 1), (3, 1)]
+    assert dedup.prefix_contained(df.limit(0), "id", F.col("t")).count() == 0
+    kinds = df.withColumn("k", F.when(F.col("id") != 2, "x")).unionByName(df.filter("id = 2").withColumn("id", F.lit(7)).withColumn("k", F.lit("y")))
+    assert sorted(map(tuple, dedup.prefix_contained(kinds, "id", F.col("t"), kind="k").collect())) == [(3, "x", 1)]
+
+
+def test_prefix_runs_over_many_ranges(spark):
+    """Texts of two letters after one head, so that runs nest, cover whole ranges and end inside them."""
+    drawn = random.Random(8)
+    texts = sorted({b"h" * 5 + bytes(drawn.choice(b"ab") for _ in range(drawn.randint(0, 9))) for _ in range(500)} | {"hhhhh\u00e9".encode(), "hhhhh\u00e9\U0001f600".encode()})
+    ids = drawn.sample(range(10_000), len(texts))
+    df = spark.createDataFrame([(bytearray(t), bytearray(t[::-1]), i) for t, i in zip(texts, ids)], "text binary, hash binary, first long").repartition(5)
+    want = {}
+    for t, i in zip(texts, ids):
+        inside = [j for u, j in zip(texts, ids) if u != t and u.startswith(t) and j < i]
+        if inside:
+            want[t[::-1]] = min(inside)
+    for ranges in (1, 3, 40, 300):
+        got = [(bytes(r["hash"]), r["best"]) for r in sorted_runs.least_in_runs(df, ranges).collect()]
+        assert len(got) == len(want) and dict(got) == want
+
+
+def test_prefix_containment_of_one_head_is_no_square(spark):
+    """40,000 texts of one head: as pairs they would be 1.6 billion."""
+    df = spark.range(40_000).select("id", F.concat(F.lit("licence " * 40), F.sha2(F.col("id").cast("string"), 256), F.when(F.col("id") % 100 == 0, F.lit("")).otherwise("more")).alias("t"))
+    more = df.unionByName(df.filter("id % 1000 = 500").select((F.col("id") + 100_000).alias("id"), F.substring("t", 1, 370).alias("t")))
+    got = dict(map(tuple, dedup.prefix_contained(more, "id", F.col("t")).collect()))
+    assert got == {i + 100_000: i for i in range(500, 40_000, 1000)}
 
 
 def test_layers_refuse_cycles_and_gaps(spark):
