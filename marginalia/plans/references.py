@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.operators.blobs import blob_history
 from marginalia.operators.references import Reference, delete_cascade, orphans, project_units
 from marginalia.plans.registry import query
 from marginalia.tables import load
@@ -63,3 +64,28 @@ SELECT unit_id, c.conv_id * 1000 + c.turn AS span_id FROM p JOIN conversations c
 UNION ALL SELECT unit_id, -unit_id FROM old WHERE unit_id NOT IN (SELECT unit_id FROM p)""")
 def projected_links(spark, d):
     return _projected(spark, d)[1]
+
+
+def _actions(spark, d):
+    """Every user's events as actions on one blob: clicks and purchases add, views drop, other kinds collect, and fail if
+    of a high value."""
+    kind, user = F.col("event_type"), F.col("user_id")
+    other = F.when(F.col("value") > 60, "collect_failed").otherwise("collect")
+    action = F.when(kind.isin("click", "purchase"), "add").when(kind == "view", "drop").otherwise(other)
+    return load(spark, d, "events").select(user.alias("blob"), "event_id", action.alias("action"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id AS blob, event_id, CASE WHEN event_type IN ('click', 'purchase') THEN 'add' WHEN event_type = 'view' THEN 'drop' WHEN value > 60 THEN 'collect_failed' ELSE 'collect' END AS action, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+f AS (SELECT blob, event_id, n, CASE WHEN action = 'add' THEN 'live' END AS state, CASE WHEN action = 'add' THEN 1 ELSE 0 END AS refs, CASE WHEN action = 'add' THEN 'created' ELSE 'missing' END AS result, 0 AS open_tasks FROM e WHERE n = 1
+UNION ALL SELECT e.blob, e.event_id, e.n,
+  CASE r.result WHEN 'created' THEN 'live' WHEN 'revived' THEN 'live' WHEN 'pending' THEN 'pending_delete' WHEN 'deleted' THEN 'deleted' ELSE f.state END,
+  CASE r.result WHEN 'created' THEN 1 WHEN 'revived' THEN 1 WHEN 'reused' THEN f.refs + 1 WHEN 'pending' THEN f.refs - 1 WHEN 'released' THEN f.refs - 1 ELSE f.refs END, r.result,
+  CASE r.result WHEN 'deleted' THEN 0 WHEN 'failed' THEN f.open_tasks + 1 ELSE f.open_tasks END
+FROM f JOIN e ON e.blob = f.blob AND e.n = f.n + 1, LATERAL (SELECT CASE WHEN e.action = 'add' THEN CASE f.state WHEN 'live' THEN 'reused' WHEN 'pending_delete' THEN 'revived' WHEN 'deleted' THEN 'revived' ELSE 'created' END
+  WHEN f.state IS NULL THEN 'missing' WHEN e.action = 'drop' THEN CASE WHEN f.refs <= 1 AND f.state = 'live' THEN 'pending' ELSE 'released' END
+  WHEN f.state = 'deleted' THEN 'already_deleted' WHEN f.refs > 0 THEN 'still_referenced' WHEN e.action = 'collect' THEN 'deleted' ELSE 'failed' END AS result) r)
+SELECT blob, event_id, state, refs::BIGINT AS refs, result, open_tasks::BIGINT AS open_tasks FROM f""")
+def blob_lifecycle(spark, d):
+    """Blobs that are created, shared, dropped, collected and brought back."""
+    return blob_history(_actions(spark, d))
