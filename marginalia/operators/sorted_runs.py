@@ -21,6 +21,8 @@ from marginalia.streaming.tables import written
 
 DONE, HEAD, LAST, STEP, OPEN = range(5)
 BATCH = 1_000
+#: Whole texts are sampled for the bounds of ranges and sent to the driver: a few for each range, not Spark's hundred.
+SAMPLE, SAMPLED = "spark.sql.execution.rangeExchange.sampleSizePerPartition", 8
 NAMES = ["part", "what", "hash", "size", "low", "first", "best", "text"]
 
 
@@ -128,6 +130,12 @@ def least_in_runs(texts: DataFrame, ranges: int | None = None) -> DataFrame:
         yield from batches_of(settle(rows_of(batches, NAMES)), ["hash", "best"], [pa.binary(), ids])
 
     dealt = texts.repartitionByRange(ranges, "text") if ranges else texts.repartitionByRange("text")
-    runs = written(dealt.sortWithinPartitions("text").mapInArrow(first_pass, schema), "prefix-runs")
+    conf = texts.sparkSession.conf
+    before = conf.get(SAMPLE)
+    conf.set(SAMPLE, SAMPLED)
+    try:
+        runs = written(dealt.sortWithinPartitions("text").mapInArrow(first_pass, schema), "prefix-runs")
+    finally:
+        conf.set(SAMPLE, before)
     ends = runs.filter(f"what <> {DONE}").repartition(1).sortWithinPartitions("part", "what")
     return runs.filter(f"what = {DONE}").select("hash", "best").unionByName(ends.mapInArrow(second_pass, f"hash binary, best {kind}"))
