@@ -96,7 +96,7 @@ SELECT event_id, round(reserved, 4) AS reserved, CASE WHEN calls > 50 THEN 'call
 def budget_accounting(spark, d):
     """Running reservations of each user against caps on calls, tokens and the size of one call."""
     w = W.partitionBy("user_id").orderBy("event_id")
-    r = load(spark, d, "events").select("event_id", "value", F.sum("value").over(w).alias("reserved"), F.row_number().over(w).alias("calls"))
+    r = load(spark, d, "events").select("event_id", "value", nm.exact_sum(F.col("value"), w).alias("reserved"), F.row_number().over(w).alias("calls"))
     verdict = F.when(F.col("calls") > 50, "call_cap").when(F.col("reserved") > 1500, "token_cap").when(F.col("value") > 95, "size_cap").otherwise("ok")
     return r.select("event_id", F.round("reserved", 4).alias("reserved"), verdict.alias("verdict"))
 

@@ -93,3 +93,14 @@ def test_rare_ideographs_are_wide_and_close(spark):
 
 def test_thinking_of_both_spellings(spark):
     assert one(spark, tx.without_thinking(F.col("t")), t="<thinking>a</thinking>b<thinking>c </ thinking >d<THINK>e") == "bc d"
+
+
+def test_a_sum_that_meets_a_cap_is_not_over_it(spark, tmp_path):
+    from marginalia.plans import QUERIES
+
+    values = {1: [155.41, 411.15, 410.45, 509.6, 13.39], 2: [0.1, 0.2, 1e300, -1e300]}
+    rows = [(10 * u + i, u, v) for u, of in values.items() for i, v in enumerate(of)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    made = {r["event_id"]: (r["reserved"], r["verdict"]) for r in QUERIES["budget_accounting"](spark, str(tmp_path)).collect()}
+    assert made[14] == (1500.0, "ok")
+    assert made[21][0] == 0.3 and made[22] == (1e300, "token_cap")
