@@ -270,6 +270,27 @@ def part_leaders(table: pa.Table, percent: int, schema: pa.Schema) -> pa.Table:
     return of.select(schema.names).cast(schema)
 
 
+def sharing(segments: DataFrame, percent: int) -> DataFrame:
+    """PAIR rows without b of the documents that hold an n-gram which another one holds too, and that may link with one
+    of its lengths. A part of a fragment doesn't see what its documents share with those of other parts; all that do are
+    named, so that the second round compares them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.frombuffer(x, dtype=np.int64) for x in batch.column("tokens").to_pylist()]
+            row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            place = np.concatenate([np.arange(s, s + len(p)) for s, p in zip(batch.column("start").to_pylist(), parts)]) if parts else row
+            tokens = np.concatenate(parts) if parts else row
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(place, pa.int64()), *(batch.column(c).take(pa.array(row)) for c in ("class", "doc_id", "n"))], names=["token", "place", "class", "doc_id", "n"])
+
+    postings = segments.mapInArrow(run, "token long, place long, class binary, doc_id long, n long")
+    held = postings.groupBy("token").agg(F.count("*").alias("documents"), F.min("n").alias("shortest")).filter("documents > 1").drop("documents")
+    n, shortest = F.col("n"), F.greatest("shortest", F.ceil(F.col("n") * percent / 100))
+    least = F.ceil((n + shortest) * percent / (100 + percent))
+    gone = [F.lit(None).cast(t).alias(c) for c, t in (("b", "binary"), ("b_doc", "long"), ("b_n", "long"))]
+    of = postings.join(held, "token").filter(F.col("place") <= n - least).select(F.col("class").alias("a"), gone[0], F.col("doc_id").alias("a_doc"), gone[1], n.alias("a_n"), gone[2])
+    return of.distinct()
+
+
 def fragment_rows(classes: DataFrame, order: Order) -> DataFrame:
     """(fragment, rows): how many classes have n-grams of their prefix in each fragment."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +329,8 @@ def candidate_pairs(segments: DataFrame, percent: int, across: bool, large: int,
         split = segments.join(hot, "fragment", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0)))
         found = split.drop("parts").groupBy("fragment", "part").applyInArrow(pairs, PAIR)
         leading = split.filter("parts IS NOT NULL").drop("parts").groupBy("fragment", "part").applyInArrow(lambda table: part_leaders(table, percent, plain), SEGMENT)
-        return found.union(leading.groupBy("fragment").applyInArrow(pairs, PAIR)).distinct()
+        named = sharing(segments.join(F.broadcast(hot.select("fragment")), "fragment", "left_semi"), percent)
+        return found.union(leading.groupBy("fragment").applyInArrow(pairs, PAIR)).union(named).distinct()
     labels = segments.join(hot.select("fragment"), "fragment", "left_semi").groupBy("fragment", "label").count()
     shares = labels.groupBy("fragment").agg(F.max_by("label", "count").alias("most"), F.sum("count").alias("all"), F.max("count").alias("top"))
     ways = stored(shares.join(hot, "fragment").select("fragment", "parts", F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top")) / most_rows)).cast("int").alias("blocks"), "most"))

@@ -81,3 +81,14 @@ def test_template_documents_and_a_large_group_of_near_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     for most in (30, 65_536):
         assert sorted(map(tuple, similarity_components(df, 5, 80, most_rows=most).collect())) == brute_force(rows, 5, 80)
+
+
+def test_pairs_whose_ends_are_alone_in_their_parts(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):  # links of two, and of lengths that no leader is near
+        words = [f"v{i}x{j}" for j in range(rng.randrange(12, 60))]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(words + ["tail"])), (3 * i + 2, " ".join(words[: len(words) // 2]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for most in (1, 3):
+        assert sorted(map(tuple, similarity_components(df, 3, 90, most_rows=most).collect())) == brute_force(rows, 3, 90)
