@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.text import content_hash, estimate_tokens, is_parse_marker, noise_verdict, normalize_text, page_number, paged_id, sequence_id
 from marginalia.operators.rules import item_state, span_reason
 from marginalia.operators.windows import group_ordinals
+from marginalia.streaming.tables import written
 
 #: Prefixes of source ids, by kind, for spans with and without a page.
 PAGE_PREFIXES = {"ppt": "P", "pdf": "D", "doc": "D"}
@@ -43,13 +44,13 @@ def domain_members(materials: DataFrame, transcripts: DataFrame) -> DataFrame:
     out; a null text is empty, and its item has no hash and is no duplicate.
     """
     named = materials.filter("domain_id IS NOT NULL AND material_id IS NOT NULL")
-    clean = normalize_text(F.col("text"))
+    clean = F.col("clean")
     of = item_state(F.col("kind"), F.col("status"), F.col("error"))
-    items = named.select("domain_id", "position", "material_id", F.coalesce("kind", F.lit("unknown")).alias("kind"), "locator", F.coalesce(F.length("text"), F.lit(0)).alias("raw_chars"), F.when(clean != "", content_hash(clean)).alias("content_hash"), of["state"].alias("state"), of["reason"].alias("reason"))
+    items = named.withColumn("clean", normalize_text(F.col("text"))).select("domain_id", "position", "material_id", F.coalesce("kind", F.lit("unknown")).alias("kind"), "locator", F.coalesce(F.length("text"), F.lit(0)).alias("raw_chars"), F.when(clean != "", content_hash(clean)).alias("content_hash"), of["state"].alias("state"), of["reason"].alias("reason"))
     rest = [c for c in items.columns if c not in ("domain_id", "material_id")]
     once = items.groupBy("domain_id", "material_id").agg(F.min(F.struct(*rest)).alias("of")).select("domain_id", "material_id", "of.*")
     spoken = transcripts.filter(F.col("domain_id").isNotNull() & F.coalesce(F.trim("text") != "", F.lit(False)))
-    last = spoken.select("domain_id", F.lit(None).cast("long").alias("position"), F.lit(None).cast(items.schema["material_id"].dataType).alias("material_id"), F.lit("transcript").alias("kind"), F.lit("transcript:inline").alias("locator"), F.length("text").alias("raw_chars"), content_hash(clean).alias("content_hash"), F.lit("included").alias("state"), F.lit(None).cast("string").alias("reason"))
+    last = spoken.select("domain_id", F.lit(None).cast("long").alias("position"), F.lit(None).cast(items.schema["material_id"].dataType).alias("material_id"), F.lit("transcript").alias("kind"), F.lit("transcript:inline").alias("locator"), F.length("text").alias("raw_chars"), content_hash(normalize_text(F.col("text"))).alias("content_hash"), F.lit("included").alias("state"), F.lit(None).cast("string").alias("reason"))
     every = once.unionByName(last).withColumn("inline", F.col("material_id").isNull())
     numbered = group_ordinals(every, ["domain_id"], ["inline", "position", "material_id"])
     alike = first_alike(numbered, ["domain_id", "kind", "content_hash"], (F.col("state") == "included") & F.col("content_hash").isNotNull(), "ordinal")
@@ -84,18 +85,21 @@ def source_map(members: DataFrame, chunks: DataFrame, statuses: DataFrame, cues:
     own = members.select("domain_id", "material_id", F.col("ordinal").alias("item"), "kind", "state")
     inline = own.filter("material_id IS NULL").drop("material_id")
     live = own.filter(~F.col("state").isin("failed", "unsupported", "excluded_with_reason") & F.col("material_id").isNotNull())
-    spoken = inline.join(cues, "domain_id").select("domain_id", "item", "kind", "place", "locator", "text")
-    parts = live.join(chunks, ["domain_id", "material_id"]).select("domain_id", "item", "kind", "place", "locator", "text").unionByName(spoken)
-    clean = parts.withColumn("clean", normalize_text(F.coalesce("text", F.lit(""))))
+    # texts are worked through once, where they are read; only what is known of them is joined, sampled and sorted
+    columns = ["domain_id", "place", "locator", "text"]
+    said = cues.select(*columns, F.lit(None).cast(members.schema["material_id"].dataType).alias("material_id"), F.lit(True).alias("spoken"))
+    clean = chunks.select(*columns, "material_id", F.lit(False).alias("spoken")).unionByName(said).withColumn("clean", normalize_text(F.coalesce("text", F.lit(""))))
     marker = is_parse_marker(F.col("clean"))
     reason = F.when(marker, "noise_parse_marker").otherwise(F.concat(F.lit("noise_"), noise_verdict(F.col("clean"))))
-    known = clean.select(
-        "domain_id", "item", "kind", "place", "locator", page_number(F.col("locator")).alias("page_no"), F.length("clean").alias("chars"), estimate_tokens(F.col("clean")).alias("tokens"),
+    read = written(clean.select(
+        "domain_id", "material_id", "spoken", F.col("place").cast("long").alias("place"), "locator", page_number(F.col("locator")).alias("page_no"), F.length("clean").alias("chars"), estimate_tokens(F.col("clean")).alias("tokens"),
         content_hash(F.col("clean")).alias("text_hash"), reason.alias("reason"), F.lit(None).cast("string").alias("ended"),
-    )
-    none = placeholders(members, chunks, statuses)
+    ), "spans-read")
+    parts = read.filter("NOT spoken").join(live, ["domain_id", "material_id"]).drop("material_id", "state", "spoken")
+    known = parts.unionByName(read.filter("spoken").drop("material_id").join(inline, "domain_id").drop("state", "spoken"))
+    none = placeholders(members, read.filter("NOT spoken"), statuses)
     ended = none.select("domain_id", "item", "kind", F.lit(0).cast("long").alias("place"), "locator", F.lit(None).cast("int").alias("page_no"), F.lit(0).alias("chars"), F.lit(0).cast("long").alias("tokens"), content_hash(F.lit("")).alias("text_hash"), F.col("why").alias("reason"), "ended")
-    spans = group_ordinals(known.withColumn("place", F.col("place").cast("long")).unionByName(ended), ["domain_id"], ["item", "place"])
+    spans = group_ordinals(known.unionByName(ended), ["domain_id"], ["item", "place"])
 
     paged = F.col("page_no").isNotNull() & F.col("kind").isin(*PAGE_PREFIXES) & F.col("ended").isNull()
     prefix = F.when(paged, by_kind(F.col("kind"), PAGE_PREFIXES)).otherwise(F.coalesce(by_kind(F.col("kind"), SEQUENCE_PREFIXES), F.lit(OTHER_PREFIX)))

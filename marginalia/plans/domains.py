@@ -88,8 +88,7 @@ MAP = SPANS + """SELECT domain_id, ordinal, CASE WHEN page IS NOT NULL THEN pref
 """
 
 
-def _spans(spark, d):
-    members = _members(spark, d)
+def _spans(spark, d, members):
     materials = _materials(spark, d)
     lines = materials.filter("material_id % 11 <> 4").select("domain_id", "material_id", "kind", F.posexplode(F.split("text", "\n")).alias("place", "text"))
     place, kind = F.col("place"), F.col("kind")
@@ -101,7 +100,7 @@ def _spans(spark, d):
 @query(MAP)
 def source_map(spark, d):
     """The spans of these domains: each line of a document, each turn of the conversation."""
-    return _spans(spark, d)
+    return _spans(spark, d, written(_members(spark, d), "members"))
 
 
 VECTOR = SPANS + """,
@@ -128,9 +127,10 @@ def coverage_vector(spark, d):
     """All metrics of the five domains: labels are what the ledger says of a document's spans, and each item is a
     segment."""
     i = F.col("material_id")
-    items = written(_members(spark, d), "members").select("domain_id", "ordinal", "material_id", "state", "reason", ((i % 3 != 1) | i.isNull()).alias("required"))
+    members = written(_members(spark, d), "members")
+    items = members.select("domain_id", "ordinal", "material_id", "state", "reason", ((i % 3 != 1) | i.isNull()).alias("required"))
     ms = F.when(F.col("kind") == "transcript", F.col("ordinal") * 1000)
-    spans = written(_spans(spark, d), "spans").select("domain_id", "ordinal", "item", "kind", F.when(F.col("kind").isin("pdf", "ppt", "doc"), F.col("page_no")).alias("page_no"), "state", "canonical_ordinal", ms.alias("start_ms"), (ms + F.col("chars")).alias("end_ms"), (F.col("chars") % 9 != 4).alias("assigned"))
+    spans = written(_spans(spark, d, members), "spans").select("domain_id", "ordinal", "item", "kind", F.when(F.col("kind").isin("pdf", "ppt", "doc"), F.col("page_no")).alias("page_no"), "state", "canonical_ordinal", ms.alias("start_ms"), (ms + F.col("chars")).alias("end_ms"), (F.col("chars") % 9 != 4).alias("assigned"))
     labels = load(spark, d, "labels").select(F.col("doc_id").alias("material_id"), "quality", "toxic")
     marked = spans.join(items.select("domain_id", F.col("ordinal").alias("item"), "material_id"), ["domain_id", "item"]).join(labels, "material_id", "left")
     noted = marked.filter("quality IS NOT NULL")
