@@ -244,3 +244,35 @@ def test_gates_of_domains_without_numbers(spark):
     assert gate(canonical=3, semantic=0.5, segments=2, segments_merged=1) == ("degraded", "semantic_processing_rate,merge")
     assert gate(canonical=3, semantic=0.5, unassigned=1, accounting=0.9) == ("failed", "domain_accounting_rate,unassigned_count")
     assert gate(accounting=None, semantic=None, canonical=None)[0] == "failed"
+
+
+def test_postings_leave_no_row_and_repeated_ids_are_added_up(spark):
+    from marginalia.operators.retrieval import postings
+
+    rows = [(1, "One one İ two 漢漢 x"), (2, None), (3, ""), (4, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = postings(docs, "doc_id", F.col("text"))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, made.collect())) == [("one", 1, 2), ("one", 4, 1), ("two", 1, 1), ("x", 1, 1), ("漢", 1, 2)]
+    again = postings(docs.union(docs.filter("doc_id = 4")), "doc_id", F.col("text"))
+    assert sorted(map(tuple, again.filter("term = 'one'").collect())) == [("one", 1, 2), ("one", 4, 2)]
+
+
+def test_layers_send_no_side_of_a_join_through_the_driver(spark, monkeypatch):
+    from marginalia.operators import graph
+
+    plans, plain = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    nodes = spark.range(1, 40).withColumnRenamed("id", "node")
+    made = graph.layers(nodes, nodes.filter("node > 1").selectExpr("node", "node div 2 AS needs"))
+    assert made.agg(F.max("layer")).first()[0] == 5 and made.count() == 39
+    assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_hashed_vectors_of_nulls_and_any_characters(spark):
+    from marginalia.functions import vectors
+
+    rows = [(0, "ü光"), (1, None), (2, ""), (3, "ü光")]
+    made = dict(map(tuple, spark.createDataFrame(rows, "i int, t string").coalesce(1).select("i", vectors.hashed_vector(F.col("t"), 10)).collect()))
+    assert made[1] is None and made[0] == made[3] != made[2]
+    assert made[0] == vectors.text_vector("ü光".encode(), 10, b"marginalia").tolist() and abs(sum(x * x for x in made[2]) - 1) < 1e-12
