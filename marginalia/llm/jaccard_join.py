@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import arrow_schema, checkpoint, keyed_text, stored
@@ -41,13 +41,16 @@ SLOT_BITS = 17
 #: Fragments that an overlap is counted in; prefixes are cut finer, by the number of tasks.
 OVERLAP_FRAGMENTS = 4
 PREFIX = "doc_id long, n long, class binary, prefix binary"
-SEGMENT = "fragment int, class binary, doc_id long, n long, start int, tokens binary, label long"
+SEGMENT = "fragment int, key long, n long, start int, tokens binary, label long"
 #: Rows of a fragment that meet in one task, at most, before it is dealt over parts: some ten times what fragments of
 #: DOCUMENTS_A_FRAGMENT have on average, as a document has n-grams in many, and some hundred MB.
 MOST_ROWS = 1 << 20
 #: How a fragment's rows are dealt: parts, blocks of rows of other components, and the component of most rows.
 DEALT = ("parts", "blocks", "most")
-PAIR = "a binary, b binary, a_doc long, b_doc long, a_n long, b_n long"
+#: Pairs by the numbers of their classes, as rows that go for each n-gram are shorter by these than by classes.
+PAIR = "a long, b long, a_n long, b_n long"
+#: Pairs by class, from when their prefixes have met.
+LIKELY = "a binary, b binary, a_doc long, b_doc long, a_n long, b_n long"
 #: Fragments that prefixes are cut into, at least; beyond, one for so many documents, so that each holds a bounded share.
 PREFIX_FRAGMENTS = 128
 DOCUMENTS_A_FRAGMENT = 4096
@@ -77,6 +80,11 @@ class Order:
     def ranks(self, ngrams: np.ndarray) -> np.ndarray:
         return self.rank[(ngrams >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
 
+    def codes(self, ngrams: np.ndarray) -> np.ndarray:
+        """N-grams in 32 bits that keep their order: ranks, and the next bits of the hashes. Different ones may be alike."""
+        rest = (ngrams >> np.uint64(32)) & np.uint64((1 << (32 - SLOT_BITS)) - 1)
+        return (self.ranks(ngrams).astype(np.uint32) << np.uint32(32 - SLOT_BITS)) | rest.astype(np.uint32)
+
     def sorted(self, ngrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A set in the global order, from one sorted by hash, and its ranks."""
         ranks = self.ranks(ngrams)
@@ -136,6 +144,18 @@ def prefixes(texts: DataFrame, order: Order, width: int, percent: int) -> DataFr
     return texts.mapInArrow(run, schema=PREFIX)
 
 
+def one_of_each_class(rows: DataFrame) -> DataFrame:
+    """Of the rows of each class the one with the least doc_id. Prefixes are shuffled only of classes that repeat, and of
+    those whose bit is set in vain."""
+    some = rows.filter("n > 0")
+    repeated = stored(some.groupBy("class").count().filter("count > 1").select("class"))
+    if not repeated.limit(1).count():
+        return some
+    marked = has_bit(F.col("class"), marked_bits(repeated, "class"))
+    least = some.filter(marked).groupBy("class").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("of"))
+    return some.filter(~marked).select("class", "doc_id", "n", "prefix").union(least.select("class", "of.*"))
+
+
 def prefix_segments(classes: DataFrame, order: Order) -> DataFrame:
     """A row for each class and fragment that its prefix has n-grams in; start: how many of the set come before."""
     schema = arrow_schema(SEGMENT)
@@ -143,11 +163,11 @@ def prefix_segments(classes: DataFrame, order: Order) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, doc, n, prefix, label in zip(*(batch.column(c).to_pylist() for c in ("class", "doc_id", "n", "prefix", "label"))):
+            for key, n, prefix, label in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "prefix", "label"))):
                 tokens = np.frombuffer(prefix, dtype=np.uint64)
                 fragment = order.prefix_fragment[order.ranks(tokens)]
                 cut = runs(fragment)
-                rows += [(int(fragment[s]), key, doc, n, s, tokens[s:e].tobytes(), label) for s, e in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                rows += [(int(fragment[s]), key, n, s, tokens[s:e].tobytes(), label) for s, e in zip(cut[:-1].tolist(), cut[1:].tolist())]
             columns = list(zip(*rows)) or [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -181,13 +201,13 @@ class Bucket:
     """The rows of one fragment, or of a part of it, by n-gram and length."""
 
     def __init__(self, table: pa.Table, percent: int):
-        self.percent, self.key = percent, table["class"].to_pylist()
-        self.n_row, self.doc_row, label_row = (table[c].to_numpy() for c in ("n", "doc_id", "label"))
+        self.percent = percent
+        self.n_row, self.key, label_row = (table[c].to_numpy() for c in ("n", "key", "label"))
         parts = [np.frombuffer(x, dtype=np.uint64) for x in table["tokens"].to_pylist()]
         own = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         place = np.concatenate([np.arange(s, s + len(p)) for s, p in zip(table["start"].to_pylist(), parts)]) if parts else np.zeros(0, np.int64)
-        at = np.lexsort((self.doc_row[own], self.n_row[own], tokens))
+        at = np.lexsort((self.key[own], self.n_row[own], tokens))
         self.tokens, self.own, self.place = tokens[at], own[at], place[at]
         self.n, self.label = self.n_row[self.own], label_row[self.own]
         self.visits = table["visits"].to_numpy(zero_copy_only=False)[self.own] if "visits" in table.column_names else None
@@ -245,14 +265,14 @@ def bucket_pairs(table: pa.Table, percent: int, across: bool, schema: pa.Schema,
             alone += [x for both in bucket.across(s, e) for x in both]
     none = np.zeros(0, np.int64)
     i, j = (bucket.own[np.concatenate(x)] if x else none for x in (left, right))
-    rows, key, doc, n = len(bucket.key), bucket.key, bucket.doc_row, bucket.n_row
+    rows, key, n = len(bucket.key), bucket.key, bucket.n_row
     first, second = np.divmod(np.unique(np.minimum(i, j) * rows + np.maximum(i, j)), rows) if rows else (none, none)
     first, second = first[first != second], second[first != second]
     rest = np.setdiff1d(bucket.own[np.concatenate(alone)], np.concatenate([first, second])) if alone else none
-    swap = doc[first] > doc[second]  # one order, so that a pair found in several parts is one
+    swap = key[first] > key[second]  # one order, so that a pair found in several parts is one
     first, second = np.where(swap, second, first), np.where(swap, first, second)
     first, second, gone = np.concatenate([first, rest]).tolist(), second.tolist(), [None] * len(rest)
-    columns = [[key[x] for x in first], [key[x] for x in second] + gone, doc[first], doc[second].tolist() + gone, n[first], n[second].tolist() + gone]
+    columns = [key[first], key[second].tolist() + gone, n[first], n[second].tolist() + gone]
     return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
@@ -280,14 +300,14 @@ def sharing(segments: DataFrame, percent: int) -> DataFrame:
             row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
             place = np.concatenate([np.arange(s, s + len(p)) for s, p in zip(batch.column("start").to_pylist(), parts)]) if parts else row
             tokens = np.concatenate(parts) if parts else row
-            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(place, pa.int64()), *(batch.column(c).take(pa.array(row)) for c in ("class", "doc_id", "n"))], names=["token", "place", "class", "doc_id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(place, pa.int64()), *(batch.column(c).take(pa.array(row)) for c in ("key", "n"))], names=["token", "place", "key", "n"])
 
-    postings = segments.mapInArrow(run, "token long, place long, class binary, doc_id long, n long")
+    postings = segments.mapInArrow(run, "token long, place long, key long, n long")
     held = postings.groupBy("token").agg(F.count("*").alias("documents"), F.min("n").alias("shortest")).filter("documents > 1").drop("documents")
     n, shortest = F.col("n"), F.greatest("shortest", F.ceil(F.col("n") * percent / 100))
     least = F.ceil((n + shortest) * percent / (100 + percent))
-    gone = [F.lit(None).cast(t).alias(c) for c, t in (("b", "binary"), ("b_doc", "long"), ("b_n", "long"))]
-    of = postings.join(held, "token").filter(F.col("place") <= n - least).select(F.col("class").alias("a"), gone[0], F.col("doc_id").alias("a_doc"), gone[1], n.alias("a_n"), gone[2])
+    gone = [F.lit(None).cast("long").alias(c) for c in ("b", "b_n")]
+    of = postings.join(held, "token").filter(F.col("place") <= n - least).select(F.col("key").alias("a"), gone[0], n.alias("a_n"), gone[1])
     return of.distinct()
 
 
@@ -308,8 +328,8 @@ def dealt(segments: DataFrame, hot: DataFrame) -> DataFrame:
     """Segments with the part and block that they go to and whether they visit; ``hot``: (fragment, parts, blocks, most)
     of the fragments that are dealt. Rows of the component of most rows go to their part's blocks, others to all parts
     too."""
-    own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    block = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    block = F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n).cast("int") - 1)
     at_home = F.transform(upto("blocks"), lambda b: F.struct(own.alias("part"), b.alias("block"), F.lit(False).alias("visits")))
     away = F.transform(upto("parts"), lambda p: F.struct(p.alias("part"), block.alias("block"), F.lit(True).alias("visits")))
@@ -326,7 +346,7 @@ def candidate_pairs(segments: DataFrame, percent: int, across: bool, large: int,
     if not hot.limit(1).count():
         return segments.groupBy("fragment").applyInArrow(pairs, PAIR).distinct()
     if not across:
-        split = segments.join(hot, "fragment", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0)))
+        split = segments.join(hot, "fragment", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("key"), F.col("parts")), F.lit(0)))
         found = split.drop("parts").groupBy("fragment", "part").applyInArrow(pairs, PAIR)
         leading = split.filter("parts IS NOT NULL").drop("parts").groupBy("fragment", "part").applyInArrow(lambda table: part_leaders(table, percent, plain), SEGMENT)
         named = sharing(segments.join(F.broadcast(hot.select("fragment")), "fragment", "left_semi"), percent)
@@ -343,28 +363,36 @@ def candidate_pairs(segments: DataFrame, percent: int, across: bool, large: int,
 
 
 def prefix_survivors(pairs: DataFrame, classes: DataFrame, order: Order, percent: int) -> DataFrame:
-    """Pairs that can still link by their overlap in the first part of the order, as far as both prefixes reach: there,
-    no more of either set may be missing from the other than a link allows in all."""
+    """LIKELY rows of the pairs that can still link by their overlap in the first part of the order, as far as both
+    prefixes reach: there, no more of either set may be missing from the other than a link allows in all. Prefixes meet
+    as codes of half their size. Each code that only one has stands for an n-gram that the other doesn't have, so codes
+    that are alike by chance keep a pair and never drop one."""
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [np.unique(order.codes(np.frombuffer(x, np.uint64))).tobytes() for x in batch.column("prefix").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "class", "doc_id")), pa.array(codes, pa.binary())], names=["key", "class", "doc_id", "codes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("a_n", "b_n", "left", "right"))):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                (rx, ry), least = (order.ranks(x), order.ranks(y)), -(-percent * (na + nb) // (100 + percent))
-                rank, last = min((rx[-1], x[-1]), (ry[-1], y[-1]))
-                in_reach = [int(((r < rank) | ((r == rank) & (v <= last))).sum()) for r, v in ((rx, x), (ry, y))]
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                least, last = -(-percent * (na + nb) // (100 + percent)), min(x[-1], y[-1])
+                x, y = (codes[: np.searchsorted(codes, last, "right")] for codes in (x, y))
                 shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(in_reach[0] - shared <= na - least and in_reach[1] - shared <= nb - least)
+                keep.append(len(x) - shared <= na - least and len(y) - shared <= nb - least)
             yield batch.filter(pa.array(keep, pa.bool_())).select(list(PAIR_KEY))
 
-    of = lambda end, side: classes.select(F.col("class").alias(end), F.col("prefix").alias(side))
-    return pairs.select(*PAIR_KEY).join(of("a", "left"), "a").join(of("b", "right"), "b").select(*PAIR_KEY, "left", "right").mapInArrow(run, PAIR)
+    codes = classes.select("key", "class", "doc_id", "prefix").mapInArrow(coded, "key long, class binary, doc_id long, codes binary")
+    of = lambda end, side: codes.select(F.col("key").alias(f"{end}_key"), F.col("class").alias(end), F.col("doc_id").alias(f"{end}_doc"), F.col("codes").alias(side))
+    by_key = pairs.select(F.col("a").alias("a_key"), F.col("b").alias("b_key"), "a_n", "b_n")
+    return by_key.join(of("a", "left"), "a_key").join(of("b", "right"), "b_key").select(*PAIR_KEY, "left", "right").mapInArrow(run, LIKELY)
 
 
-def marked_bits(ends: DataFrame) -> np.ndarray:
-    """A bit for the hash of every doc_id, gathered as bitmaps of a bounded total size."""
+def marked_bits(ends: DataFrame, key: str = "doc_id") -> np.ndarray:
+    """A bit for the hash of every ``key``, gathered as bitmaps of a bounded total size."""
     size = min(MOST_BITS, max(LEAST_BITS, 1 << (64 * ends.count()).bit_length()))
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(size)) + 1  # bitmap positions count from 1
+    at = F.pmod(F.xxhash64(key), F.lit(size)) + 1  # bitmap positions count from 1
     parts = ends.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
     bits = np.zeros(size // 8, dtype=np.uint8)
     for row in parts:
@@ -372,6 +400,15 @@ def marked_bits(ends: DataFrame) -> np.ndarray:
     return bits
 
 
+def has_bit(key: Column, bits: np.ndarray) -> Column:
+    """Whether the bit of a key is set; those of ``marked_bits`` are, and a few others."""
+    def run(place: pd.Series) -> pd.Series:
+        at = place.to_numpy()
+        return pd.Series((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return F.pandas_udf(run, "boolean")(F.pmod(F.xxhash64(key), F.lit(8 * len(bits))))
+
+
 def overlap_segments(texts: DataFrame, ends: DataFrame, order: Order, width: int) -> DataFrame:
     """The sets of marked documents, cut into the fragments that overlaps are counted in, keyed by class. No text is
     shuffled: each task passes over its own and skips what isn't marked."""
@@ -393,35 +430,40 @@ def overlap_segments(texts: DataFrame, ends: DataFrame, order: Order, width: int
 
 
 def verified(pairs: DataFrame, texts: DataFrame, order: Order, width: int, percent: int) -> DataFrame:
-    """The pairs that link: overlaps counted in each fragment of the whole sets, and summed."""
+    """The pairs that link: overlaps counted in each fragment of the whole sets, and summed. The first fragment, which has
+    the rare n-grams, goes by itself: pairs of which it rules out that they link have no others brought together."""
     ends = pairs.select(F.col("a_doc").alias("doc_id")).union(pairs.select("b_doc")).distinct()
     sets = stored(overlap_segments(texts, ends, order, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())
-            shared = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in both]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*PAIR_KEY, "fragment")), pa.array(shared, pa.int64())], names=[*PAIR_KEY, "fragment", "shared"])
-
-    ours = sets.select(F.col("class").alias("a"), "fragment", F.col("segment").alias("left"))
-    theirs = sets.select(F.col("class").alias("b"), "fragment", F.col("segment").alias("right"))
-    met = pairs.join(ours, "a").join(theirs, ["b", "fragment"]).select(*PAIR_KEY, "fragment", "left", "right")
-    partial = met.mapInArrow(run, f"{PAIR}, fragment int, shared long")
-    once = partial.groupBy(*PAIR_KEY, "fragment").agg(F.max("shared").alias("shared"))  # sets of repeated rows are there more than once
-    total = once.groupBy(*PAIR_KEY).agg(F.sum("shared").alias("shared"))
+            shared, can_link = [], []
+            for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("a_n", "b_n", "left", "right"))):
+                x, y = (np.frombuffer(z or b"", np.uint64) for z in (x, y))
+                least, both = -(-percent * (na + nb) // (100 + percent)), len(np.intersect1d(x, y, assume_unique=True))
+                shared.append(both)
+                can_link.append(len(x) - both <= na - least and len(y) - both <= nb - least)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*PAIR_KEY, "fragment")), pa.array(shared, pa.int64()), pa.array(can_link, pa.bool_())], names=[*PAIR_KEY, "fragment", "shared", "can_link"])
+
+    def overlaps(pairs: DataFrame, fragments: range) -> DataFrame:
+        # pairs go with each fragment, so both joins have the same keys and the sets are shuffled once for the two
+        each = pairs.select(*PAIR_KEY).withColumn("fragment", F.explode(F.array([F.lit(f) for f in fragments])))
+        of = sets.filter(F.col("fragment").between(fragments[0], fragments[-1]))
+        ours = of.select(F.col("class").alias("a"), "fragment", F.col("segment").alias("left"))
+        theirs = of.select(F.col("class").alias("b"), "fragment", F.col("segment").alias("right"))
+        met = each.join(ours, ["a", "fragment"], "left").join(theirs, ["b", "fragment"], "left").select(*PAIR_KEY, "fragment", "left", "right")
+        partial = met.mapInArrow(run, f"{LIKELY}, fragment int, shared long, can_link boolean").filter("can_link")
+        return partial.groupBy(*PAIR_KEY, "fragment").agg(F.max("shared").alias("shared"))  # sets of repeated rows are there more than once
+
+    first = checkpoint(overlaps(pairs, range(1)))
+    total = first.union(overlaps(first, range(1, OVERLAP_FRAGMENTS))).groupBy(*PAIR_KEY).agg(F.sum("shared").alias("shared"))
     return total.filter(F.col("shared") * 100 >= percent * (F.col("a_n") + F.col("b_n") - F.col("shared")))
 
 
 def without_documents(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose id isn't in ``ids`` (doc_id). Rows whose bit isn't set stay
     where they are; only the others are shuffled and looked up."""
-    bits = marked_bits(ids)
-
-    def has_bit(place: pd.Series) -> pd.Series:
-        at = place.to_numpy()
-        return pd.Series((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-
-    marked = F.pandas_udf(has_bit, "boolean")(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(8 * len(bits))))
+    marked = has_bit(F.col(id_col).cast("long"), marked_bits(ids))
     gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
     looked_up = docs.filter(marked)
     return docs.filter(~marked).union(looked_up.join(gone, looked_up[id_col] == gone["_gone"], "left_anti"))
@@ -451,21 +493,21 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80, id
     texts = keyed_text(docs, id_col, text_col).filter("doc_id IS NOT NULL")
     order = Order(slot_counts(texts, width), percent, max(PREFIX_FRAGMENTS, texts.count() // DOCUMENTS_A_FRAGMENT))
     rows = stored(prefixes(texts, order, width, percent))
-    least = rows.filter("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("of"))
-    classes = stored(least.select("class", "of.doc_id", "of.n", "of.prefix"))
-
+    classes = stored(one_of_each_class(rows).withColumn("key", F.monotonically_increasing_id()))
     sizes = stored(fragment_rows(classes, order))
 
-    own = classes.withColumn("label", F.col("doc_id"))
+    own = classes.withColumn("label", F.col("key"))
     first = stored(candidate_pairs(prefix_segments(own, order), percent, False, large_bucket, sizes, most_rows))
     pairs = first.filter("b IS NOT NULL")
-    ends = stored(first.select(F.col("a").alias("class"), F.col("a_doc").alias("doc_id")).union(pairs.select("b", "b_doc")).distinct())
-    likely = checkpoint(prefix_survivors(pairs, classes, order, percent))
+    ends = stored(first.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+    # no other prefixes are looked at from here on; stored, so that no stage runs this filter beside another Python step
+    met = stored(classes.filter(has_bit(F.col("key"), marked_bits(ends, "key"))))
+    likely = checkpoint(prefix_survivors(pairs, met, order, percent))
     links = checkpoint(verified(likely, texts, order, width, percent).select("a_doc", "b_doc"))
     labels = connected_components(links, "a_doc", "b_doc")
-    open_ = ends.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("class", F.coalesce("component", "doc_id").alias("label"))
-    second = candidate_pairs(prefix_segments(classes.join(open_, "class"), order), percent, True, large_bucket, sizes, most_rows).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    likely = checkpoint(prefix_survivors(second, classes, order, percent))
+    open_ = ends.join(met.select("key", "doc_id"), "key").join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", F.coalesce("component", "doc_id").alias("label"))
+    second = candidate_pairs(prefix_segments(met.join(open_, "key"), order), percent, True, large_bucket, sizes, most_rows).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    likely = checkpoint(prefix_survivors(second, met, order, percent))
     more = checkpoint(verified(likely, texts, order, width, percent).select("a_doc", "b_doc"))
     # Links across components join components, so only those go through again.
     of = labels.select(F.col("node").alias("doc"), "component")

@@ -92,3 +92,40 @@ def test_pairs_whose_ends_are_alone_in_their_parts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     for most in (1, 3):
         assert sorted(map(tuple, similarity_components(df, 3, 90, most_rows=most).collect())) == brute_force(rows, 3, 90)
+
+
+def test_codes_of_prefixes_never_drop_a_pair_and_keep_the_order():
+    import numpy as np
+
+    from marginalia.llm.jaccard_join import SLOT_BITS, Order
+
+    rng = np.random.default_rng(5)
+    order = Order(rng.integers(0, 50, 1 << SLOT_BITS), 90, 128)
+    ngrams = np.unique(rng.integers(0, 1 << 63, 100_000, dtype=np.uint64) * np.uint64(2))
+    ngrams, _ = order.sorted(np.unique(np.concatenate([ngrams, ngrams + np.uint64(1)])))  # neighbours have one code
+    codes = order.codes(ngrams)
+    assert codes.dtype == np.uint32 and (codes[1:] >= codes[:-1]).all() and len(np.unique(codes)) <= len(ngrams) // 2
+
+
+def shuffled(spark, run):
+    """MB that the tasks of a run write to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = lambda: store.stageList(None, False, False, none, None)
+    before = stages().size()
+    out = run()
+    after = stages()
+    known = sorted(((s.stageId(), s.shuffleWriteBytes()) for s in (after.apply(i) for i in range(after.size()))))
+    return out, sum(b for _, b in known[before:]) / 1e6
+
+
+def test_prefixes_are_shuffled_of_classes_that_repeat_only(spark):
+    from marginalia.llm.jaccard_join import one_of_each_class
+
+    rng = random.Random(6)
+    rows = [(i, 4, rng.randbytes(16), rng.randbytes(20_000)) for i in range(200)]
+    rows += [(i + 1000, *r[1:]) for i, r in enumerate(rows[:5])] + [(-1, *rows[7][1:]), (5000, 0, None, None)]
+    df = spark.createDataFrame([(d, n, bytearray(c) if c else None, bytearray(p) if p else None) for d, n, c, p in rows], "doc_id long, n long, class binary, prefix binary")
+    got, mb = shuffled(spark, lambda: one_of_each_class(df).collect())
+    assert sorted((r["doc_id"], r["n"], bytes(r["class"]), bytes(r["prefix"])) for r in got) == sorted([(-1, *rows[7][1:])] + [r for r in rows[:200] if r[0] != 7])
+    assert mb < 1, mb  # all prefixes are 4 MB
