@@ -16,6 +16,9 @@ from marginalia.streaming.tables import written
 #: (open spans, reports of the round before or None, round) to (units, breaks), as ``boundary_report`` takes them.
 Proposer = Callable[[DataFrame, DataFrame | None, int], tuple[DataFrame, DataFrame]]
 
+#: Segments that one task joins with their items, on average: some ten MB of sorted rows and hash table.
+ROWS_A_TASK = 1 << 18
+
 
 @dataclass(frozen=True)
 class Plans:
@@ -71,7 +74,7 @@ def plan_boundaries(spans: DataFrame, propose: Proposer, limit: int, rounds: int
     return Plans(union(plans), union(units), union(breaks))
 
 
-def merge_levels(segments: DataFrame, items: DataFrame, fan: int = 8) -> tuple[DataFrame, DataFrame]:
+def merge_levels(segments: DataFrame, items: DataFrame, fan: int = 8, rows_a_task: int = ROWS_A_TASK) -> tuple[DataFrame, DataFrame]:
     """(nodes, merged). nodes: domain_id, level, node, segments, consumed, children and status of each merge, up to one
     for a domain; merged: domain_id, key, weight and refs of what is in the last one.
 
@@ -79,18 +82,17 @@ def merge_levels(segments: DataFrame, items: DataFrame, fan: int = 8) -> tuple[D
     level merges ``fan`` neighbours: items of one key become one, with the greatest weight and all references, each once;
     items of segments that didn't succeed take no part. A merge succeeded if all segments below did, failed if none did,
     else it is partial. Levels shrink by ``fan``, and rows are combined before each shuffle, so a domain of any length
-    is merged by many tasks. Every segment is below one node of each level.
+    is merged by many tasks. Every segment is below one node of each level. The greatest weight and the references of a
+    key are the same however merges are nested, so items are merged once for all levels, by key and reference: tables of
+    each level that are read back would put ever more of them in one task's hash table.
     """
     good = F.col("status") == "succeeded"
     level0 = segments.select("domain_id", (F.col("ordinal") - 1).alias("node"), F.lit(1).cast("long").alias("segments"), good.cast("long").alias("consumed"))
-    content = items.join(segments.filter(good).select("domain_id", "ordinal"), ["domain_id", "ordinal"], "left_semi").select("domain_id", (F.col("ordinal") - 1).alias("node"), "key", "weight", "ref")
-    content = written(content.groupBy("domain_id", "node", "key", "ref").agg(F.max("weight").alias("weight")), "merge-items")
     nodes, level, done = level0, 0, []
     while not done or nodes.filter("node > 0").limit(1).count():
         level += 1
         up = F.floor(F.col("node") / fan).alias("node")
         nodes = written(nodes.groupBy("domain_id", up).agg(F.sum("segments").alias("segments"), F.sum("consumed").alias("consumed"), F.count("*").alias("children")), "merge-nodes")
-        content = written(content.groupBy("domain_id", up, "key", "ref").agg(F.max("weight").alias("weight")), "merge-items")
         done.append(nodes.withColumn("level", F.lit(level)))
     status = F.when(F.col("consumed") == F.col("segments"), "succeeded").when(F.col("consumed") == 0, "failed").otherwise("partial")
     every = reduce(DataFrame.unionByName, done).select("domain_id", "level", "node", "segments", "consumed", "children", status.alias("status"))
@@ -98,5 +100,9 @@ def merge_levels(segments: DataFrame, items: DataFrame, fan: int = 8) -> tuple[D
     alone = every.filter("node = 0").groupBy("domain_id", "segments").agg(F.min("level").alias("top"))
     whole = segments.groupBy("domain_id").agg(F.count("*").alias("segments"))
     top = whole.join(alone, ["domain_id", "segments"]).select("domain_id", "top")
-    merged = content.groupBy("domain_id", "key").agg(F.max("weight").alias("weight"), F.count("*").alias("refs"))
+    place = ["domain_id", "ordinal"]
+    parts = 1 + (nodes.agg(F.sum("segments")).first()[0] or 0) // rows_a_task
+    content = items.repartition(parts, *place).join(segments.filter(good).select(*place).repartition(parts, *place), place, "left_semi").select("domain_id", "key", "weight", "ref")
+    once = content.groupBy("domain_id", "key", "ref").agg(F.max("weight").alias("weight"))
+    merged = once.groupBy("domain_id", "key").agg(F.max("weight").alias("weight"), F.count("*").alias("refs"))
     return every.join(top, "domain_id").filter("level <= top").drop("top"), merged

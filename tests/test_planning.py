@@ -61,3 +61,21 @@ def test_each_segment_is_consumed_once_at_each_level(spark):
     assert (of(1), of(2), of(3), of(4)) == ((3, "succeeded"), (2, "partial"), (1, "failed"), (1, "succeeded"))
     assert sorted(map(tuple, merged.collect())) == [(1, "k0", 4, 4), (1, "k1", 4, 4), (1, "k2", 4, 4), (2, "a", 2, 1)]
     assert [x.collect() for x in merge_levels(segments.limit(0), items.limit(0))] == [[], []]
+
+
+def test_items_meet_their_segments_in_tasks_of_bounded_rows_and_are_written_for_no_level(spark, monkeypatch):
+    from marginalia.operators import planning
+
+    names, written = [], planning.written
+    monkeypatch.setattr(planning, "written", lambda df, name: names.append(name) or written(df, name))
+    segments = spark.range(1, 901).selectExpr("id % 2 AS domain_id", "(id + 1) div 2 AS ordinal", "IF(id % 7 = 0, 'failed', 'succeeded') AS status")
+    items = spark.range(1, 901).selectExpr("id % 2 AS domain_id", "(id + 1) div 2 AS ordinal", "concat('k', id % 3) AS key", "id % 11 AS weight", "id % 50 AS ref")
+    _, merged = planning.merge_levels(segments, items, fan=3, rows_a_task=100)
+    want = {}
+    for i in range(1, 901):
+        if i % 7:
+            want.setdefault((i % 2, f"k{i % 3}"), []).append((i % 11, i % 50))
+    assert sorted(map(tuple, merged.collect())) == sorted((*k, max(w for w, _ in v), len({r for _, r in v})) for k, v in want.items())
+    assert "merge-items" not in names
+    assert merged._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
+    assert "hashpartitioning(domain_id" in (plan := merged._jdf.queryExecution().executedPlan().toString()) and ", 10), REPARTITION_BY_NUM" in plan
